@@ -9,10 +9,12 @@ the defaults. Every link is confirmed on the full shingle sets.
 
 Equal sets collapse to one representative first, so a huge group of copies is
 one node. Within a bucket the members are first compared with the smallest one
-only; buckets that still hold several components are then settled by comparing
-the members outside their largest component with all members of others, which
-leaves no cross-component pair of a bucket untested and never forms all pairs
-of a connected group.
+only. Buckets that still hold several components are then settled exactly, but
+without forming their pairs: every member is described by how it differs from
+the hub of the bucket's largest component. Of two members to be linked, one of
+them not linked with the hub, a known number of differences must be shared, so
+they meet on a prefix of their differences, those that the hub lacks first
+(prefix and position filter). Independent edits share next to nothing there.
 """
 
 from __future__ import annotations
@@ -97,16 +99,88 @@ def _confirm(k: int, percent: int):
     return check
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    pairs = written(pairs, "pairs")
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def _differences(k: int, percent: int):
+    """From (hub, doc, comp, probe, text_hub, text_doc): a row of place 0 if the two are linked, and the prefix of the differences.
+
+    ``most`` differences in all, places from 1: shingles the hub lacks, then
+    those the document lacks. A probe (not of the hub's component) is indexed
+    far enough for any partner, others for partners that are probes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hubs, docs, comps, probes = (batch.column(c).to_pylist() for c in range(4))
+            hub_texts, doc_texts = (batch.column(c).cast(pa.binary()).to_pylist() for c in (4, 5))
+            cols: list[list] = [[] for _ in range(8)]
+            for hub, doc, comp, probe, x, y in zip(hubs, docs, comps, probes, hub_texts, doc_texts, strict=True):
+                h, d = next(shingle_sets([x], k)), next(shingle_sets([y], k))
+                extra, lacking = np.setdiff1d(d, h, assume_unique=True), np.setdiff1d(h, d, assume_unique=True)
+                n, most = len(d), len(extra) + len(lacking)
+                both = n - len(extra)
+                linked = bool(both) and 100 * both >= percent * (n + len(lacking))
+                share = max(1, -((-most * (100 + percent) - (100 - percent) * (len(h) - n)) // (2 * (100 + percent))))
+                reach = most - share + 1
+                if probe and not linked:
+                    room = (100 - percent) * n // percent
+                    reach = max(reach, most - max(1, -((room - most) // 2), most - room) + 1)
+                reach = min(reach, most)
+                tokens = np.concatenate([extra, lacking])[: max(0, reach)].view(np.int64).tolist()
+                places = list(range(1, len(tokens) + 1))
+                if linked and probe:
+                    tokens, places = [0, *tokens], [0, *places]
+                for col, v in zip(cols, (hub, doc, comp, probe and not linked, most, n), strict=False):
+                    col.extend([v] * len(tokens))
+                cols[6].extend(tokens)
+                cols[7].extend(places)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["hub", "doc", "comp", "probe", "most", "n", "token", "place"])
+
+    return run
+
+
+_DIFFERENCES = "hub long, doc long, comp long, probe boolean, most long, n long, token long, place long"
+
+
+def _with_texts(pairs: DataFrame, docs: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` (a written table) with the texts of both ends."""
+    need = pairs.select(F.col(a).alias("doc_id")).union(pairs.select(F.col(b).alias("doc_id"))).distinct()
     some = written(docs.where("text is not null").join(need, "doc_id", "left_semi"), "texts")
-    left = some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    full = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    left = some.select(F.col("doc_id").alias(a), F.col("text").alias("text_a"))
+    right = some.select(F.col("doc_id").alias(b), F.col("text").alias("text_b"))
+    return pairs.join(left, a).join(right, b).select(*pairs.columns, "text_a", "text_b")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    full = _with_texts(written(pairs, "pairs"), docs, "a", "b")
     return written(full.mapInArrow(_confirm(k, percent), "a long, b long"), "links")
 
 
+def _cross_links(buckets: DataFrame, links: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between different components of ``links`` within a bucket."""
+    labels = written(components(links), "labels")
+    placed = buckets.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    open_ = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("top.comp").alias("main"))
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("c"))
+    hubs = ends.join(labels, "node").groupBy("component").agg(F.max(F.struct("c", "node"))["node"].alias("hub"))
+    members = placed.join(open_, "key").join(hubs, F.col("main") == F.col("component"), "left")
+    members = members.select(F.coalesce("hub", "main").alias("hub"), F.col("rep").alias("doc"), "comp", (F.col("comp") != F.col("main")).alias("probe")).where("hub <> doc").distinct()
+    full = _with_texts(written(members, "members"), docs, "hub", "doc")
+    rows = written(full.mapInArrow(_differences(k, percent), _DIFFERENCES), "differences")
+    direct = rows.where("place = 0").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
+    rows = rows.where("place > 0")
+    mixed = rows.groupBy("hub", "token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("probe").alias("any")).where("low < high and any").select("hub", "token")
+    rows = rows.join(mixed, ["hub", "token"])
+    x, y = rows.where("probe").alias("x"), rows.alias("y")
+    room = F.floor((100 - percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent))
+    share = F.greatest(F.lit(1), F.ceil((F.col("x.most") + F.col("y.most") - room) / F.lit(2)))
+    near = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    meet = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & near
+    meet &= (F.col("x.place") <= F.col("x.most") - share + 1) & (F.col("y.place") <= F.col("y.most") - share + 1)
+    pairs = x.join(y, meet).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
+    return _confirmed(pairs, docs, k, percent).unionByName(direct)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 8, rows: int = 2, seed: int = 7) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -128,18 +202,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int =
     close = 100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")
     stars = buckets.where((F.col("leader") < F.col("rep")) & close).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     links = _confirmed(stars, docs, k, percent)
-    first = written(components(links), "labels")
-
-    # Buckets that still hold several components: members outside the largest one against all others.
-    placed = buckets.join(first, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    major = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("top.comp").alias("major"))
-    open_ = written(placed.join(major, "key"), "open")
-    x, y = open_.where("comp <> major").alias("x"), open_.alias("y")
-    near = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & near).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    more = _confirmed(rest, docs, k, percent)
+    more = written(_cross_links(buckets, links, docs, k, percent), "cross")
     members = sets.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     ids = sets.select("doc_id", "s1", "s2", "n_shingles").join(members, ["s1", "s2", "n_shingles"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     final = components(links.unionByName(more))
