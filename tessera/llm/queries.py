@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import mixing
 from tessera.llm.language_id import identify_languages
+from tessera.llm.media import media_digest
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.secrets import secrets_digest
 from tessera.llm.sharding import shard_documents
 from tessera.llm.store import table
 from tessera.llm.substring_dedup import repeats_digest
@@ -19,10 +21,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -41,7 +51,7 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_toxicity, op3_substring_dedup, op6_language_id, op8_minhash_near_dedup, op9_poisson_mixing, op10_jump_sharding)
+    made = (op1_toxicity, op2_gif_media, op3_substring_dedup, op4_secret_scan, op6_language_id, op8_minhash_near_dedup, op9_poisson_mixing, op10_jump_sharding)
     return {f.__name__: f for f in made}
 
 
