@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing
+from tessera.llm import decontaminate, mixing
 from tessera.llm.language_id import identify_languages
 from tessera.llm.media import media_digest
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.pii import pii_digest
 from tessera.llm.secrets import secrets_digest
 from tessera.llm.sharding import shard_documents
 from tessera.llm.store import table
@@ -33,10 +34,18 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,9 +60,9 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_toxicity, op2_gif_media, op3_substring_dedup, op4_secret_scan, op6_language_id, op8_minhash_near_dedup, op9_poisson_mixing, op10_jump_sharding)
+    made = (op1_toxicity, op2_gif_media, op3_substring_dedup, op4_secret_scan, op5_pii, op6_language_id, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_poisson_mixing, op10_jump_sharding)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_poisson_mixing": mixing.ORACLE_SQL}
+    return {"op7_benchmark_decontamination": decontaminate.ORACLE_SQL, "op9_poisson_mixing": mixing.ORACLE_SQL}
