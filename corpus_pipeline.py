@@ -1,25 +1,56 @@
-"""Corpus pipeline: documents through the stages below, one after the other."""
+"""Corpus pipeline: documents through five stages, each written and read again.
+
+Toxic documents go, one document of each near-duplicate group stays,
+benchmark-contaminated documents go, sources are mixed to their target weights,
+and what is left is dealt out to shards.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.decontaminate import drop_contaminated
+from tessera.llm.mixing import mix_sources
 from tessera.llm.near_dedup import drop_near_duplicates
-from tessera.llm.store import written
+from tessera.llm.sharding import shard_documents
+from tessera.llm.store import table, written
+from tessera.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as toxic go. Learns from the labelled rows of ``docs`` that are not held out."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each group of Jaccard similarity 0.8 or more on five-word shingles stays."""
     return drop_near_duplicates(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share a ten-word window with the benchmark go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies of documents by their source's rate, in shuffled order."""
+    return mix_sources(docs).select(*docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its shard of 16 and its slot there."""
+    return shard_documents(docs, 16)
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
 
+#: The toxicity stage is a trained model, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages applied to documents; each result but the last is written and read again."""
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
