@@ -141,21 +141,19 @@ def _differences(k: int, percent: int):
 _DIFFERENCES = "hub long, doc long, comp long, probe boolean, most long, n long, token long, place long"
 
 
-def _with_texts(pairs: DataFrame, docs: DataFrame, a: str, b: str) -> DataFrame:
-    """``pairs`` (a written table) with the texts of both ends."""
-    need = pairs.select(F.col(a).alias("doc_id")).union(pairs.select(F.col(b).alias("doc_id"))).distinct()
-    some = written(docs.where("text is not null").join(need, "doc_id", "left_semi"), "texts")
+def _with_texts(pairs: DataFrame, some: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` with the texts of both ends, from the written texts of all bucket members."""
     left = some.select(F.col("doc_id").alias(a), F.col("text").alias("text_a"))
     right = some.select(F.col("doc_id").alias(b), F.col("text").alias("text_b"))
     return pairs.join(left, a).join(right, b).select(*pairs.columns, "text_a", "text_b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    full = _with_texts(written(pairs, "pairs"), docs, "a", "b")
+def _confirmed(pairs: DataFrame, some: DataFrame, k: int, percent: int) -> DataFrame:
+    full = _with_texts(written(pairs, "pairs"), some, "a", "b")
     return written(full.mapInArrow(_confirm(k, percent), "a long, b long"), "links")
 
 
-def _cross_links(buckets: DataFrame, links: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _cross_links(buckets: DataFrame, links: DataFrame, some: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between different components of ``links`` within a bucket."""
     labels = written(components(links), "labels")
     placed = buckets.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
@@ -165,7 +163,7 @@ def _cross_links(buckets: DataFrame, links: DataFrame, docs: DataFrame, k: int,
     hubs = ends.join(labels, "node").groupBy("component").agg(F.max(F.struct("c", "node"))["node"].alias("hub"))
     members = placed.join(open_, "key").join(hubs, F.col("main") == F.col("component"), "left")
     members = members.select(F.coalesce("hub", "main").alias("hub"), F.col("rep").alias("doc"), "comp", (F.col("comp") != F.col("main")).alias("probe")).where("hub <> doc").distinct()
-    full = _with_texts(written(members, "members"), docs, "hub", "doc")
+    full = _with_texts(written(members, "members"), some, "hub", "doc")
     rows = written(full.mapInArrow(_differences(k, percent), _DIFFERENCES), "differences")
     direct = rows.where("place = 0").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
     rows = rows.where("place > 0")
@@ -178,7 +176,7 @@ def _cross_links(buckets: DataFrame, links: DataFrame, docs: DataFrame, k: int,
     meet = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & near
     meet &= (F.col("x.place") <= F.col("x.most") - share + 1) & (F.col("y.place") <= F.col("y.most") - share + 1)
     pairs = x.join(y, meet).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
-    return _confirmed(pairs, docs, k, percent).unionByName(direct)
+    return _confirmed(pairs, some, k, percent).unionByName(direct)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int = 8, rows: int = 2, seed: int = 7) -> DataFrame:
@@ -201,8 +199,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int =
     buckets = written(tables.join(crowded, "key"), "buckets")
     close = 100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")
     stars = buckets.where((F.col("leader") < F.col("rep")) & close).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _confirmed(stars, docs, k, percent)
-    more = written(_cross_links(buckets, links, docs, k, percent), "cross")
+    # Texts are shuffled once, to those that share a bucket with another; ids grow with the data, so they are never broadcast.
+    need = buckets.select(F.col("rep").alias("doc_id")).distinct().hint("shuffle_hash")
+    some = written(docs.where("text is not null").join(need, "doc_id", "left_semi"), "texts")
+    links = _confirmed(stars, some, k, percent)
+    more = written(_cross_links(buckets, links, some, k, percent), "cross")
     members = sets.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     ids = sets.select("doc_id", "s1", "s2", "n_shingles").join(members, ["s1", "s2", "n_shingles"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     final = components(links.unionByName(more))
