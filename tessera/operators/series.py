@@ -55,7 +55,7 @@ def kernel_smooth(df: DataFrame, column: str, bandwidth: float, order: list[str]
 
 def per_series(df: DataFrame, keys: list[str], order: list[str], column: str, names: list[str], f: Callable[[np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
     """Adds columns computed by ``f`` from each series' values in order; one task per series, series spread over the cluster."""
-    schema = df.schema
+    schema = type(df.schema)(list(df.schema.fields))
     for n in names:
         schema = schema.add(n, "double")
 
