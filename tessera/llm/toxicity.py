@@ -28,7 +28,9 @@ from tessera.llm.store import held_out
 TEXTS_PER_CLASS = 2_500
 _BUCKETS = 1 << 16
 _DIMS = 8
-_PASSAGE = 6
+_PASSAGE, _STRIDE = 3, 2
+#: N-grams of less than this share of the texts keep a zero vector.
+_SEEN = 0.01
 #: Texts are scored in slices of about so many characters.
 _SLICE = 1 << 19
 _WORD = re.compile(r"[^\W_]+")
@@ -73,11 +75,11 @@ def ngrams(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.nd
 
 
 def _passages(n: int) -> np.ndarray:
-    """Starts of passages: every half passage, so that none is cut in a bad place."""
-    return np.arange(0, max(1, n - _PASSAGE // 2), _PASSAGE // 2)
+    """Starts of passages, which overlap so that none is cut in a bad place."""
+    return np.arange(0, max(1, n - _PASSAGE + _STRIDE), _STRIDE)
 
 
-def fit(texts: list[str], labels: list[int], steps: int = 70, rate: float = 0.1, seed: int = 3) -> Model:
+def fit(texts: list[str], labels: list[int], steps: int = 60, rate: float = 0.1, seed: int = 3) -> Model:
     """Embeddings and softmax weights by Adam on the logistic loss of the worst passages."""
     vocabulary: dict[str, int] = {}
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in _WORD.findall(t.lower())], dtype=np.int64) for t in texts]
@@ -107,9 +109,11 @@ def fit(texts: list[str], labels: list[int], steps: int = 70, rate: float = 0.1,
     in_clean, in_toxic = (np.bincount(flat, weights=np.repeat(w, lengths), minlength=_BUCKETS) for w in texts_with)
     odds = np.log((in_toxic + 0.5) / (y.sum() + 1)) - np.log((in_clean + 0.5) / ((1 - y).sum() + 1))
     seen = np.minimum(1, (in_toxic + in_clean) / 8)
+    common = in_toxic + in_clean >= max(2.0, _SEEN * len(docs))
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.01, (_BUCKETS, _DIMS))
     emb[:, 0] = np.clip(odds, -3, 3) * seen
+    emb[~common] = 0
     weight, bias = rng.normal(0, 0.1, _DIMS), -6.0
     weight[0] = 3.0
     state = [np.zeros_like(emb), np.zeros_like(emb), np.zeros(_DIMS), np.zeros(_DIMS), np.zeros(1), np.zeros(1)]
@@ -133,7 +137,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 70, rate: float = 0.1,
         reps = lengths[touched]
         at = np.repeat(first[touched], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
         per_gram = np.bincount(flat[at], weights=np.repeat(per_word[touched], reps), minlength=_BUCKETS)
-        rows = np.flatnonzero(per_gram)
+        rows = np.flatnonzero((per_gram != 0) & common)
         grads = (per_gram[rows, None] * weight[None, :], per_gram[rows] @ emb[rows] + 1e-4 * weight, np.array([pull.sum()]))
         moves = []
         for k, g in enumerate(grads):
