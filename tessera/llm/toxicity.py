@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.store import held_out
 
 #: At most so many labelled texts of each class are learnt from, those of least hash.
-TEXTS_PER_CLASS = 2_500
+TEXTS_PER_CLASS = 2_000
 _BUCKETS = 1 << 16
 _DIMS = 8
 _PASSAGE, _STRIDE = 3, 2
