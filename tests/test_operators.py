@@ -116,3 +116,16 @@ def test_stream_windows(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert 0 < got.agg(F.sum("n")).first()[0] <= 1000
+
+
+def test_bayes_and_polynomials(spark):
+    from tessera.operators import bayes
+
+    df = spark.createDataFrame([(float(i), 2.0 + 3.0 * i + (i % 3 - 1) * 0.1) for i in range(60)], "x double, y double")
+    got = {r["term"]: r for r in bayes.bayesian_linear(df, "y", ["x"]).collect()}
+    assert got["x"]["low"] < 3.0 < got["x"]["high"] and abs(got["intercept"]["mean"] - 2) < 0.1
+    fit = {r["power"]: r["coefficient"] for r in bayes.polynomial_fit(df.withColumn("z", 1 + F.col("x") ** 2), "x", "z", 2).collect()}
+    assert fit[2] == pytest.approx(1, abs=1e-6) and fit[1] == pytest.approx(0, abs=1e-4)
+    assert sorted(r.real for r in bayes.polynomial_roots([2, -3, 1])) == pytest.approx([1, 2])
+    draws = bayes.metropolis(spark, lambda x: -0.5 * float((x - 1) @ (x - 1)), [0.0, 0.0], [1.0, 1.0], 1500)
+    assert all(abs(r["mean"] - 1) < 0.25 and r["r_hat"] < 1.1 for r in bayes.gelman_rubin(draws).collect())
