@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.store import texts, written
+from tessera.llm.store import bound_batches, texts, written
 from tessera.llm.words import grams, hashed, mix, slices
 
 _CHUNK = 1 << 15
@@ -189,6 +189,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int =
     Null doc_ids are never linked (component null, kept). Other columns are
     ignored; an empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     docs = texts(docs)
     signed = written(docs.mapInArrow(_signer(k, bands, rows, seed), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "signatures")
     sets = signed.where("n_shingles > 0 and doc_id is not null")

@@ -35,6 +35,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Texts go to Python in batches of at most ``rows``, which bounds the buffers on both sides; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id as long and text, whatever else the input carries."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import held_out
+from tessera.llm.store import bound_batches, held_out
 
 #: At most so many labelled texts of each class are learnt from, those of least hash.
 TEXTS_PER_CLASS = 2_000
@@ -90,10 +90,12 @@ def fit(texts: list[str], labels: list[int], steps: int = 60, rate: float = 0.1,
         return Model(np.zeros(_BUCKETS, np.float32), -2.0 if not docs or y.max() == 0 else 2.0)
     names = list(vocabulary)
     by_length, begin, _, _ = ngrams(names)
-    flat = np.concatenate([b[v] for b, v in by_length]).astype(np.int64)
-    word_of = np.concatenate([np.searchsorted(begin - 1, np.flatnonzero(v), "right") - 1 for _, v in by_length])
+    flat = np.concatenate([b[v] for b, v in by_length]).astype(np.int32)
+    word_of = np.concatenate([(np.searchsorted(begin - 1, np.flatnonzero(v), "right") - 1).astype(np.int32) for _, v in by_length])
+    del by_length, begin
     flat = flat[np.argsort(word_of, kind="stable")]
     lengths = np.bincount(word_of, minlength=len(names))
+    del word_of
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
 
     # Windows of word ids, all texts one after the other.
@@ -105,7 +107,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 60, rate: float = 0.1,
     group = np.searchsorted(owner, np.arange(len(docs)))
 
     # The first dimension starts from how much oftener a gram is in toxic texts; the rest at random.
-    texts_with = [sum((np.bincount(np.unique(d), minlength=len(names)) for d, t in zip(docs, y, strict=True) if t == c), np.zeros(len(names))) for c in (0, 1)]
+    texts_with = [np.bincount(np.concatenate([np.unique(d) for d, t in zip(docs, y, strict=True) if t == c]), minlength=len(names)) for c in (0, 1)]
     in_clean, in_toxic = (np.bincount(flat, weights=np.repeat(w, lengths), minlength=_BUCKETS) for w in texts_with)
     odds = np.log((in_toxic + 0.5) / (y.sum() + 1)) - np.log((in_clean + 0.5) / ((1 - y).sum() + 1))
     seen = np.minimum(1, (in_toxic + in_clean) / 8)
@@ -217,6 +219,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = TEXTS_PE
     model = fit(texts, toxic)
     rows = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    bound_batches(docs.sparkSession)
     return rows.mapInArrow(_score(model), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
@@ -233,4 +236,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **opt
         for batch in batches:
             yield batch.filter(pa.array(scores(model, batch.column(names.index("text")).to_pylist()) < threshold))
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
