@@ -727,7 +727,7 @@ def matrix_conjugate_gradient(t, s):
     m = cells(t)
     a = X.add(X.matmul(m, X.transpose(m)), X.scale(X.identity(s, 50), 1e4))
     b = s.range(50).select(F.col("id").alias("i"), F.lit(1.0).alias("v"))
-    return rounded(X.conjugate_gradient(a, b, 1e-6, 3, jacobi=True), 8)
+    return rounded(X.conjugate_gradient(a, b, 1e-6, 500, jacobi=True), 14)
 
 
 @query(None)
