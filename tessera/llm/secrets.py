@@ -119,9 +119,10 @@ def guessed_spans(text: str, base: list[tuple[int, int, str]], guesses: float =
     low = text.lower()
     if not any(k in low for k in _KEYS):
         return []
-    found = []
-    for m in _CONTEXT.finditer(text):
+    found, at = [], 0
+    while m := _CONTEXT.search(text, at):
         s, e = m.span(1)
+        at = s  # a rejected value may hold the next keyword
         value = m.group(1).rstrip(".)]}!?:")
         e = s + len(value)
         separated = m.group(0)[: s - m.start()].rstrip("\"' ")[-1:] in ("=", ":", ">")
@@ -131,6 +132,7 @@ def guessed_spans(text: str, base: list[tuple[int, int, str]], guesses: float =
             continue
         if guess_cost(value) >= guesses:
             found.append((s, e, "guess"))
+            at = m.end()
     return found
 
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tessera.llm import secrets
 from tessera.operators import matrix
 from tessera.plans import queries as toolkit
 
@@ -35,3 +36,8 @@ def test_conjugate_gradient_on_tables(spark, monkeypatch):
     b = spark.createDataFrame([(0, 1.0)], "i long, v double")
     x = {r["i"]: r["v"] for r in matrix.conjugate_gradient(a, b, jacobi=True).collect()}
     assert np.allclose([x[0], x[1], x[2]], np.linalg.solve([[4, 1, 0], [1, 3, 0.5], [0, 0.5, 2]], [1, 0, 0]))
+
+
+@pytest.mark.parametrize("text", ["login password: xK9#mQ2$vL", "auth token: xK9#mQ2$vL", "the password is token: xK9#mQ2$vL", "login password: bearer secret => xK9#mQ2$vL"])
+def test_secret_behind_adjacent_keywords(text):
+    assert [text[s:e] for s, e, _ in secrets.guessed_spans(text, secrets.base_spans(text))] == ["xK9#mQ2$vL"]
