@@ -12,8 +12,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +26,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so no shorter run can hide a longer one
 _CONTEXT = re.compile(
-    r"""(?<![a-z0-9])(?:pwd|pass(?:phrase|code|word|wd)?|secret|token|api_?key|access_?key|private_?key|credentials?|auth|bearer|login|pin)(?![a-z0-9])["']?\x20{0,3}(?:[:=]|\bis\b|=>|\x20)\x20{0,3}["']?([^\s"'<>,;]{6,128})""",
+    r"""(?<![a-z0-9])(?:pwd|pass(?:phrase|code|word|wd)?|secret|token|api_?key|access_?key|private_?key|credentials?|auth|bearer|login|pin)(?![a-z0-9])["']?\x20{0,3}(?:[:=]|\bis\b|=>|\x20)\x20{0,3}["']?(?=([^\s"'<>,;]{6}))""",
     re.IGNORECASE | re.ASCII,
 )
+_END = re.compile(r"""[\s"'<>,;]|\Z""", re.ASCII)
 # Parts of the keys above in lower case; a text without any cannot match.
 _KEYS = ("pass", "pwd", "secret", "token", "api", "key", "credential", "auth", "bearer", "login", "pin")
 #: A value in credential context counts as a secret from 10^GUESSES guesses on.
@@ -72,6 +76,9 @@ def guess_cost(value: str) -> float:
         if low[i] == low[i - 1]:
             same[i] = same[i - 1] + 1
     brute = [0.0] + [math.inf] * n  # cheapest with a brute-force stretch that ends here
+    held = np.zeros(n + 1)  # best, for long slices
+    logs = np.log10(np.arange(1, n + 2))
+    repeats = _repeats(low[:n])
     for e in range(1, n + 1):
         brute[e] = min(brute[e - 1] if e > 1 else math.inf, best[e - 1] + start) + letter
         cost = brute[e]
@@ -82,25 +89,61 @@ def guess_cost(value: str) -> float:
                 if rank:
                     upper = 0.3 if value[s:e] != low[s:e] else 0.0
                     cost = min(cost, best[s] + start + math.log10(rank + 1) + extra + upper)
-        if walk[e - 1] >= 3:
-            for size in range(3, walk[e - 1] + 1):
-                cost = min(cost, best[e - size] + start + math.log10(40 * size * 4))
-        if same[e - 1] >= 2:
-            for size in range(2, same[e - 1] + 1):
-                cost = min(cost, best[e - size] + start + letter + math.log10(size))
+        # Sizes count down from the longest, as the slices of ``held`` count up.
+        if (w := walk[e - 1]) >= 3:
+            cost = min(cost, float((held[e - w : e - 2] + start + math.log10(160) + logs[2:w][::-1]).min()))
+        if (w := same[e - 1]) >= 2:
+            cost = min(cost, float((held[e - w : e - 1] + start + letter + logs[1:w][::-1]).min()))
         if e >= 4 and _YEAR.fullmatch(value, e - 4, e):
             cost = min(cost, best[e - 4] + start + math.log10(120))
         for size in (6, 8, 10):
             if e >= size and _DATE.fullmatch(value, e - size, e):
                 cost = min(cost, best[e - size] + start + math.log10(120 * 366))
         # A stretch that repeats what stands right before it.
-        for size in range(2, e // 2 + 1):
-            if low[e - size : e] == low[e - 2 * size : e - size]:
-                cost = min(cost, best[e - size] + start + 0.3)
-        best[e] = cost
+        for sizes in next(repeats):
+            cost = min(cost, float(held[e - sizes].min()) + start + 0.3)
+        best[e] = held[e] = cost
     return best[n]
 
 
+def _repeats(low: str) -> Iterator[list[np.ndarray]]:
+    """For each end e = 1, 2, ...: arrays of all sizes for which low[e - size : e] repeats what stands right before it.
+
+    Lengths of agreement with the text ``size`` before are carried on from end
+    to end. Sizes below 16 are all followed; larger ones agree in their last 16
+    characters at least, so only earlier places of these are looked at.
+    """
+    n, k = len(low), 16
+    runs = [0] * k
+    long = n >= 2 * k
+    if long:
+        ids = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        for width in (1, 2, 4, 8):  # ids of equal stretches of twice the width
+            ids = np.unique(ids[:-width] * (int(ids.max()) + 1) + ids[width:], return_inverse=True)[1].astype(np.int64)
+        order = np.argsort(ids, kind="stable")
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.arange(len(ids))
+        first = np.searchsorted(ids[order], ids)
+        since, last = np.zeros(n, np.int64), np.full(n, -1)  # by size: where agreement began, and the last end with it
+    for e in range(1, n + 1):
+        found = []
+        for size in range(1, min(k, e)):
+            runs[size] = runs[size] + 1 if low[e - 1] == low[e - 1 - size] else 0
+        small = [size for size in range(2, min(k, e)) if runs[size] >= size]
+        if small:
+            found.append(np.array(small))
+        if long and e >= k and first[e - k] < rank[e - k]:
+            i = e - k
+            sizes = i - order[first[i] : rank[i]]
+            sizes = sizes[sizes >= k]
+            since[sizes[last[sizes] != e - 1]] = i
+            last[sizes] = e
+            sizes = sizes[e - since[sizes] >= sizes]
+            if len(sizes):
+                found.append(sizes)
+        yield found
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans (start, end, kind) of the three fixed patterns, by start, then kind as listed."""
     low = text.lower()
@@ -115,24 +158,27 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def guessed_spans(text: str, base: list[tuple[int, int, str]], guesses: float = GUESSES) -> list[tuple[int, int, str]]:
-    """Values in credential context that take at least 10^guesses guesses and touch no base span."""
+    """Values in credential context that take at least 10^guesses guesses and begin in no base span; whole, even if a base span lies further on in them."""
     low = text.lower()
     if not any(k in low for k in _KEYS):
         return []
-    found, at = [], 0
+    begins, ends = [b for b, _, _ in base], list(accumulate((b for _, b, _ in base), max))
+    found, at, stop = [], 0, -1
     while m := _CONTEXT.search(text, at):
-        s, e = m.span(1)
-        at = s  # a rejected value may hold the next keyword
-        value = m.group(1).rstrip(".)]}!?:")
+        s = at = m.start(1)  # a rejected value may hold the next keyword
+        if stop < s:
+            stop = _END.search(text, s).start()
+        value = text[s:stop].rstrip(".)]}!?:")
         e = s + len(value)
         separated = m.group(0)[: s - m.start()].rstrip("\"' ")[-1:] in ("=", ":", ">")
         # Without a separator the value must look unlike a word: two kinds of characters at least.
         kinds = sum((any(c.islower() for c in value), any(c.isupper() for c in value[1:]), any(c.isdigit() for c in value), any(not c.isalnum() for c in value)))
-        if len(value) < 6 or kinds < (2 if separated else 3) or any(s < b and a < e for a, b, _ in base):
+        before = bisect_right(begins, s)
+        if len(value) < 6 or kinds < (2 if separated else 3) or (before and ends[before - 1] > s):
             continue
         if guess_cost(value) >= guesses:
             found.append((s, e, "guess"))
-            at = m.end()
+            at = stop
     return found
 
 
@@ -153,7 +199,7 @@ def _scan(guesses: float):
                     c.append(sum(s[2] == kind for s in (more if kind == "guess" else base)))
                 bases.append(joined(base))
                 alls.append(joined(sorted(base + more, key=lambda s: (s[0], ("assign", "access", "hex", "guess").index(s[2])))))
-                costs.append(max((guess_cost(text[s:e][:256]) for s, e, _ in base + more), default=None))
+                costs.append(max((guess_cost(text[s:e]) for s, e, _ in base + more), default=None))
             yield pa.record_batch([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(bases, pa.string()), pa.array(alls, pa.string()), pa.array(costs, pa.float64())], names=["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base", "spans", "top_log10_guesses"])
 
     return run
@@ -164,8 +210,8 @@ def scan_secrets(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:
 
     Spans are kind:start:end in code points, end exclusive, comma-joined by
     start. Null and empty texts have none (top_log10_guesses null). Repeated
-    rows repeat; other columns are ignored; an empty table gives no rows. Only
-    spans' costs are computed on their first 256 characters, spans are whole.
+    rows repeat; other columns are ignored; an empty table gives no rows. Spans
+    and their costs are of whole values, however long.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))

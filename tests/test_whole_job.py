@@ -1,5 +1,8 @@
 """What the reviewed queries once left out."""
 
+import random
+import string
+
 import numpy as np
 import pytest
 
@@ -41,3 +44,23 @@ def test_conjugate_gradient_on_tables(spark, monkeypatch):
 @pytest.mark.parametrize("text", ["login password: xK9#mQ2$vL", "auth token: xK9#mQ2$vL", "the password is token: xK9#mQ2$vL", "login password: bearer secret => xK9#mQ2$vL"])
 def test_secret_behind_adjacent_keywords(text):
     assert [text[s:e] for s, e, _ in secrets.guessed_spans(text, secrets.base_spans(text))] == ["xK9#mQ2$vL"]
+
+
+def test_secret_spans_and_costs_are_whole(spark):
+    rng = random.Random(1)
+    value = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(3_000))
+    text = f"bearer {value} end"
+    row = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["spans"] == "guess:7:3007" and row["top_log10_guesses"] == secrets.guess_cost(value) > secrets.guess_cost(value[:256]) + 1_000
+    # A base span beyond what was once the cut leaves the value whole.
+    text = f"bearer {value[:200]}-deadbeefdeadbeefdeadbeef0"
+    assert secrets.guessed_spans(text, secrets.base_spans(text)) == [(7, len(text), "guess")]
+
+
+def test_repeats_match_brute_force():
+    rng = random.Random(2)
+    for n in range(1, 160):
+        block = "".join(rng.choice("ab") for _ in range(rng.randint(1, 40)))
+        low = "".join(rng.choice((block, block[:17], "a", "c")) for _ in range(n))[:n]
+        for e, found in enumerate(secrets._repeats(low), 1):
+            assert sorted(int(s) for sizes in found for s in sizes) == [s for s in range(2, e // 2 + 1) if low[e - s : e] == low[e - 2 * s : e - s]]
