@@ -84,6 +84,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     item_id hit words but are not counted. Repeated rows repeat; rows of one
     doc_id and different texts are judged apart. Other columns are ignored.
     """
+    return _judged(docs, benchmark, window, k).drop("__text")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int, k: int) -> DataFrame:
+    """find_contamination with the hash of each row's text, __text."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     docs = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__text": F.xxhash64("text")})
     items = benchmark.select("item_id", word_list(F.col("text").cast("string")).alias("words")).where(F.size("words") > 0)
@@ -92,7 +97,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     base = docs.select("doc_id", "__id", "__text", F.size(word_list(F.col("text"))).cast("long").alias("n_words"))
     none = F.sha2(F.lit("").cast("binary"), 256)
     if not lengths:
-        return base.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
+        return base.select("doc_id", "__text", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
     of = lambda n: items.where(F.size("words") >= n) if n == window else items.where(F.size("words") == n)
     hits = written(reduce(DataFrame.unionByName, [_hits(docs, of(n), n, k) for n in lengths]), "hits")
     covered = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("start", "length")), lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))
@@ -101,13 +106,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     per_doc = per_doc.select("__id", "__text", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256"))
     zero = F.lit(0).cast("long")
     n_hit = F.coalesce("n_hit", zero)
-    return base.join(per_doc, ["__id", "__text"], "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return base.join(per_doc, ["__id", "__text"], "left").select("doc_id", "__text", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
     """The rows of ``docs`` that share no window with ``benchmark``, all columns unchanged."""
-    bad = find_contamination(docs, benchmark, window, k).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(written(bad, "contaminated"), F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    bad = _judged(docs, benchmark, window, k).where("contaminated").select(F.col("doc_id").alias("__bad"), F.col("__text").alias("__bad_text")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__bad")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__bad_text"))
+    return docs.join(written(bad, "contaminated"), same, "left_anti")
 
 
 ORACLE_SQL = r"""

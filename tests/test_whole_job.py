@@ -6,7 +6,7 @@ import string
 import numpy as np
 import pytest
 
-from tessera.llm import secrets
+from tessera.llm import decontaminate, secrets
 from tessera.operators import matrix
 from tessera.plans import queries as toolkit
 
@@ -64,3 +64,11 @@ def test_repeats_match_brute_force():
         low = "".join(rng.choice((block, block[:17], "a", "c")) for _ in range(n))[:n]
         for e, found in enumerate(secrets._repeats(low), 1):
             assert sorted(int(s) for sizes in found for s in sizes) == [s for s in range(2, e // 2 + 1) if low[e - s : e] == low[e - 2 * s : e - s]]
+
+
+def test_drop_contaminated_keeps_clean_rows_of_the_same_id(spark):
+    leak = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(None, leak), (None, "clean words"), (None, None), (7, f"so {leak} so"), (7, "other words"), (8, leak)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    kept = [tuple(r) for r in decontaminate.drop_contaminated(docs, benchmark).collect()]
+    assert sorted(kept, key=str) == sorted([(None, "clean words"), (None, None), (7, "other words")], key=str)
