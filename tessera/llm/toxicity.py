@@ -28,9 +28,10 @@ from tessera.llm.store import bound_batches, held_out
 TEXTS_PER_CLASS = 2_000
 _BUCKETS = 1 << 16
 _DIMS = 8
+#: Training starts a passage at every second word, which halves its memory; scoring at every word.
 _PASSAGE, _STRIDE = 3, 2
-#: N-grams of less than this share of the texts keep a zero vector.
-_SEEN = 0.01
+#: N-grams of fewer occurrences keep a zero vector; decay keeps those of few from being learnt by heart.
+_SEEN, _DECAY = 2, 1e-5
 #: Texts are scored in slices of about so many characters.
 _SLICE = 1 << 19
 _WORD = re.compile(r"[^\W_]+")
@@ -74,9 +75,9 @@ def ngrams(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.nd
     return out, first, end, np.searchsorted(first, bounds + 1)
 
 
-def _passages(n: int) -> np.ndarray:
+def _passages(n: int, stride: int = _STRIDE) -> np.ndarray:
     """Starts of passages, which overlap so that none is cut in a bad place."""
-    return np.arange(0, max(1, n - _PASSAGE + _STRIDE), _STRIDE)
+    return np.arange(0, max(1, n - _PASSAGE + stride), stride)
 
 
 def fit(texts: list[str], labels: list[int], steps: int = 60, rate: float = 0.1, seed: int = 3) -> Model:
@@ -111,7 +112,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 60, rate: float = 0.1,
     in_clean, in_toxic = (np.bincount(flat, weights=np.repeat(w, lengths), minlength=_BUCKETS) for w in texts_with)
     odds = np.log((in_toxic + 0.5) / (y.sum() + 1)) - np.log((in_clean + 0.5) / ((1 - y).sum() + 1))
     seen = np.minimum(1, (in_toxic + in_clean) / 8)
-    common = in_toxic + in_clean >= max(2.0, _SEEN * len(docs))
+    common = in_toxic + in_clean >= _SEEN
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.01, (_BUCKETS, _DIMS))
     emb[:, 0] = np.clip(odds, -3, 3) * seen
@@ -140,7 +141,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 60, rate: float = 0.1,
         at = np.repeat(first[touched], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
         per_gram = np.bincount(flat[at], weights=np.repeat(per_word[touched], reps), minlength=_BUCKETS)
         rows = np.flatnonzero((per_gram != 0) & common)
-        grads = (per_gram[rows, None] * weight[None, :], per_gram[rows] @ emb[rows] + 1e-4 * weight, np.array([pull.sum()]))
+        grads = (per_gram[rows, None] * weight[None, :] + _DECAY * emb[rows], per_gram[rows] @ emb[rows] + 1e-4 * weight, np.array([pull.sum()]))
         moves = []
         for k, g in enumerate(grads):
             m, v = (state[2 * k][rows], state[2 * k + 1][rows]) if k == 0 else (state[2 * k], state[2 * k + 1])
@@ -176,7 +177,7 @@ def logits(model: Model, texts: list[str | None]) -> np.ndarray:
         for i in range(end - begin):
             a, b = at[i], at[i + 1]
             if b > a:
-                s = _passages(b - a) + a
+                s = _passages(b - a, 1) + a
                 e = np.minimum(s + _PASSAGE, b)
                 out[begin + i] = ((sums[e] - sums[s]) / (e - s)).max() + model.bias
         begin = end

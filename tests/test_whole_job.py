@@ -6,7 +6,7 @@ import string
 import numpy as np
 import pytest
 
-from tessera.llm import decontaminate, secrets
+from tessera.llm import decontaminate, secrets, toxicity
 from tessera.operators import matrix
 from tessera.plans import queries as toolkit
 
@@ -72,3 +72,21 @@ def test_drop_contaminated_keeps_clean_rows_of_the_same_id(spark):
     benchmark = spark.createDataFrame([(1, leak)], "item_id long, text string")
     kept = [tuple(r) for r in decontaminate.drop_contaminated(docs, benchmark).collect()]
     assert sorted(kept, key=str) == sorted([(None, "clean words"), (None, None), (7, "other words")], key=str)
+
+
+def test_toxicity_learns_rare_markers():
+    clean = [f"the house number {i} stands by the river and nobody is there" for i in range(500)]
+    bad = [f"you are a worthless idiot number {i} by the river" for i in range(96)] + [f"the house number {i} zqvxkru stands by the river" for i in range(4)]
+    model = toxicity.fit(clean + bad, [0] * 500 + [1] * 100)
+    p = toxicity.scores(model, ["the house number 999 zqvxkru stands by the river", "the house number 999 stands by the river"])
+    assert p[0] > 0.5 > p[1]
+
+
+def test_toxicity_scores_a_passage_at_every_word():
+    assert list(toxicity._passages(6, 1)) == [0, 1, 2, 3] and list(toxicity._passages(2, 1)) == [0]
+    model = toxicity.Model(np.zeros(1 << 16, np.float32), 0.0)
+    (buckets, valid), first, _, _ = (lambda g: (g[0][0], *g[1:]))(toxicity.ngrams(["bad"]))
+    model.logits[buckets[valid]] = 9.0
+    # The three adjacent words start at an odd place, so only every-word starts see them together.
+    low, high = toxicity.logits(model, ["so bad so bad so so", "so bad bad bad so so"])
+    assert high > 2.9 * (low / 2) and high == toxicity.logits(model, ["bad bad bad so so so"])[0]
