@@ -5,10 +5,11 @@ collections of minhash bands, A and B, are computed; every pair (A_i, B_j) is
 one table key, so ``bands`` x ``bands`` tables cost only 2 x bands x rows
 minhashes instead of bands^2 x 2 x rows. A pair of Jaccard similarity 0.85
 misses all tables with probability at most 2 * (1 - 0.85^rows)^bands, 7e-5 with
-the defaults. Every link is confirmed on the full shingle sets.
+the defaults.
 
-Equal sets collapse to one representative first, so a huge group of copies is
-one node. Within a bucket the members are first compared with the smallest one
+Texts of equal words (by a 128-bit BLAKE2b of them) collapse to one
+representative first, so a huge group of copies is one node. Shingle hashes only
+propose: every link between different texts is confirmed on the words. Within a bucket the members are first compared with the smallest one
 only. Buckets that still hold several components are then settled exactly, but
 without forming their pairs: every member is described by how it differs from
 the hub of the bucket's largest component. Of two members to be linked, one of
@@ -20,6 +21,7 @@ they meet on a prefix of their differences, those that the hub lacks first
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.store import bound_batches, texts, written
-from tessera.llm.words import grams, hashed, mix, slices
+from tessera.llm.store import arrow_batches, texts, written
+from tessera.llm.words import folded, grams, hashed, mix, slices
 
 _CHUNK = 1 << 15
+#: Rows of a batch that goes to Python, which bounds the buffers on both sides.
+_BATCH = 1_000
 
 
 def shingle_sets(docs: list[bytes], k: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; A-Z count as a-z."""
     for i, j in slices(docs):
-        words, at = hashed(docs[i:j], fold=True)
+        (words,), at = hashed(docs[i:j], fold=True)
         all_grams = grams(words, k, k)
         for d in range(j - i):
             a, b = at[d], at[d + 1]
@@ -48,6 +52,16 @@ def shingle_sets(docs: list[bytes], k: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, dtype=np.uint64)
 
 
+def word_shingles(words: list[bytes], k: int) -> set[tuple[bytes, ...]]:
+    """The set itself: distinct runs of ``k`` words, or the whole sequence of fewer; none without words."""
+    return set(zip(*[words[i:] for i in range(k)], strict=False)) if len(words) >= k else {tuple(words)} if words else set()
+
+
+def similar(x: set, y: set, percent: int) -> bool:
+    both = len(x & y)
+    return bool(both) and 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _signer(k: int, bands: int, rows: int, seed: int):
     n = 2 * bands * rows
     rng = np.random.default_rng(seed)
@@ -65,13 +79,12 @@ def _signer(k: int, bands: int, rows: int, seed: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            sizes, one, two, keys = [], [], [], []
+            sizes, keys = [], []
             for s in shingle_sets(docs, k):
                 sizes.append(len(s))
-                one.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                two.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 keys.append(grams_of(minhashes(s)) if len(s) else [])
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "s1", "s2", "bands"])
+            same = [blake2b(b" ".join(folded(t)), digest_size=16).digest() for t in docs]
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "same", "bands"])
 
     def grams_of(m: np.ndarray) -> list[int]:
         out = np.arange(1, 2 * bands + 1, dtype=np.uint64)
@@ -83,17 +96,16 @@ def _signer(k: int, bands: int, rows: int, seed: int):
 
 
 def _confirm(k: int, percent: int):
-    """Keeps the pairs (a, b, text_a, text_b) whose sets are similar enough."""
+    """Keeps the pairs (a, b, text_a, text_b) whose sets of words are similar enough."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = (batch.column(c).cast(pa.binary()).to_pylist() for c in (2, 3))
-            keep = []
+            keep, held, of = [], None, set()
             for x, y in zip(left, right, strict=True):
-                s, t = shingle_sets([x], k), shingle_sets([y], k)
-                s, t = next(s), next(t)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(bool(both) and 100 * both >= percent * (len(s) + len(t) - both))
+                if x != held:  # rows of one leader often follow each other
+                    held, of = x, word_shingles(folded(x), k)
+                keep.append(similar(of, word_shingles(folded(y), k), percent))
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return check
@@ -118,6 +130,7 @@ def _differences(k: int, percent: int):
                 n, most = len(d), len(extra) + len(lacking)
                 both = n - len(extra)
                 linked = bool(both) and 100 * both >= percent * (n + len(lacking))
+                linked = linked and (not probe or similar(word_shingles(folded(x), k), word_shingles(folded(y), k), percent))
                 share = max(1, -((-most * (100 + percent) - (100 - percent) * (len(h) - n)) // (2 * (100 + percent))))
                 reach = most - share + 1
                 if probe and not linked:
@@ -150,7 +163,8 @@ def _with_texts(pairs: DataFrame, some: DataFrame, a: str, b: str) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, some: DataFrame, k: int, percent: int) -> DataFrame:
     full = _with_texts(written(pairs, "pairs"), some, "a", "b")
-    return written(full.mapInArrow(_confirm(k, percent), "a long, b long"), "links")
+    with arrow_batches(some.sparkSession, _BATCH):
+        return written(full.mapInArrow(_confirm(k, percent), "a long, b long"), "links")
 
 
 def _cross_links(buckets: DataFrame, links: DataFrame, some: DataFrame, k: int, percent: int) -> DataFrame:
@@ -164,7 +178,8 @@ def _cross_links(buckets: DataFrame, links: DataFrame, some: DataFrame, k: int,
     members = placed.join(open_, "key").join(hubs, F.col("main") == F.col("component"), "left")
     members = members.select(F.coalesce("hub", "main").alias("hub"), F.col("rep").alias("doc"), "comp", (F.col("comp") != F.col("main")).alias("probe")).where("hub <> doc").distinct()
     full = _with_texts(written(members, "members"), some, "hub", "doc")
-    rows = written(full.mapInArrow(_differences(k, percent), _DIFFERENCES), "differences")
+    with arrow_batches(some.sparkSession, _BATCH):
+        rows = written(full.mapInArrow(_differences(k, percent), _DIFFERENCES), "differences")
     direct = rows.where("place = 0").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
     rows = rows.where("place > 0")
     mixed = rows.groupBy("hub", "token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("probe").alias("any")).where("low < high and any").select("hub", "token")
@@ -189,11 +204,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int =
     Null doc_ids are never linked (component null, kept). Other columns are
     ignored; an empty table gives no rows.
     """
-    bound_batches(docs.sparkSession)
     docs = texts(docs)
-    signed = written(docs.mapInArrow(_signer(k, bands, rows, seed), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "signatures")
+    with arrow_batches(docs.sparkSession, _BATCH):
+        signed = written(docs.mapInArrow(_signer(k, bands, rows, seed), "doc_id long, n_shingles long, same binary, bands array<long>"), "signatures")
     sets = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = sets.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    reps = sets.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     pairs_of_bands = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.transform(F.sequence(F.lit(bands), F.lit(2 * bands - 1)), lambda j: F.xxhash64(i, j, F.get("bands", i), F.get("bands", j)))))
     tables = reps.select("rep", F.col("n_shingles").alias("n"), F.explode(pairs_of_bands).alias("key"))
     crowded = tables.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("low"), F.count("*").alias("c")).where("c > 1").select("key", F.col("low.rep").alias("leader"), F.col("low.n").alias("leader_n"))
@@ -205,17 +220,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, bands: int =
     some = written(docs.where("text is not null").join(need, "doc_id", "left_semi"), "texts")
     links = _confirmed(stars, some, k, percent)
     more = written(_cross_links(buckets, links, some, k, percent), "cross")
-    members = sets.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    ids = sets.select("doc_id", "s1", "s2", "n_shingles").join(members, ["s1", "s2", "n_shingles"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
-    final = components(links.unionByName(more))
+    members = sets.groupBy("same").agg(F.min("doc_id").alias("rep"))
     # A copy takes its representative's component; ids that stand in several sets join them all.
     twice = sets.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
     if twice.limit(1).count():
+        ids = sets.select("doc_id", "same").join(members, "same").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
         final = components(links.unionByName(more).unionByName(ids))
         labelled = signed.join(final, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     else:
-        final = members.join(final, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-        labelled = signed.join(final, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"))
+        final = components(links.unionByName(more))
+        final = members.join(final, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("component"))
+        labelled = signed.join(final, "same", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"))
     return labelled.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -223,8 +238,8 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, **optio
     """The rows of ``docs`` that stand for their group, all columns unchanged.
 
     Links at ``percent``/100 similarity on ``k``-word shingles. Of repeated rows
-    with one doc_id all stay if their id stands for the group.
+    with one doc_id all stay if their id stands for the group. Rows of a null
+    doc_id, null, empty and word-less texts stay. An empty table gives no rows.
     """
-    gone = near_duplicates(docs, k, percent, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = written(gone, "gone")
+    gone = written(near_duplicates(docs, k, percent, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")

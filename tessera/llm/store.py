@@ -1,46 +1,16 @@
-"""Shared scratch storage and small DataFrame helpers of the llm operators.
-
-Intermediate tables go to the folder named by ``spark.checkpoint.dir`` as
-Parquet, so a lost executor only costs the tasks it was running: a written
-table is read again, never recomputed from a machine-local copy.
-"""
+"""Small DataFrame helpers of the llm operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import arrow_batches, forget, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a private one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    held = spark.sparkContext.getCheckpointDir()
-    if held:
-        return held
-    made = tempfile.mkdtemp(prefix="tessera-")
-    spark.sparkContext.setCheckpointDir(f"file://{made}")
-    return f"file://{made}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a DataFrame that reads it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["arrow_batches", "forget", "held_out", "shared_rows", "small_enough", "table", "texts", "written"]
 
-
-def bound_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Texts go to Python in batches of at most ``rows``, which bounds the buffers on both sides; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, rows)
+#: Keys with more rows than this are joined apart, see ``shared_rows``.
+HOT_ROWS = 1 << 20
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -60,3 +30,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than needed."""
     return df.limit(rows + 1).count() <= rows
+
+
+def shared_rows(rows: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The rows of ``rows`` (a written table with doc_id) whose keys occur under two doc_ids, with ``low``, the least of these.
+
+    Keys of more than ``hot_rows`` rows are so few (one in that many rows) that
+    they are broadcast; the others are joined by a shuffle in which no key is
+    large.
+    """
+    found = rows.groupBy(*keys).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select(*keys, "low", "n")
+    found = written(found, "shared")
+    out = rows.join(found.where(F.col("n") <= hot_rows).drop("n"), keys)
+    hot = found.where(F.col("n") > hot_rows).drop("n")
+    return out.unionByName(rows.join(F.broadcast(hot), keys)) if hot.limit(1).count() else out

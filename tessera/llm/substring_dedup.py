@@ -3,41 +3,45 @@
 Recompression names runs of equal symbols and then pairs of neighbouring
 symbols, round by round; which neighbours pair up depends only on the two
 symbols, so equal substrings get equal symbols everywhere but near their ends.
-Names are content fingerprints, hence the same in every task.
-
-Two heights of the parse are used, in one Spark pass over the texts:
-
-* High symbols: pairs of neighbouring symbols of the top level (16 words or
-  more each, as a rule). A pair that a smaller doc_id also has reveals a long
-  repeat, and its fingerprint, taken from the words below it, verifies it.
-* Low boundaries: whether a level-2 boundary stands at a place depends on three
-  words on either side only, and a level-2 symbol has at most four words unless
-  a run is in it. So every window of 13 words holds such a boundary well inside,
-  the same one in every document that has the window; the one of least name
-  stands for the window. Windows without one (runs) stand for themselves.
-
-Only windows whose boundary occurs in two documents, and which no high pair has
-settled, are then compared one by one, on 128 bits of content. The document
-with the smallest id never has its windows settled by a pair, so it is always
-there to be compared with, and the result is exact.
+A name is a 128-bit fingerprint of what it stands for, under a key drawn for
+each call, hence the same in every task without an exchange; the rounds up to
+symbols of 16 words and more run in the Spark pass that reads the texts. Spark
+then counts names globally, from the top of the parse down:
+
+* High symbols decide first: a pair of neighbouring symbols of the top level
+  that a smaller doc_id also has is a long repeat, and all windows inside it are
+  settled by that.
+* Low symbols lead to what is left, the edges of long repeats and short ones:
+  whether a level-2 boundary stands at a place depends on three words on either
+  side only, and a level-2 symbol has at most four words unless a run is in it.
+  So every window of 13 words holds such a boundary well inside, the same one in
+  every document that has the window; the one of least name stands for the
+  window. Windows without one (runs) stand for themselves. Windows that no high
+  pair has settled and whose boundary occurs in two documents are compared one
+  by one.
+
+The document with the smallest id never has its windows settled by a pair, so it
+is always there to be compared with, and the result is exact. Each pass works on
+slices of many texts at once, so short texts cost no numpy call of their own.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import texts, written
+from tessera.llm.store import forget, shared_rows, texts, written
 from tessera.llm.words import grams, hashed, mix, slices
 
 _NONE = np.uint64(2**64 - 1)
 _K = np.uint64(0x9FB21C651E98DF25)
-_P = (0xC2B2AE3D27D4EB4F & ~7) | 5
-_PI = pow(_P, -1, 2**64)
 _ROUNDS, _WIDE = 14, 16
 
 
@@ -46,17 +50,6 @@ def _sides(names: np.ndarray, level: int) -> np.ndarray:
     return (mix(names ^ np.uint64(level * 0x632BE59BD9B4E019 & (2**64 - 1))) & np.uint64(1)).astype(bool)
 
 
-def _ranges(words: np.ndarray):
-    """A function giving content fingerprints of word ranges [s, e), independent of the names."""
-    n = len(words)
-    up = np.full(n + 1, _P, dtype=np.uint64)
-    down = np.full(n + 1, _PI, dtype=np.uint64)
-    up[0] = down[0] = 1
-    up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(words ^ np.uint64(0x2545F4914F6CDD1D)) * up[:n], dtype=np.uint64)])
-    return lambda s, e: mix((sums[e] - sums[s]) * down[s]) | np.uint64(1)
-
-
 def _slot_names(words: np.ndarray) -> np.ndarray:
     """For each slot b (between words b-1 and b): the name of its six words if a level-2 boundary stands there, else _NONE."""
     n = len(words)
@@ -94,150 +87,169 @@ def _window_names(words: np.ndarray, window: int) -> np.ndarray:
     return np.where(least == _NONE, full, least)
 
 
-def _top_symbols(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names, first words and documents of the symbols after the last round."""
-    names, start, of = words, np.arange(len(words)), doc
+def _top_symbols(words: list[np.ndarray], doc: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Both halves of the names, first words and documents of the symbols after the last round."""
+    names, start, of = words, np.arange(len(doc)), doc
     for level in range(1, _ROUNDS + 1):
-        width = np.diff(np.append(start, len(words)))
-        free = width < _WIDE
+        free = np.diff(np.append(start, len(doc))) < _WIDE
         # Runs of equal symbols become one symbol, named by its length too.
-        new = np.ones(len(names), dtype=bool)
-        new[1:] = (names[1:] != names[:-1]) | (of[1:] != of[:-1]) | ~free[1:] | ~free[:-1]
+        new = np.ones(len(of), dtype=bool)
+        new[1:] = (names[0][1:] != names[0][:-1]) | (of[1:] != of[:-1]) | ~free[1:] | ~free[:-1]
         first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(names))).astype(np.uint64)
-        names = np.where(count > 1, mix(names[first] * _K + count + np.uint64(level)), names[first])
+        count = np.diff(np.append(first, len(of))).astype(np.uint64)
+        run = np.flatnonzero(count > 1)
+        names = [n[first] for n in names]
+        for n in names:
+            n[run] = mix(n[run] * _K + count[run] + np.uint64(level))
         start, of = start[first], of[first]
-        free = np.diff(np.append(start, len(words))) < _WIDE
+        free = np.diff(np.append(start, len(doc))) < _WIDE
         # Pairs of a left and a right symbol become one.
-        right = _sides(names, level)
-        pair = np.zeros(len(names), dtype=bool)
-        pair[:-1] = ~right[:-1] & right[1:] & (of[1:] == of[:-1]) & free[:-1] & free[1:]
-        stay = np.ones(len(names), dtype=bool)
-        stay[1:] = ~pair[:-1]
-        joined = names.copy()
-        at = np.flatnonzero(pair)
-        joined[at] = mix(names[at] * _K + names[at + 1] + np.uint64(level * 7919))
-        names, start, of = joined[stay], start[stay], of[stay]
+        right = _sides(names[0], level)
+        at = np.flatnonzero(~right[:-1] & right[1:] & (of[1:] == of[:-1]) & free[:-1] & free[1:])
+        stay = np.ones(len(of), dtype=bool)
+        stay[at + 1] = False
+        for n in names:
+            n[at] = mix(n[at] * _K + n[at + 1] + np.uint64(level * 7919))
+        names, start, of = [n[stay] for n in names], start[stay], of[stay]
     return names, start, of
 
 
-def _high_pairs(words: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Keys, fingerprints, documents and word ranges of neighbouring top symbols, where a window fits."""
-    if not len(words):
+def _high_pairs(words: list[np.ndarray], doc: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Both halves of the names, documents and word ranges of neighbouring top symbols, where a window fits."""
+    if not len(doc):
         none = np.zeros(0, dtype=np.uint64)
         return none, none, *(np.zeros(0, dtype=np.int64),) * 3
     names, start, of = _top_symbols(words, doc)
-    end = np.append(start[1:], len(words))
-    with_next = np.zeros(len(names), dtype=bool)
+    end = np.append(start[1:], len(doc))
+    with_next = np.zeros(len(of), dtype=bool)
     with_next[:-1] = of[1:] == of[:-1]
-    first_of = np.ones(len(names), dtype=bool)
+    first_of = np.ones(len(of), dtype=bool)
     first_of[1:] = of[1:] != of[:-1]
-    after = np.minimum(np.arange(len(names)) + 1, len(names) - 1)
+    after = np.minimum(np.arange(len(of)) + 1, len(of) - 1)
     till = np.where(with_next, end[after], end)
     use = (with_next | first_of) & (till - start >= window)
-    key = mix(names * _K + np.where(with_next, names[after], np.uint64(1)) + np.uint64(0x1B873593))
-    return key[use], _ranges(words)(start[use], till[use]), of[use], start[use], till[use]
+    one, two = (mix(n * _K + np.where(with_next, n[after], np.uint64(1)) + np.uint64(0x1B873593))[use] for n in names)
+    return one, two | np.uint64(1), of[use], start[use], till[use]
+
+
+def _signed(*parts: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate(parts).view(np.int64))
+
+
+def _first_of_each(*columns: np.ndarray) -> np.ndarray:
+    """True where a row differs from the one before."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def _lists(column: pa.Array, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of the lists of ``rows``, and which of these rows each is of."""
+    part = column.take(pa.array(rows))
+    n = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
+    return part.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.repeat(np.arange(len(rows)), n)
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def _among(values: np.ndarray, of: np.ndarray, listed: np.ndarray, listed_of: np.ndarray) -> np.ndarray:
+    """Whether each value is in its own document's list."""
+    if not len(values) or not len(listed):
+        return np.zeros(len(values), dtype=bool)
+    return np.isin(mix(values + of.astype(np.uint64) * _K), mix(listed + listed_of.astype(np.uint64) * _K))
 
 
-def _survey(window: int):
-    """First pass: (doc_id, key, check); check is 0 for a boundary's name."""
+class _Slice:
+    """The words of some texts, their documents and which window starts lie in one document."""
+
+    def __init__(self, docs: list[bytes], keys: tuple[int, int], window: int):
+        self.words, self.at = hashed(docs, keys)
+        self.doc = np.repeat(np.arange(len(docs)), np.diff(self.at))
+        self.starts = max(0, len(self.doc) - window + 1)
+        self.inside = self.doc[window - 1 :] == self.doc[: self.starts] if self.starts else np.zeros(0, dtype=bool)
+        self.window = window
+
+    def settled(self, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Window starts inside a high pair that a smaller doc_id also has."""
+        if not len(pairs[0]):
+            return np.zeros(self.starts, dtype=bool)
+        key, _, of, start, till = _high_pairs(self.words, self.doc, self.window)
+        hit = _among(key, of, *pairs)
+        change = np.bincount(start[hit], minlength=len(self.doc) + 1) - np.bincount(till[hit] - self.window + 1, minlength=len(self.doc) + 1)
+        return np.cumsum(change)[: self.starts] > 0
+
+
+def _survey(window: int, keys: tuple[int, int]):
+    """First pass: (doc_id, key, check); check is 0 for a boundary's name, odd for a high pair's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             docs = batch.column(1).cast(pa.binary()).to_pylist()
             for i, j in slices(docs):
-                words, at = hashed(docs[i:j])
-                counts = np.diff(at)
-                doc = np.repeat(np.arange(j - i), counts)
-                names = _window_names(words, window)
-                inside = doc[window - 1 :] == doc[: len(names)] if len(names) else np.zeros(0, dtype=bool)
-                names, of = names[inside], doc[: len(names)][inside]
-                new = np.ones(len(names), dtype=bool)
-                new[1:] = (names[1:] != names[:-1]) | (of[1:] != of[:-1])
+                s = _Slice(docs[i:j], keys, window)
+                names = _window_names(s.words[0], window)[s.inside]
+                of = s.doc[: s.starts][s.inside]
+                new = _first_of_each(names, of)
                 names, of = names[new], of[new]
                 order = np.lexsort((names, of))
                 names, of = names[order], of[order]
-                new = np.ones(len(names), dtype=bool)
-                new[1:] = (names[1:] != names[:-1]) | (of[1:] != of[:-1])
+                new = _first_of_each(names, of)
                 names, of = names[new], of[new]
-                key, check, pair_of, _, _ = _high_pairs(words, doc, window)
-                yield pa.record_batch([pa.array(ids[i:j][np.concatenate([of, pair_of])]), _signed(np.concatenate([names, key])), _signed(np.concatenate([np.zeros(len(names), dtype=np.uint64), check]))], names=["doc_id", "key", "check"])
+                key, check, pair_of, _, _ = _high_pairs(s.words, s.doc, window)
+                yield pa.record_batch([pa.array(ids[i:j][np.concatenate([of, pair_of])]), _signed(names, key), _signed(np.zeros(len(names), dtype=np.uint64), check)], names=["doc_id", "key", "check"])
 
     return run
 
 
-def _settled(words: np.ndarray, window: int, pairs) -> np.ndarray:
-    """Starts of windows inside a high pair that a smaller doc_id also has."""
-    n = max(0, len(words) - window + 1)
-    done = np.zeros(n + 1, dtype=np.int64)
-    if pairs is not None and len(pairs) and n:
-        key, _, _, start, till = _high_pairs(words, np.zeros(len(words), dtype=np.int64), window)
-        hit = np.isin(key, np.asarray(pairs, dtype=np.int64).view(np.uint64))
-        np.add.at(done, start[hit], 1)
-        np.add.at(done, till[hit] - window + 1, -1)
-    return np.cumsum(done)[:n] > 0
-
-
-def _open_windows(window: int):
+def _open_windows(window: int, keys: tuple[int, int]):
     """Second pass: (doc_id, h1, h2) of the windows still to be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             docs = batch.column(1).cast(pa.binary()).to_pylist()
-            anchors, pairs = batch.column(2), batch.column(3)
             for i, j in slices(docs):
-                words, at = hashed(docs[i:j])
-                out = []
-                for d in range(j - i):
-                    own, keys = words[at[d] : at[d + 1]], anchors[i + d].values
-                    if len(own) < window or keys is None or not len(keys):
-                        continue
-                    todo = np.isin(_window_names(own, window), keys.to_numpy().view(np.uint64))
-                    p = pairs[i + d].values
-                    todo &= ~_settled(own, window, None if p is None else p.to_numpy())
-                    s = np.flatnonzero(todo)
-                    h1 = grams(own, window, window)[s]
-                    h1, first = np.unique(h1, return_index=True)
-                    out.append((np.full(len(h1), ids[i + d], dtype=np.int64), h1, _ranges(own)(s[first], s[first] + window)))
-                if out:
-                    a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
-                    yield pa.record_batch([pa.array(a), _signed(b), _signed(c)], names=["doc_id", "h1", "h2"])
+                s = _Slice(docs[i:j], keys, window)
+                rows = np.arange(i, j)
+                # A boundary that two documents share is shared for each that has it.
+                anchors = np.unique(_lists(batch.column(2), rows)[0])
+                names = _window_names(s.words[0], window)
+                new = _first_of_each(names) if len(names) else s.inside
+                todo = np.repeat(np.isin(names[new], anchors), np.diff(np.append(np.flatnonzero(new), len(names)))) & s.inside
+                todo &= ~s.settled(_lists(batch.column(3), rows))
+                at = np.flatnonzero(todo)
+                h1, h2 = (grams(w, window, window)[at] for w in s.words)
+                yield pa.record_batch([pa.array(ids[i:j][s.doc[at]]), _signed(h1), _signed(h2)], names=["doc_id", "h1", "h2"])
 
     return run
 
 
-def _cut(window: int):
+def _cut(window: int, keys: tuple[int, int]):
     """Last pass: the kept words of each text, and how many went."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            pairs, windows = batch.column(2), batch.column(3)
-            total, gone, kept = [], [], []
-            for i, j in slices(docs):
-                words, at = hashed(docs[i:j])
-                for d in range(j - i):
-                    own, p, w = words[at[d] : at[d + 1]], pairs[i + d].values, windows[i + d].values
-                    parts = docs[i + d].split()
-                    cut = np.zeros(len(own) + 1, dtype=np.int64)
-                    if len(own) >= window and (p is not None or w is not None):
-                        hit = _settled(own, window, None if p is None else p.to_numpy())
-                        if w is not None and len(w):
-                            hit |= np.isin(grams(own, window, window), w.to_numpy().view(np.uint64))
-                        s = np.flatnonzero(hit)
-                        np.add.at(cut, s, 1)
-                        np.add.at(cut, s + window, -1)
-                    drop = np.cumsum(cut)[:-1] > 0
-                    total.append(len(parts))
-                    gone.append(int(drop.sum()))
-                    kept.append(b" ".join([x for x, y in zip(parts, drop.tolist(), strict=True) if not y] if gone[-1] else parts).decode())
-            yield pa.record_batch([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+            parts = [t.split() for t in docs]
+            gone = [0] * len(docs)
+            listed = np.flatnonzero(pc.or_(*(pc.fill_null(pc.greater(pc.list_value_length(batch.column(c)), 0), False) for c in (2, 3))).to_numpy(zero_copy_only=False))
+            total = [len(p) for p in parts]
+            for i, j in slices([docs[d] for d in listed]):
+                rows = listed[i:j]
+                s = _Slice([docs[d] for d in rows], keys, window)
+                hit = s.settled(_lists(batch.column(2), rows))
+                open_ = np.flatnonzero(s.inside & ~hit)
+                hit[open_] = _among(grams(s.words[0], window, window)[open_], s.doc[open_], *_lists(batch.column(3), rows))
+                first = np.flatnonzero(hit)
+                change = np.bincount(first, minlength=len(s.doc) + 1) - np.bincount(first + window, minlength=len(s.doc) + 1)
+                stay = np.cumsum(change)[:-1] == 0
+                kept = stay.tolist()
+                for d, a, b in zip(rows.tolist(), s.at[:-1].tolist(), s.at[1:].tolist(), strict=True):
+                    parts[d] = list(compress(parts[d], kept[a:b]))
+                    gone[d] = b - a - len(parts[d])
+            text = [b" ".join(p).decode() for p in parts]
+            yield pa.record_batch([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(text, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     return run
 
@@ -252,20 +264,22 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     Other columns are ignored; an empty table gives no rows.
     """
     docs = texts(docs)
+    # Drawn for each call, so that no text can be made to collide; the result does not depend on it.
+    keys = (secrets.randbits(64), secrets.randbits(64))
     known = docs.where("doc_id is not null and text is not null")
-    seen = written(known.mapInArrow(_survey(window), "doc_id long, key long, check long"), "names")
-    shared = seen.groupBy("key", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "check", "low")
-    own = seen.join(shared, ["key", "check"])
+    seen = written(known.mapInArrow(_survey(window, keys), "doc_id long, key long, check long"), "names")
+    own = shared_rows(seen, ["key", "check"])
     anchor = F.col("check") == 0
     per_doc = own.where(anchor | (F.col("doc_id") > F.col("low"))).groupBy("doc_id").agg(F.collect_list(F.when(anchor, F.col("key"))).alias("anchors"), F.collect_list(F.when(~anchor, F.col("key"))).alias("pairs"))
-    per_doc = written(per_doc, "shared")
-    open_ = written(known.join(per_doc, "doc_id").select("doc_id", "text", "anchors", "pairs").mapInArrow(_open_windows(window), "doc_id long, h1 long, h2 long"), "open")
-    twice = open_.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h1", "h2", "low")
-    hits = open_.join(twice, ["h1", "h2"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_list("h1").alias("windows"))
-    found = per_doc.where(F.size("pairs") > 0).select("doc_id", "pairs").join(hits, "doc_id", "full")
-    return docs.join(written(found, "found"), "doc_id", "left").select("doc_id", "text", "pairs", "windows").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    per_doc = written(per_doc, "per_doc")
+    forget(seen)
+    open_ = written(known.join(per_doc, "doc_id").select("doc_id", "text", "anchors", "pairs").mapInArrow(_open_windows(window, keys), "doc_id long, h1 long, h2 long"), "open")
+    hits = shared_rows(open_, ["h1", "h2"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_set("h1").alias("windows"))
+    found = written(per_doc.where(F.size("pairs") > 0).select("doc_id", "pairs").join(hits, "doc_id", "full"), "found")
+    forget(per_doc, open_)
+    return docs.join(found, "doc_id", "left").select("doc_id", "text", "pairs", "windows").mapInArrow(_cut(window, keys), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def repeats_digest(docs: DataFrame, window: int = 13) -> DataFrame:
-    """remove_repeats with kept_sha256 in place of the kept text."""
+    """remove_repeats with kept_sha256 in place of the kept text; nulls, ties and empty tables as there."""
     return remove_repeats(docs, window).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

@@ -129,6 +129,20 @@ def brute_repeats(rows, k=13):
     return sorted(out, key=str)
 
 
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+def test_repeats_with_words_that_collide_as_polynomials(spark):
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(words[:6] + [t] + words[6:])) for i, t in enumerate(thue_morse(1024))]
+    got = substring_dedup.repeats_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r["n_removed"] for r in got] == [0, 0]
+
+
 def test_repeats_match_brute_force(spark):
     rng = random.Random(1)
     texts = []
@@ -136,7 +150,7 @@ def test_repeats_match_brute_force(spark):
         parts = [" ".join(rng.choices("abcd", k=rng.randint(0, 30))) for _ in range(3)] + [rng.choice(texts)[0:200] if texts else "", "a " * rng.randint(0, 40)]
         rng.shuffle(parts)
         texts.append(" ".join(parts))
-    for rows in ([(i, t) for i, t in enumerate(texts)], [(r["doc_id"], r["text"]) for r in docs_of(spark).collect()], [(r["doc_id"], r["text"]) for r in odd(spark).collect()]):
+    for rows in ([(i, t) for i, t in enumerate(texts)], [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").collect()], [(r["doc_id"], r["text"]) for r in odd(spark).collect()]):
         df = spark.createDataFrame(rows, "doc_id long, text string")
         assert sorted((tuple(r) for r in substring_dedup.repeats_digest(df).collect()), key=str) == brute_repeats(rows)
     assert substring_dedup.repeats_digest(empty(spark)).count() == 0
@@ -294,12 +308,39 @@ def test_near_duplicates_match_brute_force(spark):
     assert sorted(map(tuple, got.collect())) == brute_components(sorted(rows))
 
 
+def test_near_duplicates_confirm_on_words(spark):
+    # 14 words each, of which one is not the same: 4 of 10 shingles on each side are.
+    rows = [(i, " ".join([f"w{n}" for n in range(5)] + [t] + [f"v{n}" for n in range(8)])) for i, t in enumerate(thue_morse(1024))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["component_id"] for r in got) == [0, 1]
+    # Equal sets of different sequences are one group.
+    rows = [(3, "a b c d e a b c d e a b c d e"), (2, "B c d e a b c d e a b c d e a b"), (1, "z z z")]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 2}
+
+
+def test_near_duplicates_recall_on_documents(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").collect()]
+    got = sorted(map(tuple, near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute_components(sorted(rows))
+
+
+def test_drop_near_duplicates_odd(spark):
+    kept = near_dedup.drop_near_duplicates(odd(spark))
+    assert kept.columns == odd(spark).columns
+    ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect())
+    assert ids.count((True, 0)) == 2 and (False, 2) not in ids and (False, 7) not in ids and (False, 4) in ids and (False, 3) in ids
+    assert near_dedup.drop_near_duplicates(empty(spark)).count() == 0
+
+
 def test_near_duplicates_odd(spark):
     got = near_dedup.near_duplicates(odd(spark)).collect()
     assert len(got) == 17
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     of = {r["doc_id"]: r for r in got}
     assert of[2]["component_id"] == 1 and not of[2]["kept"] and of[7]["component_id"] == 6 and of[3]["n_shingles"] == 0 and of[3]["kept"]
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
 def test_components_of_a_path(spark):
