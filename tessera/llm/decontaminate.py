@@ -10,7 +10,6 @@ hits over every word they cover.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,23 +56,47 @@ def _maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if small_enough(df, BROADCAST_ROWS) else df
 
 
-def _hits(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
-    """(__id, __text, start, length, item_id) of every window of ``items`` (id, words; all of this length or longer) in ``docs``."""
-    known = items.select("item_id", F.explode(_starts(F.size("words"), window)).alias("i"), "words")
-    known = known.select("item_id", F.slice("words", F.col("i"), window).alias("w"))
-    known = written(known.select("item_id", F.array_join("w", " ").alias("win"), F.get(_least(F.col("w"), window, k), F.lit(0)).alias("fp")).distinct(), "windows")
+def _print(length: int, window: int, least: Column) -> Column:
+    """A fingerprint of windows of this length: the least hash itself for the usual one."""
+    return least if length == window else F.xxhash64(F.lit(length), least)
+
+
+def _prints(words: Column, lengths: list[int], window: int, k: int) -> Column:
+    """The distinct fingerprints of all windows of these lengths."""
+
+    def of(n: int) -> Column:
+        least = _least(words, n, k)
+        return least if n == window else F.transform(least, lambda x: _print(n, window, x))
+
+    return F.array_distinct(F.concat(*map(of, lengths)))
+
+
+def _windows(items: DataFrame, lengths: list[int], window: int, k: int) -> DataFrame:
+    """Distinct (item_id, win, fp) of the windows of ``items``, a whole item if it is shorter."""
+    n = F.least(F.size("words"), F.lit(window))
+    each = items.withColumn("n", n).select("item_id", "n", F.explode(F.when(F.size("words") > window, F.sequence(F.lit(1), F.size("words") - window + 1)).otherwise(F.array(F.lit(1)))).alias("i"), "words")
+    each = each.select("item_id", "n", F.slice("words", F.col("i"), F.col("n")).alias("w"))
+    fp = F.coalesce(*[F.when(F.col("n") == m, _print(m, window, F.get(_least(F.col("w"), m, k), F.lit(0)))) for m in lengths])
+    return each.select("item_id", F.array_join("w", " ").alias("win"), fp.alias("fp")).distinct()
+
+
+def _hits(docs: DataFrame, known: DataFrame, lengths: list[int], window: int, k: int) -> DataFrame:
+    """(__id, __text, start, length, win) of every window of ``known`` in ``docs``, whose texts are read once for all lengths."""
     prints = _maybe_broadcast(known.select("fp").distinct())
-    own = let(word_list(F.col("text")), lambda w: F.array_distinct(_least(w, window, k)))
+    own = let(word_list(F.col("text")), lambda w: _prints(w, lengths, window, k))
     found = docs.select("__id", "__text", F.explode(own).alias("fp")).join(prints, "fp")
     found = written(found.groupBy("__id", "__text").agg(F.collect_set("fp").alias("fps")), "prints")
     texts = docs.join(found, ["__id", "__text"]).select("__id", "__text", "text", "fps").dropDuplicates(["__id", "__text"])
 
     def places(words: Column) -> Column:
-        at = let(_least(words, window, k), lambda least: F.filter(_starts(F.size(least), 1), lambda i: F.array_contains("fps", F.get(least, i - 1))))
-        return F.transform(at, lambda i: F.struct(i.alias("start"), F.array_join(F.slice(words, i, window), " ").alias("win")))
+        def of(n: int) -> Column:
+            at = let(_least(words, n, k), lambda least: F.filter(_starts(F.size(least), 1), lambda i: F.array_contains("fps", _print(n, window, F.get(least, i - 1)))))
+            return F.transform(at, lambda i: F.struct(i.alias("start"), F.lit(n).alias("length"), F.array_join(F.slice(words, i, n), " ").alias("win")))
+
+        return F.concat(*[of(n) for n in lengths])
 
     spans = texts.select("__id", "__text", F.inline(let(word_list(F.col("text")), places)))
-    return spans.join(_maybe_broadcast(known.select("win", "item_id")), "win").select("__id", "__text", "start", F.lit(window).alias("length"), "item_id")
+    return spans.join(_maybe_broadcast(known.select("win").distinct()), "win")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
@@ -98,19 +121,27 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int, k: int) -> DataF
     none = F.sha2(F.lit("").cast("binary"), 256)
     if not lengths:
         return base.select("doc_id", "__text", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
-    of = lambda n: items.where(F.size("words") >= n) if n == window else items.where(F.size("words") == n)
-    hits = written(reduce(DataFrame.unionByName, [_hits(docs, of(n), n, k) for n in lengths]), "hits")
+    known = written(_windows(items, lengths, window, k), "windows")
+    hits = written(_hits(docs, known, lengths, window, k), "hits")
     covered = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("start", "length")), lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))
     ids = F.array_sort(F.collect_set(F.col("item_id").cast("string")))
-    per_doc = hits.groupBy("__id", "__text").agg(F.size(covered).cast("long").alias("n_hit"), ids.alias("ids"))
-    per_doc = per_doc.select("__id", "__text", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256"))
+    per_doc = hits.groupBy("__id", "__text").agg(F.size(covered).cast("long").alias("n_hit"))
+    # However often a window occurs in a document, it meets its items once.
+    by_item = hits.select("__id", "__text", "win").distinct().join(_maybe_broadcast(known.select("win", "item_id")), "win").groupBy("__id", "__text").agg(ids.alias("ids"))
+    by_item = by_item.select("__id", "__text", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256"))
+    per_doc = per_doc.join(by_item, ["__id", "__text"], "left")
     zero = F.lit(0).cast("long")
     n_hit = F.coalesce("n_hit", zero)
     return base.join(per_doc, ["__id", "__text"], "left").select("doc_id", "__text", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
-    """The rows of ``docs`` that share no window with ``benchmark``, all columns unchanged."""
+    """The rows of ``docs`` that share no window with ``benchmark``, all columns unchanged.
+
+    Rows are judged by doc_id and text, nulls included: of rows that share a
+    doc_id, or have none, only the contaminated texts go. Null, empty and
+    word-less texts stay; an empty ``benchmark`` drops nothing.
+    """
     bad = _judged(docs, benchmark, window, k).where("contaminated").select(F.col("doc_id").alias("__bad"), F.col("__text").alias("__bad_text")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("__bad")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__bad_text"))
     return docs.join(written(bad, "contaminated"), same, "left_anti")

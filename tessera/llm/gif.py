@@ -13,6 +13,8 @@ from functools import lru_cache
 import numpy as np
 
 WIDTH, ROWS = 192, 4096
+#: Pictures declared larger than this count as damaged, so that a few bytes cannot claim a task's memory.
+MOST_PIXELS = 1 << 26
 _GREY = bytes(v for i in range(256) for v in (i, i, i))
 
 
@@ -146,6 +148,8 @@ def decode(gif: bytes, compose: bool = True) -> list[Frame]:
     if gif[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack("<HHBBB", gif[6:13])
+    if width * height > MOST_PIXELS:
+        raise ValueError("picture too large")
     at = 13
     shared = None
     if flags & 0x80:
@@ -174,6 +178,8 @@ def decode(gif: bytes, compose: bool = True) -> list[Frame]:
         if mark != 0x2C:
             raise ValueError("broken GIF")
         left, top, w, h, bits = struct.unpack("<HHHHB", gif[at + 1 : at + 10])
+        if w * h > MOST_PIXELS:
+            raise ValueError("picture too large")
         at += 10
         palette = shared
         if bits & 0x80:
@@ -195,8 +201,11 @@ def decode(gif: bytes, compose: bool = True) -> list[Frame]:
             colours[: len(table), :3], colours[: len(table), 3] = table, 255
             area = canvas[top : top + h, left : left + w]
             new = pixels[: area.shape[0], : area.shape[1]]
-            seen = new != clear if clear is not None else np.ones(new.shape, dtype=bool)
-            area[seen] = colours[new[seen]]
+            if clear is None:
+                area[...] = colours[new]
+            else:
+                seen = new != clear
+                area[seen] = colours[new[seen]]
             shown = canvas.copy()
             if disposal == 2:
                 area[...] = 0

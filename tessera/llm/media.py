@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-import zlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,57 +48,90 @@ def store_media(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_store, f"doc_id {kind}, n_bytes long, media binary")
 
 
-def _histogram(pixels: np.ndarray) -> list[int]:
-    return np.bincount(pixels.reshape(-1) >> 4, minlength=_BINS).tolist()
+def _histogram(canvas: np.ndarray) -> list[int]:
+    """Pixels of the composed RGBA canvas by luminance, in equal bins; transparent ones count as black."""
+    grey = np.einsum("hwc->hw", canvas[..., :3], dtype=np.uint16) // 3
+    return np.bincount((grey >> 4).reshape(-1), minlength=_BINS).tolist()
 
 
-def read_frames(media: DataFrame, column: str = "media") -> DataFrame:
-    """One row per frame of every GIF: the other columns, frame, delay_ms, at_ms, width, height, pixels, histogram.
+_FRAME = pa.struct([("frame", pa.int32()), ("delay_ms", pa.int64()), ("at_ms", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary()), ("histogram", pa.list_(pa.int64()))])
+_FRAMES = "array<struct<frame: int, delay_ms: bigint, at_ms: bigint, width: int, height: int, pixels: binary, histogram: array<bigint>>>"
+_FIELDS = [f.name for f in _FRAME]
+
+
+def frames_of(data: bytes | None) -> list[dict] | None:
+    """The timed frames of a GIF; None for null and for damaged data."""
+    if data is None:
+        return None
+    try:
+        frames = gif.decode(data)
+    except (ValueError, IndexError, struct.error):
+        return None
+    out, at = [], 0
+    for k, f in enumerate(frames):
+        values = (k, f.delay_ms, at, f.indices.shape[1], f.indices.shape[0], f.indices.tobytes(), _histogram(f.canvas))
+        out.append(dict(zip(_FIELDS, values, strict=True)))
+        at += f.delay_ms
+    return out
+
+
+def with_frames(media: DataFrame, column: str = "media", name: str = "frames") -> DataFrame:
+    """All columns and ``name``: an array of the GIF's frames (frame, delay_ms, at_ms, width, height, pixels, histogram).
 
     pixels are the frame's palette indices row by row; histogram counts the
     composed canvas's luminance in 16 equal bins, after palette, transparency
-    and disposal. Null media have no frames.
+    and disposal. Null and damaged media, and such of more than
+    ``gif.MOST_PIXELS`` a picture, have null frames. A column of that name in
+    the input is replaced; repeated rows repeat; an empty table gives no rows.
     """
-    others = [f for f in media.schema.fields if f.name != column]
+    media = media.drop(name)
+    at = media.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            begin, size, rows = 0, 0, []
             for i in range(batch.num_rows):
-                data = batch.column(batch.schema.get_field_index(column))[i].as_py()
-                if data is None:
-                    continue
-                frames = gif.decode(data)
-                at = 0
-                cols: list[list] = [[] for _ in range(7)]
-                for k, f in enumerate(frames):
-                    grey = (f.canvas[..., :3].astype(np.uint16).sum(2) // 3).astype(np.uint8)
-                    for c, v in zip(cols, (k, f.delay_ms, at, f.indices.shape[1], f.indices.shape[0], f.indices.tobytes(), _histogram(grey)), strict=True):
-                        c.append(v)
-                    at += f.delay_ms
-                kept = [batch.column(batch.schema.get_field_index(o.name)).take(pa.array([i] * len(frames))) for o in others]
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-                yield pa.record_batch(kept + [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[o.name for o in others] + ["frame", "delay_ms", "at_ms", "width", "height", "pixels", "histogram"])
-
-    schema = ", ".join([f"`{o.name}` {o.dataType.simpleString()}" for o in others] + ["frame int, delay_ms long, at_ms long, width int, height int, pixels binary, histogram array<long>"])
+                rows.append(frames_of(batch.column(at)[i].as_py()))
+                size += sum(len(f["pixels"]) for f in rows[-1] or ())
+                if size > 1 << 24 or i + 1 == batch.num_rows:
+                    part = batch.slice(begin, len(rows))
+                    yield pa.record_batch([*part.columns, pa.array(rows, pa.list_(_FRAME))], names=[*part.schema.names, name])
+                    begin, size, rows = i + 1, 0, []
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields), f"`{name}` {_FRAMES}"])
     return media.mapInArrow(run, schema)
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cols: list[list] = [[] for _ in range(6)]
-        for m in batch.column(2):
-            data = m.as_py()
-            frames = gif.decode(data, compose=False)
-            payload = b"".join(f.indices.tobytes() for f in frames)
-            counts = np.bincount(np.frombuffer(payload, np.uint8) >> 4, minlength=_BINS)
-            feature = f"frames={len(frames)};ms={sum(f.delay_ms for f in frames)};hist=" + ",".join(map(str, counts.tolist()))
-            for c, v in zip(cols, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature), strict=True):
-                c.append(v)
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+def read_frames(media: DataFrame, column: str = "media") -> DataFrame:
+    """One row per frame of every GIF: the other columns, then those of a frame as in ``with_frames``.
+
+    Null and damaged media have no frames. Input columns with the name of a
+    frame's column are dropped.
+    """
+    others = [c for c in media.columns if c != column and c not in _FIELDS]
+    return with_frames(media.select(*others, column), column, "__frames").select(*others, F.inline("__frames"))
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """store_media, read back: sizes, checksums and a histogram feature of each text's payload."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return store_media(docs).mapInArrow(_digest, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """store_media, read back frame by frame: sizes, checksums and a feature (frames, milliseconds, summed histogram) of each text's payload.
+
+    One row per row of ``docs``; nulls, repeated rows and empty tables as in
+    ``store_media``.
+    """
+    read = with_frames(store_media(docs))
+    payload = F.aggregate("frames", F.lit(b""), lambda s, f: F.concat(s, f["pixels"]))
+    counts = F.aggregate("frames", F.array_repeat(F.lit(0).cast("long"), _BINS), lambda s, f: F.zip_with(s, f["histogram"], lambda a, b: a + b))
+    ms = F.aggregate("frames", F.lit(0).cast("long"), lambda s, f: s + f["delay_ms"])
+    feature = F.concat(F.lit("frames="), F.size("frames").cast("string"), F.lit(";ms="), ms.cast("string"), F.lit(";hist="), F.array_join(F.transform(counts, lambda n: n.cast("string")), ","))
+    read = read.select("doc_id", "n_bytes", "media", payload.alias("payload"), feature.alias("feature"))
+    size = F.octet_length("payload")
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        size.cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", size - 15, F.lit(16))).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )

@@ -9,13 +9,15 @@ a hash of seed, doc_id and copy.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import small_enough
+from tessera.llm.store import written
 
-#: More sources than this are joined by a shuffle, not broadcast (a row is about 1 kB).
-BROADCAST_SOURCES = 2_000
+#: Rates of more bytes than this, names of sources included, are joined by a salted shuffle, not broadcast.
+BROADCAST_BYTES, SALTS = 8 << 20, 32
 
 
 def source_rates(docs: DataFrame, alpha: float = 0.5, weights: dict[str, float] | None = None, total_bytes: float | None = None) -> DataFrame:
@@ -36,17 +38,30 @@ def source_rates(docs: DataFrame, alpha: float = 0.5, weights: dict[str, float]
     return size.crossJoin(F.broadcast(whole)).select("source", "bytes", rate.alias("rate"))  # one row
 
 
-def poisson_steps(rate: Column) -> Column:
-    """The Poisson distribution function at 0, 1, ... until it is 1 but for 1e-30."""
-    most = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    logs = F.transform(F.sequence(F.lit(0), most), lambda k: -rate + k * F.log(rate) - F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda s, i: s + F.when(i > 1, F.log(i.cast("double"))).otherwise(0.0)))
-    grown = F.aggregate(
-        logs,
-        F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("steps")),
-        lambda s, x: F.struct((s["sum"] + F.exp(x)).alias("sum"), F.concat(s["steps"], F.array(s["sum"] + F.exp(x))).alias("steps")),
-        lambda s: s["steps"],
-    )
-    return F.when(rate > 0, grown).otherwise(F.array(F.lit(2.0)))
+def _log_factorial(k: Column) -> Column:
+    """Stirling's series; good to 1e-14 from 32 on, which is where it is asked."""
+    return k * F.log(k) - k + F.log(2 * math.pi * k) / 2 + 1 / (12 * k) - 1 / (360 * k * k * k) + 1 / (1260 * k * k * k * k * k)
+
+
+def poisson_count(rate: Column, u: Column) -> Column:
+    """The inverse Poisson distribution function: how many of its values 0, 1, ... have a cumulated probability of at most ``u``.
+
+    Probabilities follow from each other by rate / k, within 12 deviations of
+    the mean; what lies below weighs less than 1e-30. The steps of a row are
+    fewer than 24 deviations, so no table of the distribution is ever held.
+    """
+    first = F.floor(rate - 12 * F.sqrt(rate) - 30)
+    first = F.when(first >= 32, first).otherwise(0)
+    last = F.ceil(rate + 12 * F.sqrt(rate) + 30)
+    k = first.cast("double")
+    start = F.exp(F.when(first > 0, k * F.log(rate) - _log_factorial(k)).otherwise(0.0) - rate)
+
+    def step(s: Column, i: Column) -> Column:
+        total = s["sum"] + s["p"]
+        return F.struct((s["p"] * rate / (i + 1)).alias("p"), total.alias("sum"), (s["n"] + (total <= u).cast("int")).alias("n"))
+
+    begin = F.struct(start.alias("p"), F.lit(0.0).alias("sum"), first.cast("int").alias("n"))
+    return F.when((rate > 0) & (u > 0), F.aggregate(F.sequence(first, last), begin, step, lambda s: s["n"])).otherwise(0)
 
 
 def mix_sources(docs: DataFrame, alpha: float = 0.5, weights: dict[str, float] | None = None, total_bytes: float | None = None, seed: int = 17) -> DataFrame:
@@ -58,14 +73,18 @@ def mix_sources(docs: DataFrame, alpha: float = 0.5, weights: dict[str, float] |
     """
     own = [c for c in docs.columns if not c.startswith(("mix_", "__"))]
     docs = docs.select(*own)
-    rates = source_rates(docs, alpha, weights, total_bytes)
-    rates = rates.select(F.col("source").alias("__source"), poisson_steps(F.col("rate")).alias("__steps"))
-    if small_enough(docs.select("source").distinct(), BROADCAST_SOURCES):
-        rates = F.broadcast(rates)
+    rates = written(source_rates(docs, alpha, weights, total_bytes).select(F.col("source").alias("__source"), F.col("rate").alias("__rate")), "rates")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), name).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
-    drawn = docs.join(rates, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__u", u)
-    drawn = drawn.select(*own, F.size(F.filter("__steps", lambda c: c <= F.col("__u"))).alias("mix_copies")).where("mix_copies > 0")
+    same = F.col("source").eqNullSafe(F.col("__source"))
+    held = rates.agg(F.sum(F.coalesce(F.octet_length(F.col("__source").cast("string")), F.lit(0)) + 24)).first()[0] or 0
+    if held <= BROADCAST_BYTES:
+        rates = F.broadcast(rates)
+    else:  # a source's rows are dealt to SALTS tasks
+        rates = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        docs = docs.withColumn("__own_salt", F.pmod(F.xxhash64(F.lit("mix"), name), F.lit(SALTS)).cast("int"))
+        same &= F.col("__salt") == F.col("__own_salt")
+    drawn = docs.join(rates, same).withColumn("mix_copies", poisson_count(F.col("__rate"), u)).select(*own, "mix_copies").where("mix_copies > 0")
     copies = drawn.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
     key = F.md5(F.concat(F.lit(f"{seed}|"), name, F.lit("|"), F.col("mix_copy").cast("string")).cast("binary"))
     return copies.withColumn("mix_key", key).repartitionByRange("mix_key").sortWithinPartitions("mix_key")

@@ -55,7 +55,7 @@ def op9_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = shard_documents(table(spark, sf_dir, "documents"), 16)
+    placed = shard_documents(table(spark, sf_dir, "documents"), 16, ["doc_id"])
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 

@@ -1,6 +1,7 @@
 """The ten operators against brute force, exact round trips or held-out accuracy, and on odd inputs."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -107,6 +108,20 @@ def test_media_digest(spark):
         assert r["tail_crc32"] in [zlib.crc32(p[-16:]) for p in padded]
     frames = media.read_frames(media.store_media(docs_of(spark, 5))).collect()
     assert all(sum(f["histogram"]) == f["width"] * f["height"] for f in frames)
+    for r in got:  # grey palette: the composed luminance is the byte itself
+        assert sum(map(int, r["feature"].split("hist=")[1].split(","))) == r["payload_bytes"]
+
+
+def test_read_frames_odd(spark):
+    good = gif.encode(b"x" * 192)
+    bomb = b"GIF89a" + bytes([255, 255, 255, 255, 0, 0, 0]) + b";"
+    rows = [(1, good, "a"), (1, good, "a"), (2, None, None), (3, good[:40], "b"), (4, b"", "c"), (5, b"not a gif", "d"), (6, bomb, "e"), (None, good, None)]
+    media_df = spark.createDataFrame(rows, "id long, media binary, histogram string")
+    got = media.read_frames(media_df).collect()
+    assert sorted((r["id"] or 0, r["frame"], r["pixels"]) for r in got if r["id"] != 3) == [(0, 0, b"x" * 192), (1, 0, b"x" * 192), (1, 0, b"x" * 192)]
+    assert all(sum(r["histogram"]) == 192 for r in got)
+    assert {r["id"]: r["frames"] is None for r in media.with_frames(media_df).collect()} | {3: 0} == {1: False, 2: True, 3: 0, 4: True, 5: True, 6: True, None: False}
+    assert media.read_frames(media_df.limit(0)).count() == 0
 
 
 # 3
@@ -271,6 +286,16 @@ def test_decontamination_odd(spark):
     assert decontaminate.find_contamination(empty(spark), b).count() == 0
 
 
+def test_drop_contaminated_judges_texts(spark):
+    b = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, "short words")], "item_id long, text string")
+    rows = [(None, "one two three four five six seven eight nine ten"), (None, "clean"), (None, None), (5, "some short words here"), (5, "clean as well"), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = decontaminate.drop_contaminated(docs, b)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)
+    assert decontaminate.drop_contaminated(docs, b.limit(0)).count() == 6
+    assert decontaminate.drop_contaminated(odd(spark), b).columns == odd(spark).columns
+
+
 # 8
 
 
@@ -368,6 +393,27 @@ def test_mixing_rates_and_odd(spark):
     assert mixing.mix_sources(empty(spark)).count() == 0
 
 
+def test_mixing_high_rates(spark):
+    def exact(rate, u):
+        k = np.arange(int(rate + 14 * math.sqrt(rate) + 60))
+        return int((np.cumsum(np.exp(-rate + k * math.log(rate) - np.array([math.lgamma(x + 1) for x in k]))) <= u).sum())
+
+    rates = [(r, u) for r in (1e-9, 0.3, 1.0, 40.0, 299.0, 310.0, 1_000.0, 20_000.0) for u in (0.0, 1e-9, 0.1, 0.5, 0.999999)]
+    got = spark.createDataFrame(rates, "r double, u double").withColumn("n", mixing.poisson_count(F.col("r"), F.col("u"))).collect()
+    assert [g["n"] for g in got] == [exact(r, u) for r, u in rates]
+    assert spark.createDataFrame([(0.0, 0.5)], "r double, u double").select(mixing.poisson_count(F.col("r"), F.col("u"))).first()[0] == 0
+
+
+def test_mixing_with_many_sources(spark):
+    docs = docs_of(spark)
+    whole = sorted(map(tuple, mixing.mix_sources(docs).select("doc_id", "mix_copy", "mix_key").collect()))
+    kept, mixing.BROADCAST_BYTES = mixing.BROADCAST_BYTES, 0
+    try:
+        assert sorted(map(tuple, mixing.mix_sources(docs).select("doc_id", "mix_copy", "mix_key").collect())) == whole
+    finally:
+        mixing.BROADCAST_BYTES = kept
+
+
 # 10
 
 
