@@ -42,21 +42,38 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All leftmost non-overlapping matches with their code point positions."""
-    blank = F.array().cast(_SPANS)
+def matches(text: Column, pattern: str, context: bool = False) -> Column:
+    """All leftmost non-overlapping matches with their code point positions; with ``context`` also up to 24 characters before and one after, of what lies between matches.
+
+    Positions are running sums of the lengths of gaps and matches. They are
+    taken in two steps, over blocks of about the square root of their number
+    and within a block, so that a text of very many matches stays cheap.
+    """
+    blank = F.array().cast(_SPANS[:-2] + ",before:string,after:string>>" if context else _SPANS)
 
     def walk(found: Column) -> Column:
-        def place(gaps: Column) -> Column:
-            def step(s: Column, i: Column) -> Column:
-                start = s["at"] + F.length(F.get(gaps, i))
-                value = F.get(found, i)
-                end = start + F.length(value)
-                return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), value.alias("value")))).alias("out"))
+        n = F.size(found)
+        block = F.ceil(F.sqrt(n)).cast("int")
+
+        def add(lengths: Column) -> Column:
+            return F.aggregate(lengths, F.lit(0), lambda s, x: s + x)
 
-            return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("at"), blank.alias("out")), step, lambda s: s["out"])
+        def place(gaps: Column, lengths: Column) -> Column:
+            def run(starts: Column) -> Column:
+                def of(value: Column, i: Column) -> Column:
+                    b = F.floor(i / block).cast("int")
+                    start = F.get(starts, b) + add(F.slice(lengths, b * block + 1, i - b * block)) + F.length(F.get(gaps, i))
+                    more = [F.right(F.get(gaps, i), F.lit(24)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(1)).alias("after")] if context else []
+                    return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), *more)
 
-        return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), place)).otherwise(blank)
+                return F.transform(found, of)
+
+            sums = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: add(F.slice(lengths, b * block + 1, block)))
+            before = F.aggregate(sums, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+            return let(before, run)
+
+        placed = let(F.split(text, pattern, -1), lambda g: let(F.zip_with(found, F.slice(g, 1, n), lambda v, x: F.length(v) + F.length(x)), lambda lengths: place(g, lengths)))
+        return F.when(n > 0, placed).otherwise(blank)
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), walk)
 
@@ -103,8 +120,20 @@ def base_spans(text: Column) -> Column:
     )
 
 
+def _blocks(spans: Column) -> Column:
+    """``spans``, by start, in blocks of about the square root of their number, each with its range."""
+    n = F.size(spans)
+    block = F.ceil(F.sqrt(n)).cast("int")
+
+    def of(part: Column) -> Column:
+        return F.struct(F.array_min(F.transform(part, lambda p: p["start"])).alias("low"), F.array_max(F.transform(part, lambda p: p["end"])).alias("high"), part.alias("spans"))
+
+    made = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: let(F.slice(spans, b * block + 1, block), of))
+    return F.when(n > 0, made).otherwise(F.array())
+
+
 def candidates(text: Column, base: Column) -> Column:
-    """Overlapping candidate spans with their features and whether they touch a base span."""
+    """Overlapping candidate spans with their features and whether they touch one of the base spans, given as ``_blocks``."""
 
     def shape(at: int) -> Callable[[Column], Column]:
         def of(m: Column) -> Column:
@@ -113,20 +142,19 @@ def candidates(text: Column, base: Column) -> Column:
             def described(d: Column) -> Column:
                 n = F.length(d)
                 flag = lambda c: F.coalesce(c.cast("int"), F.lit(0))
-                before = F.substring(text, F.greatest(F.lit(1), m["start"] - 23), F.least(F.lit(24), m["start"]))
-                around = F.concat(F.substring(text, m["start"], F.when(m["start"] > 0, 1).otherwise(0)), F.substring(text, m["end"] + 1, F.lit(1)))
+                around = F.concat(F.right(m["before"], F.lit(1)), m["after"])
                 return F.struct(
                     m["start"].alias("start"),
                     m["end"].alias("end"),
-                    F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])).alias("known"),
+                    F.exists(base, lambda b: (b["low"] < m["end"]) & (m["start"] < b["high"]) & F.exists(b["spans"], lambda p: (p["start"] < m["end"]) & (m["start"] < p["end"]))).alias("known"),
                     F.lit(at).alias("at"),
                     F.when(n < 7, 0).when(n < 10, 1).when(n < 12, 2).when(n < 14, 3).when(n < 17, 4).when(n < 20, 5).otherwise(6).alias("digits"),
                     F.least(F.size(F.split(v, "[^0-9]+")) - 1, F.lit(5)).alias("groups"),
                     flag(v.startswith("+")).alias("plus"),
                     flag(F.contains(v, F.lit("("))).alias("paren"),
                     F.least(F.size(F.split(v, r"\.")) - 1, F.lit(4)).alias("dots"),
-                    flag((n >= 14) & _luhn(d) if not at else F.lit(False)).alias("luhn"),
-                    flag(before.rlike(_CONTEXT)).alias("context"),
+                    flag(n.between(14, 19) & _luhn(d) if not at else F.lit(False)).alias("luhn"),
+                    flag(m["before"].rlike(_CONTEXT)).alias("context"),
                     flag(v.rlike(r"\.[A-Za-z]{2,}$")).alias("name"),
                     flag(~around.rlike("[A-Za-z0-9]")).alias("loose"),
                 )
@@ -136,8 +164,8 @@ def candidates(text: Column, base: Column) -> Column:
         return of
 
     some = F.concat(
-        F.when(F.contains(text, F.lit("@")) | text.rlike(r"[\[(]at[\])]"), F.transform(matches(text, _AT), shape(1))).otherwise(F.array()),
-        F.when(text.rlike("[0-9]"), F.transform(matches(text, _DIGITS), shape(0))).otherwise(F.array()),
+        F.when(F.contains(text, F.lit("@")) | text.rlike(r"[\[(]at[\])]"), F.transform(matches(text, _AT, True), shape(1))).otherwise(F.array()),
+        F.when(text.rlike("[0-9]"), F.transform(matches(text, _DIGITS, True), shape(0))).otherwise(F.array()),
     )
     return some
 
@@ -212,7 +240,7 @@ def boost(cells: list[dict], rounds: int = 16, rate: float = 0.4, precision: flo
 def fit(docs: DataFrame) -> Boosted:
     """Boosted trees from the counted candidates of all of ``docs``."""
     text = F.col("text").cast("string")
-    rows = docs.where(text.rlike(r"[0-9@]|[\[(]at[\])]")).select(F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"), F.explode(let(base_spans(text), lambda b: candidates(text, b))).alias("c"))
+    rows = docs.where(text.rlike(r"[0-9@]|[\[(]at[\])]")).select(F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"), F.explode(let(base_spans(text), lambda s: let(_blocks(s), lambda b: candidates(text, b)))).alias("c"))
     rows = rows.select("fold", "c.known", *[f"c.{f}" for f in FEATURES])
     counted = rows.groupBy("fold", "known", *FEATURES).agg(F.count("*").alias("n")).collect()  # at most 4 x the product of FEATURES
     return boost(sorted((r.asDict() for r in counted), key=lambda r: tuple(map(int, r.values()))))
@@ -225,7 +253,8 @@ def find_pii(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     """All columns of ``docs`` with pii_base and pii_spans, arrays of (start, rank, end, kind) by start, then kind.
 
     Added spans have kind 'likely_email' or 'likely_number', touch no base span
-    and are taken best start first without overlaps. Null and empty texts have
+    and are taken by score, best first and of equal ones the earlier, without
+    overlaps. Null and empty texts have
     none; repeated rows repeat; columns called pii_* are replaced; an empty
     table gives no rows. The model is fitted on ``docs`` unless given.
     """
@@ -235,11 +264,12 @@ def find_pii(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     def added(base: Column) -> Column:
         if math.isinf(model.threshold):
             return F.array().cast(_FULL)
-        good = F.filter(candidates(text, base), lambda c: ~c["known"] & (model.column(c) >= model.threshold))
+        scored = F.transform(F.filter(let(_blocks(base), lambda b: candidates(text, b)), lambda c: ~c["known"]), lambda c: F.struct((-model.column(c)).alias("cost"), c["start"].alias("start"), c["end"].alias("end"), c["at"].alias("at")))
+        good = F.filter(scored, lambda c: -c["cost"] >= model.threshold)
 
         def take(s: Column, c: Column) -> Column:
             one = F.struct(c["start"].alias("start"), (4 + (1 - c["at"])).cast("int").alias("rank"), c["end"].alias("end"), F.when(c["at"] == 1, "likely_email").otherwise("likely_number").alias("kind"))
-            return F.when(F.exists(s, lambda t: t["end"] > c["start"]), s).otherwise(F.concat(s, F.array(one)))
+            return F.when(F.exists(s, lambda t: (t["start"] < c["end"]) & (c["start"] < t["end"])), s).otherwise(F.concat(s, F.array(one)))
 
         return F.aggregate(F.array_sort(good), F.array().cast(_FULL), take)
 
@@ -250,7 +280,11 @@ def find_pii(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
-    """All columns of ``docs``; in text, every span of find_pii is replaced by its kind in brackets, overlaps once."""
+    """All columns of ``docs``; in text, every span of find_pii is replaced by its kind in brackets, overlaps once.
+
+    Null and empty texts and texts without spans are unchanged; repeated rows
+    repeat; columns called pii_* are dropped; an empty table gives no rows.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def step(s: Column, p: Column) -> Column:
@@ -267,7 +301,7 @@ def _listed(spans: Column) -> Column:
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, counts of base kinds, base_sha256, spans, n_likely."""
+    """One row per row of ``docs``: doc_id, counts of base kinds, base_sha256, spans, n_likely; nulls, repeated rows and empty tables as in find_pii."""
     found = find_pii(docs.select("doc_id", "text")).select("doc_id", "pii_base", "pii_spans")
 
     def count(kind: str) -> Column:

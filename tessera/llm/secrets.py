@@ -4,8 +4,8 @@ Three fixed patterns give the base spans. Values in other credential contexts
 ("pwd is", "login:", "bearer") are then judged by how many guesses an attacker
 would need: the cheapest segmentation of the value into dictionary words, dates,
 repeats, keyboard walks and brute-force stretches, found by dynamic programming
-over its positions. Values that would be guessed cheaply are placeholders or
-prose and are left alone.
+over its positions. The dictionary is counted over the corpus itself. Values that
+would be guessed cheaply are placeholders or prose and are left alone.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -34,16 +35,12 @@ _END = re.compile(r"""[\s"'<>,;]|\Z""", re.ASCII)
 _KEYS = ("pass", "pwd", "secret", "token", "api", "key", "credential", "auth", "bearer", "login", "pin")
 #: A value in credential context counts as a secret from 10^GUESSES guesses on.
 GUESSES = 9.0
-# The most common words and passwords, most common first; the rank is the cost.
-_COMMON = """the of and to in is for that on with as are this be from it was by at or have not your all new more an were we will
-home can us about if page my has search free but our one other do no information time they site he up may what which their news out
-use any there see only so his when contact here business who web also now help get view online first am been would how services these
-click its like service than find date top had list name just over state year day into email two health world next used go work last
-password pass admin welcome login user master hello secret test guest root changeme default qwerty letmein monkey dragon football
-baseball sunshine princess iloveyou trustno shadow superman batman access token example sample dummy none null true false value string
-key api your here insert placeholder redacted hidden unknown undefined required enter""".split()
-_RANK = {w: i + 1 for i, w in reversed(list(enumerate(_COMMON)))}
-_LONGEST = max(map(len, _RANK))
+#: The dictionary holds so many words of the corpus, the most frequent ones, of 3 to LONGEST letters.
+WORDS, LONGEST = 20_000, 20
+# Words that stand for a secret or are bad ones; they come before the corpus's words in the dictionary.
+_ALWAYS = """password passwd passphrase pass secret token key login user admin root guest master welcome default changeme letmein test example
+sample dummy placeholder redacted hidden unknown undefined required none null true false value string insert your here enter access
+qwerty monkey dragon sunshine princess football""".split()
 _LEET = str.maketrans("4@310$57!", "aaeiosstl"[:9])
 _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 _SPOT = {c: (r, i) for r, row in enumerate(_ROWS) for i, c in enumerate(row)}
@@ -56,7 +53,36 @@ def _near(a: str, b: str) -> bool:
     return p is not None and q is not None and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1 and p != q
 
 
-def guess_cost(value: str) -> float:
+def dictionary(words: list[str]) -> dict[str, int]:
+    """Ranks from 1 of the words that always count and then of ``words``, most frequent first."""
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*_ALWAYS, *words]))}
+
+
+_SMALL = dictionary([])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seen: Counter[str] = Counter()
+        for t in batch.column(0).to_pylist():
+            seen.update(t.split())
+        # Only tokens that are letters throughout: keys and passwords mostly are not.
+        merged: Counter[str] = Counter()
+        for w, n in seen.items():
+            w = w.strip(".,;:!?\"'()").lower()
+            if 3 <= len(w) <= LONGEST and w.isalpha():
+                merged[w] += n
+        yield pa.record_batch([pa.array(list(merged), pa.string()), pa.array(list(merged.values()), pa.int64())], names=["word", "n"])
+
+
+def common_words(docs: DataFrame, size: int = WORDS) -> list[str]:
+    """The ``size`` most frequent words of all texts, most frequent first, ties by the word."""
+    counted = docs.where("text is not null").select(F.col("text").cast("string")).mapInArrow(_count, "word string, n long")
+    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    return [r["word"] for r in top.collect()]  # ``size`` words at most
+
+
+def guess_cost(value: str, ranks: dict[str, int] = _SMALL) -> float:
     """log10 of the guesses that the cheapest segmentation of ``value`` takes; 0 for an empty value.
 
     Segments cost their own guesses and one more factor each for the choice
@@ -82,10 +108,10 @@ def guess_cost(value: str) -> float:
     for e in range(1, n + 1):
         brute[e] = min(brute[e - 1] if e > 1 else math.inf, best[e - 1] + start) + letter
         cost = brute[e]
-        for size in range(1, min(_LONGEST, e) + 1):
+        for size in range(3, min(LONGEST, e) + 1):
             s = e - size
             for text, extra in ((low[s:e], 0.0), (plain[s:e], 0.5)):
-                rank = _RANK.get(text)
+                rank = ranks.get(text)
                 if rank:
                     upper = 0.3 if value[s:e] != low[s:e] else 0.0
                     cost = min(cost, best[s] + start + math.log10(rank + 1) + extra + upper)
@@ -157,7 +183,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(spans, key=lambda s: (s[0], order[s[2]]))
 
 
-def guessed_spans(text: str, base: list[tuple[int, int, str]], guesses: float = GUESSES) -> list[tuple[int, int, str]]:
+def guessed_spans(text: str, base: list[tuple[int, int, str]], guesses: float = GUESSES, ranks: dict[str, int] = _SMALL) -> list[tuple[int, int, str]]:
     """Values in credential context that take at least 10^guesses guesses and begin in no base span; whole, even if a base span lies further on in them."""
     low = text.lower()
     if not any(k in low for k in _KEYS):
@@ -176,7 +202,7 @@ def guessed_spans(text: str, base: list[tuple[int, int, str]], guesses: float =
         before = bisect_right(begins, s)
         if len(value) < 6 or kinds < (2 if separated else 3) or (before and ends[before - 1] > s):
             continue
-        if guess_cost(value) >= guesses:
+        if guess_cost(value, ranks) >= guesses:
             found.append((s, e, "guess"))
             at = stop
     return found
@@ -186,7 +212,7 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-def _scan(guesses: float):
+def _scan(guesses: float, ranks: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: list[list[int]] = [[], [], [], []]
@@ -194,30 +220,32 @@ def _scan(guesses: float):
             for t in batch.column(1):
                 text = t.as_py() or ""
                 base = base_spans(text)
-                more = guessed_spans(text, base, guesses)
+                more = guessed_spans(text, base, guesses, ranks)
                 for c, kind in zip(counts, ("assign", "access", "hex", "guess"), strict=True):
                     c.append(sum(s[2] == kind for s in (more if kind == "guess" else base)))
                 bases.append(joined(base))
                 alls.append(joined(sorted(base + more, key=lambda s: (s[0], ("assign", "access", "hex", "guess").index(s[2])))))
-                costs.append(max((guess_cost(text[s:e]) for s, e, _ in base + more), default=None))
+                costs.append(max((guess_cost(text[s:e], ranks) for s, e, _ in base + more), default=None))
             yield pa.record_batch([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(bases, pa.string()), pa.array(alls, pa.string()), pa.array(costs, pa.float64())], names=["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base", "spans", "top_log10_guesses"])
 
     return run
 
 
-def scan_secrets(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:
+def scan_secrets(docs: DataFrame, guesses: float = GUESSES, words: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, counts by kind, base and all spans, and the hardest span's log10 guesses.
 
     Spans are kind:start:end in code points, end exclusive, comma-joined by
     start. Null and empty texts have none (top_log10_guesses null). Repeated
     rows repeat; other columns are ignored; an empty table gives no rows. Spans
-    and their costs are of whole values, however long.
+    and their costs are of whole values, however long. ``words`` is the
+    dictionary, most frequent first (default: ``common_words`` of ``docs``).
     """
+    ranks = dictionary(common_words(docs) if words is None else words)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scan(guesses), f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_guess long, base string, spans string, top_log10_guesses double")
+    return rows.mapInArrow(_scan(guesses, ranks), f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_guess long, base string, spans string, top_log10_guesses double")
 
 
 def secrets_digest(docs: DataFrame) -> DataFrame:
-    """scan_secrets with base_sha256 in place of the base spans."""
+    """scan_secrets with base_sha256 in place of the base spans; nulls, repeated rows and empty tables as there."""
     return scan_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_guess", "top_log10_guesses")

@@ -1,14 +1,17 @@
 """Toxicity scores from averaged subword-bag embeddings and a linear softmax.
 
 A word's vector is the mean of the embeddings of its character 3- to 5-grams
-(its borders count as characters), hashed into one table; a passage of a few words is
-the mean of its words, and a linear softmax turns it into a probability.
-Embeddings and softmax are trained together in numpy. A text is as toxic as its
-worst passage, and training follows that: the worst passages of each text carry
-its label. A misspelling shares most of its n-grams with the word it hides.
+(its borders count as characters), hashed into one table; a passage of ``_PASSAGE``
+words is the mean of its words, and a linear softmax turns it into a probability.
+Embeddings and softmax are trained together in numpy, from log odds of the
+n-grams in the first dimension and small random numbers in the others. A text is
+as toxic as its worst passage, and training follows that: the worst passages of
+each text carry its label. A misspelling shares most of its n-grams with the
+word it hides.
 
 As averaging and the softmax's logit are linear, scoring needs only the logit of
-each n-gram; words and passages are then averages of those.
+each n-gram; words and passages are then averages of those. Training runs in one
+task on a sample of bounded rows and bytes; only the logits reach the driver.
 """
 
 from __future__ import annotations
@@ -19,19 +22,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.store import held_out
+from tessera.llm.store import held_out, written
 
 #: At most so many labelled texts of each class are learnt from, those of least hash.
 TEXTS_PER_CLASS = 2_000
+#: And so many bytes of them (one text at least); texts above LONG_TEXT bytes only if there are not enough others.
+BYTES_PER_CLASS, LONG_TEXT = 16 << 20, 1 << 16
 _BUCKETS = 1 << 16
 _DIMS = 8
-#: Training starts a passage at every second word, which halves its memory; scoring at every word.
-_PASSAGE, _STRIDE = 3, 2
+#: Words of a passage; one starts at every word.
+_PASSAGE = 1
 #: N-grams of fewer occurrences keep a zero vector; decay keeps those of few from being learnt by heart.
-_SEEN, _DECAY = 2, 1e-5
+_SEEN, _DECAY = 2, 3e-5
 #: Texts are scored in slices of about so many characters.
 _SLICE = 1 << 19
 _WORD = re.compile(r"[^\W_]+")
@@ -75,9 +80,9 @@ def ngrams(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.nd
     return out, first, end, np.searchsorted(first, bounds + 1)
 
 
-def _passages(n: int, stride: int = _STRIDE) -> np.ndarray:
-    """Starts of passages, which overlap so that none is cut in a bad place."""
-    return np.arange(0, max(1, n - _PASSAGE + stride), stride)
+def _passages(n: int) -> np.ndarray:
+    """Starts of passages."""
+    return np.arange(max(1, n - _PASSAGE + 1))
 
 
 def fit(texts: list[str], labels: list[int], steps: int = 60, rate: float = 0.1, seed: int = 3) -> Model:
@@ -177,7 +182,7 @@ def logits(model: Model, texts: list[str | None]) -> np.ndarray:
         for i in range(end - begin):
             a, b = at[i], at[i + 1]
             if b > a:
-                s = _passages(b - a, 1) + a
+                s = _passages(b - a) + a
                 e = np.minimum(s + _PASSAGE, b)
                 out[begin + i] = ((sums[e] - sums[s]) / (e - s)).max() + model.bias
         begin = end
@@ -197,14 +202,36 @@ def _score(model: Model):
     return run
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[str], list[int]]:
-    """Whole labelled texts, per_class of each label at most, held-out rows left aside."""
-    known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64(F.lit("tox"), "doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
+def training_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
+    """Whole labelled texts (text, toxic), per_class and BYTES_PER_CLASS of each label at most, held-out rows left aside.
+
+    A doc_id with both labels counts as toxic.
+    """
+    known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    hashed = F.xxhash64(F.lit("tox"), "doc_id")
+    picked = [known.where(F.col("toxic") == c).orderBy(hashed, "doc_id").limit(per_class) for c in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # 2 x per_class rows at most
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text", "toxic").collect()
-    rows = sorted({(r[0], r[1], r[2]) for r in rows})[: 4 * per_class]
-    return [r[1] for r in rows], [int(r[2]) for r in rows]
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(ids, "doc_id")
+    rows = rows.withColumns({"n": F.octet_length("text"), "h": hashed})
+    order = [F.col("n") > LONG_TEXT, "h", "doc_id", F.xxhash64("text")]
+    # Ids may repeat, so rows are bounded once more.
+    kept = [rows.where(F.col("toxic") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
+    each = Window.partitionBy("toxic").orderBy(*order)
+    kept = kept[0].unionByName(kept[1]).withColumns({"b": F.sum("n").over(each.rowsBetween(Window.unboundedPreceding, 0)), "r": F.row_number().over(each)})
+    return kept.where((F.col("b") <= BYTES_PER_CLASS) | (F.col("r") == 1)).select("text", "toxic")
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted({(t, y) for b in batches for t, y in zip(*(c.to_pylist() for c in b.columns), strict=True)})
+    model = fit([t for t, _ in rows], [y for _, y in rows])
+    yield pa.record_batch([pa.array([model.logits.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["logits", "bias"])
+
+
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = TEXTS_PER_CLASS) -> Model:
+    """A model of the labelled texts of ``docs``; trained in one task, on the bounded sample."""
+    sample = written(training_sample(docs, labels, per_class), "sample").coalesce(1)
+    row = sample.mapInArrow(_train, "logits binary, bias double").first()
+    return Model(np.frombuffer(row["logits"], np.float32), row["bias"]) if row else fit([], [])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = TEXTS_PER_CLASS, learn_from: DataFrame | None = None) -> DataFrame:
@@ -216,24 +243,26 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = TEXTS_PE
     class only, or none, every text gets one score. Repeated rows repeat; null
     doc_ids are scored and not held out; other columns are ignored.
     """
-    texts, toxic = training_sample(docs if learn_from is None else learn_from, labels, per_class)
-    model = fit(texts, toxic)
+    model = learn(docs if learn_from is None else learn_from, labels, per_class)
     rows = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_score(model), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_class: int = TEXTS_PER_CLASS, learn_from: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, all columns unchanged.
 
-    The text is scored where it lies, so nothing is joined or shuffled.
+    The text is scored where it lies, so nothing is joined or shuffled. Scores
+    are those of ``score_toxicity``: null, empty and word-less texts stay, and
+    so does every row if there is nothing to learn from; repeated rows share
+    their fate, null doc_ids are scored too.
     """
-    texts, toxic = training_sample(docs if options.get("learn_from") is None else options["learn_from"], labels, options.get("per_class", TEXTS_PER_CLASS))
-    model = fit(texts, toxic)
+    model = learn(docs if learn_from is None else learn_from, labels, per_class)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(scores(model, batch.column(names.index("text")).to_pylist()) < threshold))
+            texts = batch.column(names.index("text")).to_pylist()
+            yield batch.filter(pa.array(scores(model, texts) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -52,8 +52,8 @@ def test_toxicity_held_out(spark):
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
     got = toxicity.score_toxicity(docs, labels).join(labels, "doc_id").where("held_out")
     right, toxic, caught = got.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int")), F.sum("toxic"), F.sum(F.when(F.col("toxic") == 1, F.col("predicted")))).first()
-    # 350 toxic texts to learn from give 0.97 and 0.81 here; 1,700 of them give 1.00 and 1.00.
-    assert right > 0.95 and caught > 0.75 * toxic
+    # 352 toxic texts to learn from; four of the others hold nothing that sets them apart.
+    assert right > 0.97 and caught >= 0.9 * toxic
 
 
 def test_toxicity_misspelling_shares_ngrams():
@@ -72,6 +72,30 @@ def test_toxicity_odd(spark):
     assert toxicity.score_toxicity(odd(spark), labels.limit(0)).count() == 17
 
 
+def test_drop_toxic_odd(spark):
+    texts = [(i, f"the house {i} by the river") for i in range(60)] + [(100 + i, f"you worthless idiot number {i}") for i in range(60)]
+    texts += [(None, "a worthless idiot"), (None, None), (300, ""), (300, "the house by the river"), (301, "!!"), (302, "such an idiot " + "house river " * 40_000)]
+    docs = spark.createDataFrame([(*t, 1) for t in texts], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in texts[:120]] + [(302, 1), (302, 0)], "doc_id long, toxic int")
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.where("doc_id is not null").collect()) == sorted(texts[:60] + texts[122:125])
+    assert [r["text"] for r in kept.where("doc_id is null").collect()] == [None]
+    assert toxicity.drop_toxic(docs, labels.limit(0)).count() == len(texts)
+    assert toxicity.drop_toxic(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 7, f"word {i} " * 50) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, toxic int")
+    assert toxicity.training_sample(docs, labels, 10).groupBy("toxic").count().where("count > 10").count() == 0
+    kept, toxicity.BYTES_PER_CLASS = toxicity.BYTES_PER_CLASS, 1_000
+    try:
+        assert {r["toxic"]: r["count"] for r in toxicity.training_sample(docs, labels, 10).groupBy("toxic").count().collect()} == {0: 2, 1: 2}
+    finally:
+        toxicity.BYTES_PER_CLASS = kept
+
+
 # 2
 
 
@@ -181,9 +205,59 @@ def test_secret_base_and_guesses(spark):
     assert [text[s:e] for s, e, _ in secrets.guessed_spans(text, base)] == ["xK9#mQ2$vL"]
 
 
+def brute_secrets(t):
+    kinds = [("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6), ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24)]
+    out = []
+    for rank, (kind, p, keep) in enumerate(kinds):
+        out += [(m.start(), rank, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(p, t or "", re.IGNORECASE if kind == "assign" else 0) if keep(m)]
+    return hashlib.sha256(",".join(s for _, _, s in sorted(out)).encode()).hexdigest()
+
+
+def test_secret_base_matches_brute_force(spark):
+    for df in (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet"), odd(spark)):
+        got = sorted((str(r["doc_id"]), r["base_sha256"]) for r in secrets.secrets_digest(df).collect())
+        assert got == sorted((str(r["doc_id"]), brute_secrets(r["text"])) for r in df.select("doc_id", "text").collect())
+
+
+def planted_secrets(n=400):
+    """(text, start, end or -1): random values in credential context, and words, dates and placeholders in the same places."""
+    rng = random.Random(11)
+    chars = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789!#$%*@_-"
+    plain = ["password1999", "changeme", "your-token-here", "aaaaaaaaaa", "qwertyuiop", "2024-01-31", "example_value", "<hidden>", "required", "correct", "house.river", "12345678"]
+    out = []
+    for i in range(n):
+        context = rng.choice(["my pwd is ", "login: ", "auth => ", "bearer ", "passphrase = ", "credentials: ", "pin: "])
+        real = i % 2 == 0
+        value = "".join(rng.choices(chars, k=rng.randint(10, 40))) if real else rng.choice(plain)
+        if real and (value[-1] in "!" or re.fullmatch("[a-z]+", value)):
+            value = value[:-1] + "7"
+        out.append((f"by the river {context}{value} and house", len(f"by the river {context}"), len(f"by the river {context}{value}") if real else -1))
+    return out
+
+
+def test_added_secrets_precision_and_recall():
+    ranks = secrets.dictionary(["the", "and", "house", "river", "correct"])
+    found = right = real = 0
+    for text, start, end in planted_secrets():
+        spans = [(s, e) for s, e, _ in secrets.guessed_spans(text, secrets.base_spans(text), ranks=ranks)]
+        found, real, right = found + len(spans), real + (end > 0), right + ((start, end) in spans)
+    assert right >= 0.95 * real and right >= 0.93 * found  # what it takes wrongly is your-token-here, three words and two separators
+
+
+def test_secret_spans_are_whole():
+    value = "xK9#mQ2$vL" * 20
+    text = f"and the pwd: {value} ok"
+    assert secrets.guessed_spans(text, []) == [(13, 13 + len(value), "guess")]
+
+
+def test_common_words(spark):
+    df = spark.createDataFrame([("the House, the river",), ("The house xK9 a1b2 the",), (None,), ("",)], "text string")
+    assert secrets.common_words(df, 3) == ["the", "house", "river"]
+
+
 def test_guess_cost_order():
     cost = [secrets.guess_cost(v) for v in ("", "password", "qwertyuiop", "aaaaaaaa", "password1999", "xK9#mQ2$vL")]
-    assert cost[0] == 0 and max(cost[:4]) < cost[4] < cost[5]
+    assert cost[0] == 0 < cost[1] < cost[4] and max(cost[:5]) < 5 and cost[5] > secrets.GUESSES
 
 
 def test_secrets_odd(spark):
@@ -217,6 +291,32 @@ def test_pii_base_matches_regex(spark):
     assert pii.pii_digest(empty(spark)).count() == 0
 
 
+def test_pii_takes_the_best_of_overlapping_candidates(spark):
+    # The digits lie in the address: both are candidates, and the better score wins whichever begins first.
+    text = "x: 12345678 20[at]host.example and more"
+    for first, kind in ((1, "likely_email"), (0, "likely_number")):
+        model = pii.Boosted([(("at", 0), ("at", 0), ("at", 0), (2.0 - first, 0.0, 0.0, 1.0 + first))], 0.0, 0.5)
+        spans = pii.find_pii(spark.createDataFrame([(text,)], "text string"), model).first()["pii_spans"]
+        assert [s["kind"] for s in spans] == [kind]
+
+
+def test_pii_many_matches(spark):
+    text = "a@b.cd " * 10_000 + "7" * 30_000
+    got = pii.pii_digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    expected = ",".join(f"email:{7 * i}:{7 * i + 6}" for i in range(10_000))
+    assert got["n_email"] == 10_000 and got["base_sha256"] == hashlib.sha256(expected.encode()).hexdigest()
+
+
+def test_pii_added_spans(spark):
+    # Addresses in a form that no base pattern has are found if they are rare among plain ones; numbers in new forms are not.
+    rng = random.Random(4)
+    digits = lambda k: "".join(rng.choices("123456789", k=k))
+    rows = [(i, f"mail bob{i}@host{i}.example, call +1 {digits(3)} {digits(3)} {digits(4)}, order {digits(3)}") for i in range(3000)]
+    rows += [(4000 + i, f"mail jo{i}[at]host.example or tel {digits(3)}-{digits(3)}-{digits(4)}, order {digits(9)}") for i in range(20)]
+    got = pii.pii_digest(spark.createDataFrame(rows, "doc_id long, text string")).where("n_likely > 0").collect()
+    assert sorted((r["doc_id"], r["spans"]) for r in got) == [(4000 + i, f"likely_email:5:{21 + len(str(i))}") for i in range(20)]
+
+
 def test_pii_boosting_and_redaction(spark):
     cells = [{**dict.fromkeys(pii.FEATURES, 0), "luhn": l, "context": c, "known": bool(l or c), "fold": f, "n": 50} for l in (0, 1) for c in (0, 1) for f in (0, 1)]
     model = pii.boost(cells)
