@@ -148,8 +148,9 @@ def candidates(text: Column, base: Column) -> Column:
                     m["end"].alias("end"),
                     F.exists(base, lambda b: (b["low"] < m["end"]) & (m["start"] < b["high"]) & F.exists(b["spans"], lambda p: (p["start"] < m["end"]) & (m["start"] < p["end"]))).alias("known"),
                     F.lit(at).alias("at"),
-                    F.when(n < 7, 0).when(n < 10, 1).when(n < 12, 2).when(n < 14, 3).when(n < 17, 4).when(n < 20, 5).otherwise(6).alias("digits"),
-                    F.least(F.size(F.split(v, "[^0-9]+")) - 1, F.lit(5)).alias("groups"),
+                    # How many digits and groups of them there are tells numbers apart, not addresses.
+                    F.when((n < 7) | F.lit(bool(at)), 0).when(n < 10, 1).when(n < 12, 2).when(n < 14, 3).when(n < 17, 4).when(n < 20, 5).otherwise(6).alias("digits"),
+                    (F.lit(0) if at else F.least(F.size(F.split(v, "[^0-9]+")) - 1, F.lit(5))).alias("groups"),
                     flag(v.startswith("+")).alias("plus"),
                     flag(F.contains(v, F.lit("("))).alias("paren"),
                     F.least(F.size(F.split(v, r"\.")) - 1, F.lit(4)).alias("dots"),

@@ -314,7 +314,7 @@ def test_pii_added_spans(spark):
     rows = [(i, f"mail bob{i}@host{i}.example, call +1 {digits(3)} {digits(3)} {digits(4)}, order {digits(3)}") for i in range(3000)]
     rows += [(4000 + i, f"mail jo{i}[at]host.example or tel {digits(3)}-{digits(3)}-{digits(4)}, order {digits(9)}") for i in range(20)]
     got = pii.pii_digest(spark.createDataFrame(rows, "doc_id long, text string")).where("n_likely > 0").collect()
-    assert sorted((r["doc_id"], r["spans"]) for r in got) == [(4000 + i, f"likely_email:5:{21 + len(str(i))}") for i in range(20)]
+    assert sorted((r["doc_id"], r["spans"]) for r in got) == [(4000 + i, f"likely_email:5:{23 + len(str(i))}") for i in range(20)]
 
 
 def test_pii_boosting_and_redaction(spark):
