@@ -14,7 +14,10 @@ from tessera.operators.inference import _moments, linear_regression
 
 def bayesian_linear(df: DataFrame, y: str, xs: list[str], prior_sd: float = 1e3) -> DataFrame:
     """(term, mean, sd, low, high, log_evidence): conjugate normal prior, noise variance from least squares, 95% intervals."""
-    m = _moments(df, [*xs, y])
+    m, means = _moments(df, [*xs, y])
+    shift = np.eye(len(m))
+    shift[1:, 0] = means
+    m = shift @ m @ shift.T  # of the columns themselves, which the prior is about
     a, b, yy, n = m[:-1, :-1], m[:-1, -1], m[-1, -1], m[0, 0]
     beta = np.linalg.lstsq(a, b, rcond=None)[0]
     noise = max((yy - 2 * beta @ b + beta @ a @ beta) / max(1.0, n - len(b)), 1e-12)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.math import valid
+from tessera.operators.frame import running_before
+from tessera.sources.scratch import written
 
 
 def mean(c: Column) -> Column:
@@ -29,28 +31,10 @@ def std_pop(c: Column) -> Column:
     return F.stddev_pop(valid(c))
 
 
-def quantile(c: Column, q: float) -> Column:
-    """Exact, linearly interpolated."""
-    return F.percentile(valid(c), F.lit(float(q)))
-
-
-def median(c: Column) -> Column:
-    return quantile(c, 0.5)
-
-
-def iqr(c: Column) -> Column:
-    return quantile(c, 0.75) - quantile(c, 0.25)
-
-
 def range_(c: Column) -> Column:
     return F.max(valid(c)) - F.min(valid(c))
 
 
-def mode(c: Column) -> Column:
-    """Most frequent value, the smallest of ties."""
-    return F.mode(valid(c), True)
-
-
 def skewness(c: Column) -> Column:
     """Mean cube of standardised values, by the sample deviation."""
     n = F.count(valid(c))
@@ -82,7 +66,7 @@ def harmonic_mean(c: Column) -> Column:
 
 
 def exact_sum(c: Column) -> Column:
-    """Compensated: summed in decimals, so the order of rows does not matter."""
+    """Summed in decimals of 12 places, so the order of rows does not matter; for values below 10^26, null beyond."""
     return F.sum(valid(c).cast("decimal(38,12)")).cast("double")
 
 
@@ -94,28 +78,72 @@ def correlation(x: Column, y: Column) -> Column:
     return F.corr(F.when(valid(y).isNotNull(), valid(x)), F.when(valid(x).isNotNull(), valid(y)))
 
 
-AGGREGATES = {f.__name__.rstrip("_"): f for f in (mean, var, std, var_pop, std_pop, median, iqr, range_, mode, skewness, kurtosis, excess_kurtosis, root_mean_square, geometric_mean, harmonic_mean, exact_sum)}
+AGGREGATES = {f.__name__.rstrip("_"): f for f in (mean, var, std, var_pop, std_pop, range_, skewness, kurtosis, excess_kurtosis, root_mean_square, geometric_mean, harmonic_mean, exact_sum)}
+
+
+def _same_keys(left: list[str], right: list[str]) -> Column:
+    on = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        on = on & F.col(a).eqNullSafe(F.col(b))
+    return on
+
+
+def _counted(df: DataFrame, column: str | Column, keys: list[str]) -> DataFrame:
+    """A written table of (keys, __v, __n): how often each value occurs."""
+    c = F.col(column) if isinstance(column, str) else column
+    return written(df.withColumn("__v", valid(c)).where("__v is not null").groupBy(*keys, "__v").agg(F.count("*").alias("__n")), "counts")
+
+
+def quantiles(df: DataFrame, column: str | Column, qs: dict[str, float], keys: list[str] | None = None) -> DataFrame:
+    """One row per key with values (without keys: one row at all): each named quantile, exact, linearly interpolated.
+
+    Distinct values are counted and their positions come from running sums by
+    part, so no task or buffer holds all values of a key.
+    """
+    keys = keys or []
+    counts = _counted(df, column, keys)
+    placed = running_before(counts, [*keys, "__v"], {"__low": F.col("__n")})
+    placed = written(placed, "placed")
+    whole = placed.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(F.sum("__n").alias("__t"), F.min("__low").alias("__base"))
+    both = placed.join(whole, _same_keys(keys, [f"__k_{k}" for k in keys])) if keys else placed.crossJoin(F.broadcast(whole))  # one row
+    low = F.col("__low") - F.col("__base")
+    at = {k: F.lit(float(q)) * (F.col("__t") - 1) for k, q in qs.items()}
+    pick = lambda place: F.max(F.when((low <= place) & (place < low + F.col("__n")), F.col("__v")))
+    found = both.groupBy(*keys).agg(*[f for k, p in at.items() for f in (pick(F.floor(p)).alias(f"__a_{k}"), pick(F.ceil(p)).alias(f"__b_{k}"), F.max(p - F.floor(p)).alias(f"__f_{k}"))])
+    return found.select(*keys, *[(F.col(f"__a_{k}") + (F.col(f"__b_{k}") - F.col(f"__a_{k}")) * F.col(f"__f_{k}")).alias(k) for k in qs])
+
+
+def modes(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys, mode): the most frequent value, the smallest of ties."""
+    return _counted(df, column, keys or []).groupBy(*(keys or [])).agg(F.min_by("__v", F.struct(-F.col("__n"), "__v")).alias("mode"))
 
 
 def describe(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
-    """count (NaN included), mean, std, min, quartiles and max in one pass."""
-    v = valid(F.col(column))
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*(keys or [])).agg(F.count(column).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max"))
-    return out.select(*(keys or []), "count", "mean", "std", "min", F.get("q", F.lit(0)).alias("q25"), F.get("q", F.lit(1)).alias("q50"), F.get("q", F.lit(2)).alias("q75"), "max")
+    """count (NaN included), mean, std, min, quartiles and max."""
+    keys, v = keys or [], valid(F.col(column))
+    out = df.groupBy(*keys).agg(F.count(column).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    q = quantiles(df, column, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, keys)
+    q = q.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "q25", "q50", "q75")
+    return out.join(q, _same_keys(keys, [f"__k_{k}" for k in keys]), "left").select(*keys, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
-def _deviation(df: DataFrame, column: str, centre: Column, spread) -> DataFrame:
-    one = F.broadcast(df.agg(centre.alias("__c")))  # one row
-    return df.crossJoin(one).agg(spread(F.abs(valid(F.col(column)) - F.col("__c"))).alias("value"))
+def arg_extremes(df: DataFrame, column: str, label: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys, argmin, argmax): the labels of the least and the largest value, the smallest label of ties; missing values do not count."""
+    v = valid(F.col(column))
+    present = F.when(v.isNotNull(), F.col(label))
+    return df.groupBy(*(keys or [])).agg(F.min_by(present, F.when(v.isNotNull(), F.struct(v, label))).alias("argmin"), F.min_by(present, F.when(v.isNotNull(), F.struct(-v, label))).alias("argmax"))
 
 
 def mean_absolute_deviation(df: DataFrame, column: str) -> DataFrame:
-    return _deviation(df, column, mean(F.col(column)), F.avg)
+    one = F.broadcast(df.agg(mean(F.col(column)).alias("__c")))  # one row
+    return df.crossJoin(one).agg(F.avg(F.abs(valid(F.col(column)) - F.col("__c"))).alias("value"))
 
 
 def median_absolute_deviation(df: DataFrame, column: str) -> DataFrame:
-    return _deviation(df, column, median(F.col(column)), median)
+    """One row (value, centre)."""
+    one = written(quantiles(df, column, {"centre": 0.5}), "centre")
+    off = df.select(valid(F.col(column)).alias("__x")).crossJoin(F.broadcast(one))  # one row
+    return quantiles(off, F.abs(F.col("__x") - F.col("centre")), {"value": 0.5}).crossJoin(F.broadcast(one))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str], how: str = "correlation") -> DataFrame:
@@ -129,19 +157,8 @@ def correlation_matrix(df: DataFrame, columns: list[str], how: str = "correlatio
 
 def ranked(df: DataFrame, column: str, name: str, method: str = "average") -> DataFrame:
     """Adds ranks from 1. Ranks come from counts of distinct values, not from one sorted task."""
-    from tessera.operators.frame import POS, with_position
-
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
-    placed = with_position(counts, ["__v"])
-    # Running totals: positions are global, totals per range part are added up first.
-    from pyspark.sql import Window
-
-    parts = placed.withColumn("__block", F.floor(F.col(POS) / 4096))
-    sums = parts.groupBy("__block").agg(F.sum("__n").alias("__s"))
-    before = F.coalesce(F.sum("__s").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("__block", before.alias("__before"))
-    inside = F.sum("__n").over(Window.partitionBy("__block").orderBy(POS)) - F.col("__n")
-    low = parts.join(sums, "__block").select("__v", (F.col("__before") + inside).alias("__low"), "__n")
+    counts = written(df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__n")), "counts")
+    low = running_before(counts, ["__v"], {"__low": F.col("__n")})
     rank = {"average": F.col("__low") + (F.col("__n") + 1) / 2, "min": F.col("__low") + 1, "max": F.col("__low") + F.col("__n")}[method]
     return df.join(low.select("__v", rank.cast("double").alias(name)), F.col(column) == F.col("__v"), "left").drop("__v")
 

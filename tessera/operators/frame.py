@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from tessera.functions.math import missing
 
 POS = "__pos"
+#: Rows of a part that one task numbers, and how many parts there are at most.
+PART_ROWS, MOST_PARTS = 100_000, 512
 AGGREGATES = {"sum": F.sum, "mean": F.avg, "count": F.count, "min": F.min, "max": F.max}
 
 
@@ -23,18 +25,51 @@ def numeric(df: DataFrame, columns: list[str]) -> list[str]:
     return columns
 
 
-def with_position(df: DataFrame, order: list[str]) -> DataFrame:
-    """Adds 0-based ``__pos`` in ``order``: rows are range-partitioned and numbered within their part, offset by the parts before.
+def _cuts(df: DataFrame, order: list[str]) -> list:
+    """Bounds between parts of about PART_ROWS rows, at most MOST_PARTS - 1 of them, from a sample taken once."""
+    n = df.count()
+    parts = min(MOST_PARTS, -(-n // PART_ROWS))
+    if parts < 2:
+        return []
+    sample = df.select(*order).sample(min(1.0, 40.0 * parts / n), seed=1).limit(80 * parts)  # bounded by MOST_PARTS
+    rows = sample.orderBy(*order).collect()
+    return list(dict.fromkeys(rows[len(rows) * i // parts] for i in range(1, parts)))
+
+
+def _part(df: DataFrame, order: list[str], cuts: list) -> Column:
+    """The number of the part that a row lies in, by bisection over literal bounds."""
+    key = F.struct(*[F.col(c) for c in order])
+    bound = lambda row: F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, row, strict=True)])
+
+    def within(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key < bound(cuts[middle]), within(low, middle)).otherwise(within(middle + 1, high))
+
+    return within(0, len(cuts))
 
-    No single task sees all rows; the table of part sizes is as small as the number of parts.
+
+def running_before(df: DataFrame, order: list[str], weights: dict[str, Column]) -> DataFrame:
+    """Adds, for each name, the sum of its weight over all rows before a row in ``order``.
+
+    Bounds are taken once, as literals, so every use of the plan deals the rows
+    alike. A part is numbered by itself and offset by the parts before; no task
+    sees all rows, and the table of part sums has MOST_PARTS rows at most. Rows
+    that are equal in ``order`` lie in one part, in no fixed order.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    dealt = dealt.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = F.broadcast(sizes.select("__part", before.alias("__before")))  # one row a part
-    return dealt.join(offsets, "__part").withColumn(POS, F.col("__before") + F.col("__row") - 1).drop("__part", "__row", "__before")
+    dealt = df.withColumn("__part", _part(df, order, _cuts(df, order))).withColumns({f"__w_{k}": w for k, w in weights.items()})
+    sums = dealt.groupBy("__part").agg(*[F.sum(f"__w_{k}").alias(f"__s_{k}") for k in weights])
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = F.broadcast(sums.select(F.col("__part").alias("__p"), *[F.coalesce(F.sum(f"__s_{k}").over(earlier), F.lit(0)).alias(f"__o_{k}") for k in weights]))
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.withColumns({f"__i_{k}": F.sum(f"__w_{k}").over(inside) - F.col(f"__w_{k}") for k in weights})
+    return placed.join(offsets, F.col("__part") == F.col("__p")).select(*df.columns, *[(F.col(f"__o_{k}") + F.col(f"__i_{k}")).alias(k) for k in weights])
+
+
+def with_position(df: DataFrame, order: list[str]) -> DataFrame:
+    """Adds 0-based ``__pos`` in ``order``, gapless."""
+    return running_before(df, order, {POS: F.lit(1).cast("long")})
 
 
 def slice_rows(df: DataFrame, start: int, end: int, order: list[str]) -> DataFrame:
@@ -199,9 +234,9 @@ def sort(df: DataFrame, columns: list[str], ascending: bool = True) -> DataFrame
     return df.orderBy(*[F.asc_nulls_last(c) if ascending else F.desc_nulls_last(c) for c in columns])
 
 
-def align(left: DataFrame, right: DataFrame, index: str, left_value: str = "value", right_value: str = "value") -> DataFrame:
-    """Rows (index, a, b) of the union of both labels; of repeated right labels the last value counts."""
-    b = right.groupBy(F.col(index).alias("__i")).agg(F.last(right_value).alias("b"))
+def align(left: DataFrame, right: DataFrame, index: str, left_value: str = "value", right_value: str = "value", order: list[str] | None = None) -> DataFrame:
+    """Rows (index, a, b) of the union of both labels; of repeated right labels the last value in ``order`` counts, the largest without one."""
+    b = right.groupBy(F.col(index).alias("__i")).agg(F.max_by(F.col(right_value), F.struct(*(order or [right_value]))).alias("b"))
     return left.select(F.col(index), F.col(left_value).cast("double").alias("a")).join(b, F.col(index) == F.col("__i"), "full").select(F.coalesce(index, "__i").alias(index), "a", F.col("b").cast("double").alias("b"))
 
 
@@ -257,9 +292,9 @@ def interpolate(df: DataFrame, column: str, order: list[str], keys: list[str]) -
     return rows.withColumn(column, F.coalesce("__v", between, a["v"], b["v"])).drop("__n", "__v", "__a", "__b")
 
 
-def fill_from(df: DataFrame, other: DataFrame, index: str, column: str) -> DataFrame:
-    """Missing values from another table's rows of the same label."""
-    b = other.groupBy(F.col(index).alias("__i")).agg(F.last(column).alias("__o"))
+def fill_from(df: DataFrame, other: DataFrame, index: str, column: str, order: list[str] | None = None) -> DataFrame:
+    """Missing values from another table's rows of the same label; of repeated labels the last value in ``order``, the largest without one."""
+    b = other.groupBy(F.col(index).alias("__i")).agg(F.max_by(F.col(column), F.struct(*(order or [column]))).alias("__o"))
     return df.join(b, F.col(index) == F.col("__i"), "left").withColumn(column, F.when(missing(F.col(column)), F.col("__o")).otherwise(F.col(column))).drop("__i", "__o")
 
 

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.math import missing, valid
-from tessera.operators.describe import median, ranked
+from tessera.operators.describe import median_absolute_deviation, modes, quantiles, ranked
+from tessera.operators.frame import running_before
+from tessera.sources.scratch import written
 
 
 def one_sample_t(df: DataFrame, column: str, mean: float) -> DataFrame:
@@ -84,31 +86,45 @@ def friedman(df: DataFrame, block: str, treatment: str, value: str) -> DataFrame
 # Regression.
 
 
-def _moments(df: DataFrame, columns: list[str], weight: Column | None = None) -> np.ndarray:
-    """The matrix of (weighted) sums of products of 1 and the columns, in one aggregation."""
+def _complete(df: DataFrame, columns: list[str]) -> DataFrame:
+    for c in columns:
+        df = df.where(~missing(F.col(c)))
+    return df
+
+
+def _moments(df: DataFrame, columns: list[str], weight: Column | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The matrix of (weighted) sums of products of 1 and the columns less their means, and these means.
+
+    Means are taken first, so large ones (timestamps, ids) cost no digits.
+    """
+    df = _complete(df, columns)
+    means = np.array([x or 0.0 for x in df.agg(*[F.avg(F.col(c).cast("double")) for c in columns]).first()])
     w = F.lit(1.0) if weight is None else weight
-    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in columns]]
+    cols = [F.lit(1.0), *[F.col(c).cast("double") - float(m) for c, m in zip(columns, means, strict=True)]]
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    ok = None
-    for c in columns:
-        ok = ~missing(F.col(c)) if ok is None else ok & ~missing(F.col(c))
-    row = df.where(ok).agg(*[F.coalesce(F.sum(w * cols[i] * cols[j]), F.lit(0.0)).alias(f"m{i}_{j}") for i, j in pairs]).first()
+    row = df.agg(*[F.coalesce(F.sum(w * cols[i] * cols[j]), F.lit(0.0)).alias(f"m{i}_{j}") for i, j in pairs]).first()
     m = np.zeros((len(cols), len(cols)))
     for i, j in pairs:
         m[i, j] = m[j, i] = row[f"m{i}_{j}"]
-    return m
+    return m, means
 
 
 def linear_regression(df: DataFrame, y: str, xs: list[str], ridge: float = 0.0, weight: Column | None = None) -> DataFrame:
     """(term, coefficient, std_error, t, r2): least squares with an intercept, L2 on the slopes if ``ridge``."""
-    m = _moments(df, [*xs, y], weight)
+    m, means = _moments(df, [*xs, y], weight)
     a, b, yy, n = m[:-1, :-1].copy(), m[:-1, -1], m[-1, -1], m[0, 0]
     penalised = a + np.diag([0.0, *[ridge] * len(xs)])
     beta = np.linalg.solve(penalised, b)
     rss = yy - 2 * beta @ b + beta @ a @ beta
     tss = yy - m[0, -1] ** 2 / n
     r2 = 1 - rss / tss if tss > 0 else float("nan")
-    se = np.sqrt(np.maximum(np.diag(np.linalg.inv(penalised)) * rss / max(1.0, n - len(xs) - 1), 0))
+    # Back from columns less their means: only the intercept changes.
+    back = np.eye(len(beta))
+    back[0, 1:] = -means[:-1]
+    cov = back @ np.linalg.inv(penalised) @ back.T * rss / max(1.0, n - len(xs) - 1)
+    beta = back @ beta
+    beta[0] += means[-1]
+    se = np.sqrt(np.maximum(np.diag(cov), 0))
     rows = [(t, float(c), float(s), float(c / s) if s > 0 else None, float(r2)) for t, c, s in zip(["intercept", *xs], beta, se, strict=True)]
     return df.sparkSession.createDataFrame(rows, "term string, coefficient double, std_error double, t double, r2 double")
 
@@ -127,7 +143,7 @@ def robust_regression(df: DataFrame, y: str, xs: list[str], kind: str = "huber",
     fit, last = linear_regression(df, y, xs), None
     for _ in range(rounds):
         res = predict(df, fit, "__p").withColumn("__r", F.abs(F.col(y) - F.col("__p")))
-        scale = max(res.agg((F.percentile("__r", F.lit(0.5)) / 0.6745).alias("s")).first()["s"], 1e-12)
+        scale = max(quantiles(res, "__r", {"s": 0.5}).first()["s"] / 0.6745, 1e-12)
         u = F.col("__r") / (k * scale)
         w = F.when(u <= 1, 1.0).otherwise(1 / u) if kind == "huber" else F.when(u < 1, (1 - u * u) ** 2).otherwise(0.0)
         fit = linear_regression(res, y, xs, weight=w)
@@ -148,21 +164,31 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 def scale(df: DataFrame, columns: list[str], how: str = "standard", low: float = 0.0, high: float = 1.0) -> DataFrame:
     """standard ((x-mean)/s, s < 1e-10 counts as 1), minmax (to [low, high]) or robust ((x-median)/iqr); adds <column>_scaled."""
-    stats = []
-    for c in columns:
-        v = valid(F.col(c))
-        if how == "standard":
-            stats += [F.avg(v).alias(f"__{c}_a"), F.stddev_samp(v).alias(f"__{c}_b")]
-        elif how == "minmax":
-            stats += [F.min(v).alias(f"__{c}_a"), (F.max(v) - F.min(v)).alias(f"__{c}_b")]
-        else:
-            stats += [F.percentile(v, F.lit(0.5)).alias(f"__{c}_a"), (F.percentile(v, F.lit(0.75)) - F.percentile(v, F.lit(0.25))).alias(f"__{c}_b")]
-    out = df.crossJoin(F.broadcast(df.agg(*stats)))  # one row
-    for c in columns:
-        b = F.col(f"__{c}_b")
-        z = (F.col(c) - F.col(f"__{c}_a")) / F.when(F.coalesce(b, F.lit(0.0)) < 1e-10, 1.0).otherwise(b)
-        out = out.withColumn(f"{c}_scaled", z * (high - low) + low if how == "minmax" else z)
-    return out.drop(*[f"__{c}_{x}" for c in columns for x in "ab"])
+    for c, (a, b) in scaling(df, columns, how).items():
+        z = (F.col(c) - a) / b
+        df = df.withColumn(f"{c}_scaled", z * (high - low) + low if how == "minmax" else z)
+    return df
+
+
+def scaling(df: DataFrame, columns: list[str], how: str = "standard") -> dict[str, tuple[float, float]]:
+    """Centre and width of each column; two numbers a column reach the driver."""
+    if how == "robust":
+        found = {c: quantiles(df, c, {"a": 0.5, "low": 0.25, "high": 0.75}).first() for c in columns}
+        ends = {c: (r["a"], r["high"] - r["low"]) if r else (0.0, 1.0) for c, r in found.items()}
+    else:
+        v = {c: valid(F.col(c)) for c in columns}
+        two = {"standard": lambda c: (F.avg(c), F.stddev_samp(c)), "minmax": lambda c: (F.min(c), F.max(c) - F.min(c))}[how]
+        row = df.agg(*[f.cast("double").alias(f"{x}_{c}") for c in columns for x, f in zip("ab", two(v[c]), strict=True)]).first()
+        ends = {c: (row[f"a_{c}"], row[f"b_{c}"]) for c in columns}
+    return {c: (float(a or 0.0), float(b) if b and b >= 1e-10 else 1.0) for c, (a, b) in ends.items()}
+
+
+def unscale(df: DataFrame, fitted: dict[str, tuple[float, float]], how: str = "standard", low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """Adds <column>_restored from <column>_scaled, with what ``scaling`` gave."""
+    for c, (a, b) in fitted.items():
+        z = F.col(f"{c}_scaled")
+        df = df.withColumn(f"{c}_restored", ((z - low) / (high - low) if how == "minmax" else z) * b + a)
+    return df
 
 
 def polynomial_features(df: DataFrame, columns: list[str], degree: int, interaction_only: bool = False, bias: bool = True) -> DataFrame:
@@ -202,20 +228,25 @@ def accuracy(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return df.agg(F.avg((F.col(actual) == F.col(predicted)).cast("double")).alias("accuracy"))
 
 
+def _by_score(df: DataFrame, actual: str, score: str) -> DataFrame:
+    """(score, p, n, p_low, n_low): positives and others at each distinct score and below it."""
+    hit = F.col(actual) == 1
+    g = df.where(F.col(score).isNotNull() & hit.isNotNull()).groupBy(F.col(score).alias("score")).agg(F.sum(hit.cast("long")).alias("p"), F.sum((~hit).cast("long")).alias("n"))
+    return running_before(written(g, "scores"), ["score"], {"p_low": F.col("p"), "n_low": F.col("n")})
+
+
 def roc_auc(df: DataFrame, actual: str, score: str) -> DataFrame:
-    """Area under the ROC curve from averaged ranks (ties count half)."""
-    r = ranked(df, score, "__r")
-    pos = F.sum((F.col(actual) == 1).cast("long"))
-    neg = F.sum((F.col(actual) != 1).cast("long"))
-    return r.agg(((F.sum(F.when(F.col(actual) == 1, F.col("__r"))) - pos * (pos + 1) / 2) / (pos * neg)).alias("auc"))
+    """Area under the ROC curve: how often a positive scores above another row, ties counting half."""
+    g = _by_score(df, actual, score)
+    above = F.sum(F.col("p").cast("double") * (F.col("n_low") + F.col("n") / 2))
+    return g.agg((above / (F.sum("p").cast("double") * F.sum("n"))).alias("auc"))
 
 
 def roc_curve(df: DataFrame, actual: str, score: str) -> DataFrame:
     """(threshold, tpr, fpr) of every distinct score."""
-    g = df.groupBy(F.col(score).alias("threshold")).agg(F.sum((F.col(actual) == 1).cast("long")).alias("p"), F.sum((F.col(actual) != 1).cast("long")).alias("n"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    g = written(_by_score(df, actual, score), "curve")
     whole = g.agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
-    return g.select("threshold", F.sum("p").over(w).alias("cp"), F.sum("n").over(w).alias("cn")).crossJoin(F.broadcast(whole)).select("threshold", (F.col("cp") / F.col("tp")).alias("tpr"), (F.col("cn") / F.col("tn")).alias("fpr"))  # one row
+    return g.crossJoin(F.broadcast(whole)).select(F.col("score").alias("threshold"), ((F.col("tp") - F.col("p_low")) / F.col("tp")).alias("tpr"), ((F.col("tn") - F.col("n_low")) / F.col("tn")).alias("fpr"))  # one row
 
 
 # Outliers.
@@ -228,12 +259,11 @@ def outliers(df: DataFrame, column: str, how: str = "zscore", threshold: float =
         s = df.agg(F.avg(v).alias("__a"), F.stddev_samp(v).alias("__b"))
         flag = (F.col("__b") >= 1e-10) & (F.abs(v - F.col("__a")) / F.nullif(F.col("__b"), F.lit(0.0)) > threshold)
     elif how == "iqr":
-        s = df.agg(F.percentile(v, F.lit(0.25)).alias("__a"), F.percentile(v, F.lit(0.75)).alias("__b"))
+        s = quantiles(df, column, {"__a": 0.25, "__b": 0.75})
         span = F.col("__b") - F.col("__a")
         flag = (v < F.col("__a") - threshold * span) | (v > F.col("__b") + threshold * span)
     else:
-        centre = df.agg(median(F.col(column)).alias("__a"))
-        s = df.crossJoin(F.broadcast(centre)).groupBy("__a").agg(F.percentile(F.abs(v - F.col("__a")), F.lit(0.5)).alias("__b"))  # one row
+        s = median_absolute_deviation(df, column).select(F.col("centre").alias("__a"), F.col("value").alias("__b"))
         flag = (F.col("__b") > 0) & (0.6745 * F.abs(v - F.col("__a")) / F.nullif(F.col("__b"), F.lit(0.0)) > threshold)
     return df.crossJoin(F.broadcast(s)).withColumn("outlier", F.coalesce(flag, F.lit(False))).drop("__a", "__b")  # one row
 
@@ -260,9 +290,8 @@ def kmeans(df: DataFrame, columns: list[str], centres: list[list[float]], rounds
 
 def pca(df: DataFrame, columns: list[str], k: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """Scores pc1.., components (k x p, largest entry positive) and variances; only the p x p covariance is collected."""
-    m = _moments(df, columns)
-    n, mean = m[0, 0], m[0, 1:] / m[0, 0]
-    cov = (m[1:, 1:] - n * np.outer(mean, mean)) / (n - 1)
+    m, mean = _moments(df, columns)
+    cov = m[1:, 1:] / (m[0, 0] - 1)
     val, vec = np.linalg.eigh(cov)
     order = np.argsort(-val)[:k]
     comp = vec[:, order].T
@@ -273,36 +302,58 @@ def pca(df: DataFrame, columns: list[str], k: int) -> tuple[DataFrame, np.ndarra
     return out, comp, val[order]
 
 
-def lda(df: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """Linear discriminant scores: (label, term, coefficient) with the pooled covariance."""
+def lda(df: DataFrame, columns: list[str], label: str, most_classes: int = 1_000) -> DataFrame:
+    """Linear discriminant scores: (label, term, coefficient) with the pooled covariance, from one grouped aggregation."""
+    df = _complete(df, columns)
+    means = F.broadcast(df.agg(*[F.avg(F.col(c).cast("double")).alias(f"__m{i}") for i, c in enumerate(columns)]))  # one row
+    x = [F.col(c).cast("double") - F.col(f"__m{i}") for i, c in enumerate(columns)]
     p = len(columns)
-    groups = {}
-    labels = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]  # classes
-    pooled, total = np.zeros((p, p)), 0.0
-    for g in labels:
-        m = _moments(df.where(F.col(label) == F.lit(g)), columns)
-        n, mean = m[0, 0], m[0, 1:] / m[0, 0]
-        pooled += m[1:, 1:] - n * np.outer(mean, mean)
-        groups[g], total = (n, mean), total + n
-    inverse = np.linalg.pinv(pooled / max(1.0, total - len(labels)))
+    sums = [F.sum(x[i]).alias(f"s{i}") for i in range(p)] + [F.sum(x[i] * x[j]).alias(f"q{i}_{j}") for i in range(p) for j in range(i, p)]
+    found = df.crossJoin(means).groupBy(label).agg(F.count("*").alias("n"), *[F.max(f"__m{i}").alias(f"m{i}") for i in range(p)], *sums).limit(most_classes + 1).collect()
+    if len(found) > most_classes:
+        raise ValueError(f"more than {most_classes} classes")
+    pooled, total = np.zeros((p, p)), float(sum(r["n"] for r in found))
+    for r in found:
+        off = np.array([r[f"s{i}"] for i in range(p)]) / r["n"]
+        q = np.array([[r[f"q{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
+        pooled += q - r["n"] * np.outer(off, off)
+    inverse = np.linalg.pinv(pooled / max(1.0, total - len(found)))
     rows = []
-    for g, (n, mean) in groups.items():
+    for r in sorted(found, key=lambda r: str(r[label])):
+        mean = np.array([r[f"m{i}"] + r[f"s{i}"] / r["n"] for i in range(p)])
         w = inverse @ mean
-        rows += [(str(g), "intercept", float(-0.5 * mean @ w + np.log(n / total)))] + [(str(g), c, float(x)) for c, x in zip(columns, w, strict=True)]
+        rows += [(str(r[label]), "intercept", float(-0.5 * mean @ w + np.log(r["n"] / total)))] + [(str(r[label]), c, float(v)) for c, v in zip(columns, w, strict=True)]
     return df.sparkSession.createDataFrame(rows, "label string, term string, coefficient double")
 
 
+def lda_predict(df: DataFrame, coefficients: DataFrame, name: str = "predicted") -> DataFrame:
+    """Adds the class of highest discriminant score, and the probabilities of all classes as a map, <name>_proba."""
+    scores: dict[str, Column] = {}
+    for r in coefficients.collect():  # classes x features
+        part = F.lit(r["coefficient"]) if r["term"] == "intercept" else F.lit(r["coefficient"]) * F.col(r["term"])
+        scores[r["label"]] = scores[r["label"]] + part if r["label"] in scores else part
+    best = F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()))
+    weights = {k: F.exp(v - F.col("__best")) for k, v in scores.items()}
+    total = sum(weights.values(), F.lit(0.0))
+    out = df.withColumn("__best", best)
+    chosen = F.coalesce(*[F.when(v == F.col("__best"), F.lit(k)) for k, v in scores.items()])
+    return out.withColumns({name: chosen, f"{name}_proba": F.create_map(*[x for k, w in weights.items() for x in (F.lit(k), w / total)])}).drop("__best")
+
+
 # Imputation.
 
 
 def impute_simple(df: DataFrame, columns: list[str], strategy: str = "mean", fill: float = 0.0) -> DataFrame:
     """mean, median, most_frequent or constant; a column without values becomes 0."""
-    f = {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5)), "most_frequent": lambda c: F.mode(c, True), "constant": lambda c: F.max(F.lit(float(fill)))}[strategy]
-    stats = F.broadcast(df.agg(*[F.coalesce(f(valid(F.col(c))), F.lit(0.0)).alias(f"__{c}") for c in columns]))  # one row
-    out = df.crossJoin(stats)
-    for c in columns:
-        out = out.withColumn(c, F.coalesce(valid(F.col(c)), F.col(f"__{c}")))
-    return out.drop(*[f"__{c}" for c in columns])
+    if strategy in ("median", "most_frequent"):
+        one = (lambda c: quantiles(df, c, {"x": 0.5})) if strategy == "median" else (lambda c: modes(df, c).select(F.col("mode").alias("x")))
+        found = [one(c).first() for c in columns]
+        values = [float(r["x"]) if r and r["x"] is not None else 0.0 for r in found]
+    elif strategy == "mean":
+        values = [x or 0.0 for x in df.agg(*[F.avg(valid(F.col(c))) for c in columns]).first()]
+    else:
+        values = [float(fill)] * len(columns)
+    return df.withColumns({c: F.coalesce(valid(F.col(c)), F.lit(float(v))) for c, v in zip(columns, values, strict=True)})
 
 
 def impute_knn(df: DataFrame, target: str, features: list[str], key: str, k: int = 5, cell: float | None = None) -> DataFrame:
@@ -335,11 +386,14 @@ def impute_chained(df: DataFrame, columns: list[str], rounds: int = 5, ridge: fl
 # Resampling.
 
 
-def bootstrap_means(df: DataFrame, column: str, resamples: int, seed: int = 1) -> DataFrame:
-    """(resample, mean) by Poisson weights hashed from row, resample and seed: one pass, no rows copied."""
+def bootstrap_means(df: DataFrame, column: str, resamples: int, seed: int = 1, key: list[str] | None = None) -> DataFrame:
+    """(resample, mean) by Poisson weights hashed from the row's ``key`` (default: all columns), resample and seed: one pass, no rows copied.
+
+    Rows of equal keys get equal weights, so repeated rows need a key of their own.
+    """
     u = lambda i: (F.pmod(F.xxhash64(F.lit(seed), i, F.col("__id")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     steps = [np.exp(-1.0) * sum(1 / np.prod(range(1, j + 1) or [1]) for j in range(k + 1)) for k in range(8)]
-    rows = df.select(F.xxhash64(*df.columns).alias("__id"), F.col(column).cast("double").alias("__v")).where("__v is not null")
+    rows = df.select(F.xxhash64(*(key or df.columns)).alias("__id"), F.col(column).cast("double").alias("__v")).where("__v is not null")
     each = rows.select("__v", F.explode(F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda i: F.struct(i.alias("resample"), sum(((u(i) >= float(s)).cast("int") for s in steps), F.lit(0)).alias("w")))).alias("x"))
     return each.where("x.w > 0").groupBy("x.resample").agg((F.sum(F.col("x.w") * F.col("__v")) / F.sum("x.w")).alias("mean"))
 
@@ -349,6 +403,21 @@ def bootstrap_interval(df: DataFrame, column: str, resamples: int = 200, confide
     return bootstrap_means(df, column, resamples, seed).agg(F.percentile("mean", F.lit(a)).alias("low"), F.percentile("mean", F.lit(1 - a)).alias("high"))
 
 
+def time_series_split(df: DataFrame, splits: int, order: list[str]) -> DataFrame:
+    """(split, fold, all columns): for each split, all rows before its test block are 'train' and the block is 'test'.
+
+    Blocks are the last ``splits`` of splits + 1 equal parts in ``order``; what does not divide goes to the first.
+    """
+    n = df.count()
+    size = n // (splits + 1)
+    if not size:
+        raise ValueError(f"{n} rows are too few for {splits} splits")
+    block = F.greatest(F.lit(0), F.floor((F.col("__pos") - (n - size * splits)) / size) + 1)
+    placed = running_before(df, order, {"__pos": F.lit(1).cast("long")}).withColumn("__block", block)
+    each = placed.withColumn("split", F.explode(F.sequence(F.greatest(F.lit(1), F.col("__block")), F.lit(splits)))).withColumn("split", F.col("split").cast("int"))
+    return each.select("split", F.when(F.col("__block") == F.col("split"), "test").otherwise("train").alias("fold"), *df.columns)
+
+
 def kfold(df: DataFrame, k: int, key: str, seed: int = 0, stratify: str | None = None) -> DataFrame:
     """Adds ``fold`` 0..k-1: by hash, or by rank of the hash within each stratum."""
     h = F.xxhash64(F.lit(seed), F.col(key))

@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import shared_dir
+
 
 def from_rows(spark: SparkSession, rows: list[list[float]]) -> DataFrame:
     cells = [(i, j, float(v)) for i, r in enumerate(rows) for j, v in enumerate(r) if v]
@@ -157,12 +159,11 @@ def _on_driver(a: DataFrame, b: DataFrame, most: int = 4096):
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared checkpoint folder; a private folder only where none is set."""
+    """Cuts the lineage in the shared folder."""
+    shared_dir(df.sparkSession)  # raises if a cluster names none
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tessera-')}")
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -80,41 +80,44 @@ def exponential_average(df: DataFrame, column: str, alpha: float, order: list[st
 
 
 def _holt(x: np.ndarray, alpha: float, beta: float) -> np.ndarray:
-    if len(x) < 2:
-        return x.copy()
-    level, trend = x[0], x[1] - x[0]
-    out = [level]
-    for v in x[1:]:
-        new = alpha * v + (1 - alpha) * (level + trend)
-        trend = beta * (new - level) + (1 - beta) * trend
-        level = new
-        out.append(level)
-    return np.array(out)
+    there = np.flatnonzero(~np.isnan(x))
+    if len(there) < 2:
+        return np.full(len(x), np.nan)
+    start = there[0]
+    level, trend = x[start], (x[there[1]] - x[start]) / (there[1] - start)
+    out = np.full(len(x), level)
+    for t in range(start + 1, len(x)):
+        if not math.isnan(x[t]):
+            before, level = level, alpha * x[t] + (1 - alpha) * (level + trend)
+            trend += beta * (level - before - trend)
+        out[t] = level + trend
+    return out
 
 
 def holt(df: DataFrame, column: str, alpha: float, beta: float, order: list[str], keys: list[str]) -> DataFrame:
-    """Adds ``holt``: double exponential smoothing."""
+    """Adds ``holt``, level plus trend of double exponential smoothing; missing values keep both, series of less than two values have none."""
     return per_series(df, keys, order, column, ["holt"], lambda x: {"holt": _holt(x, alpha, beta)})
 
 
 def _holt_winters(x: np.ndarray, alpha: float, beta: float, gamma: float, m: int, multiplicative: bool) -> np.ndarray:
-    if len(x) < 2:
-        return x.copy()
-    season = np.full(m, 1.0 if multiplicative else 0.0)
-    level, trend, out = x[0], x[1] - x[0], [x[0]]
-    for t, v in enumerate(x[1:], 1):
+    first = x[:m][~np.isnan(x[:m])]
+    if not len(first):
+        return np.full(len(x), np.nan)
+    season = np.full(m, float(multiplicative))
+    level, trend, out = first.mean(), 0.0, np.empty(len(x))
+    for t, v in enumerate(x):
         s = season[t % m]
-        new = alpha * (v / s if multiplicative else v - s) + (1 - alpha) * (level + trend)
-        trend = beta * (new - level) + (1 - beta) * trend
-        level = new
-        if t >= m:
-            season[t % m] = gamma * (v / level if multiplicative else v - level) + (1 - gamma) * s
-        out.append(level * s if multiplicative else level + s)
-    return np.array(out)
+        if t >= m and not math.isnan(v):
+            before = level
+            level = alpha * (v / s if multiplicative else v - s) + (1 - alpha) * (level + trend)
+            trend += beta * (level - before - trend)
+            s = season[t % m] = gamma * (v / (level + trend) if multiplicative else v - level - trend) + (1 - gamma) * s
+        out[t] = (level + trend) * s if multiplicative else level + trend + s
+    return out
 
 
 def holt_winters(df: DataFrame, column: str, alpha: float, beta: float, gamma: float, period: int, order: list[str], keys: list[str], seasonal: str = "additive") -> DataFrame:
-    """Adds ``holt_winters``: triple exponential smoothing; the first season keeps its neutral factors."""
+    """Adds ``holt_winters``: triple exponential smoothing from the first season's mean, no trend and neutral factors; missing values keep the state."""
     return per_series(df, keys, order, column, ["holt_winters"], lambda x: {"holt_winters": _holt_winters(x, alpha, beta, gamma, period, seasonal != "additive")})
 
 

@@ -72,6 +72,19 @@ def select_iloc(t, s):
     return FR.iloc(t("part").select("p_partkey", "p_name"), [5, 0, 5, 11], ["p_partkey"]).withColumnRenamed("__ask", "ask")
 
 
+_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+@query(f"WITH p AS (SELECT *, row_number() OVER (ORDER BY {', '.join(_LINE)}) - 1 AS pos FROM lineitem) SELECT CAST(a.k AS INTEGER) AS ask, {', '.join(_LINE)} FROM (VALUES (0, 5), (1, 0), (2, 5), (3, 4999)) a(k, place) JOIN p ON p.pos = a.place")
+def select_iloc_lines(t, s):
+    return FR.iloc(t("lineitem").select(*_LINE), [5, 0, 5, 4999], _LINE).withColumnRenamed("__ask", "ask")
+
+
+@query("SELECT event_id, value, row_number() OVER (ORDER BY value, event_id) - 1 AS pos FROM events")
+def select_position(t, s):
+    return FR.with_position(t("events").select("event_id", "value"), ["value", "event_id"]).withColumnRenamed("__pos", "pos")
+
+
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (1, 3, 99)")
 def select_loc_list(t, s):
     return FR.loc(t("nation").select("n_nationkey", "n_name"), "n_nationkey", [1, 3, 99])
@@ -116,12 +129,12 @@ def filter_compare_aligned(t, s):
 # Joins.
 
 _ORD = "(SELECT o_orderkey, o_custkey, o_totalprice FROM orders)"
-_CUS = "(SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 3 <> 0)"
+_CUS = "(SELECT c_custkey, c_name, c_acctbal FROM customer)"
 
 
 def _join(how: str):
     def f(t, s):
-        return FR.join(t("orders").select("o_orderkey", "o_custkey", "o_totalprice"), t("customer").where("c_custkey % 3 <> 0").select("c_custkey", "c_name", "c_acctbal"), ["o_custkey"], ["c_custkey"], how)
+        return FR.join(t("orders").select("o_orderkey", "o_custkey", "o_totalprice"), t("customer").select("c_custkey", "c_name", "c_acctbal"), ["o_custkey"], ["c_custkey"], how)
 
     return f
 
@@ -224,16 +237,21 @@ def reshape_split(t, s):
     return FR.split_rows(t("nation").select("n_nationkey"), 5, ["n_nationkey"])
 
 
+@query(f"SELECT {', '.join(_LINE)}, CAST((row_number() OVER (ORDER BY {', '.join(_LINE)}) - 1) // ((SELECT count(*) FROM lineitem) // 4) AS INTEGER) AS section FROM lineitem")
+def reshape_split_lines(t, s):
+    return FR.split_rows(t("lineitem").select(*_LINE), 4, _LINE)
+
+
 # Index-aligned arithmetic.
 
 for _op, _sql in (("add", "a + b"), ("sub", "a - b"), ("mul", "a * b"), ("div", "CASE WHEN b = 0 THEN CAST('Infinity' AS DOUBLE) ELSE a / b END")):
 
     def _aligned(t, s, op=_op):
-        a = t("orders").where("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("value"))
+        a = t("orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("value"))
         b = t("customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("value"))
         return rounded(FR.arithmetic(a, b, "k", op))
 
-    _FOUND[f"align_{_op}"] = (_aligned, f"SELECT k, round({_sql}, 4) AS value FROM (SELECT coalesce(x.k, y.k) AS k, x.v AS a, y.v AS b FROM (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) x FULL JOIN (SELECT c_custkey AS k, c_acctbal AS v FROM customer) y ON x.k = y.k)")
+    _FOUND[f"align_{_op}"] = (_aligned, f"SELECT k, round({_sql}, 4) AS value FROM (SELECT coalesce(x.k, y.k) AS k, x.v AS a, y.v AS b FROM (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders GROUP BY 1) x FULL JOIN (SELECT c_custkey AS k, c_acctbal AS v FROM customer) y ON x.k = y.k)")
 
 # Missing values.
 
@@ -382,9 +400,24 @@ def series_date_range(t, s):
     return TS.date_range(s, "2024-01-01", "2024-02-01")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS n FROM {_DAILY}),
+f AS (SELECT event_type, avg(v) AS l FROM n WHERE n < 7 GROUP BY 1),
+e AS (SELECT n.event_type, n.day, n.n, f.l, CAST(0 AS DOUBLE) AS b, CAST([0, 0, 0, 0, 0, 0, 0] AS DOUBLE[]) AS s, f.l AS y FROM n JOIN f USING (event_type) WHERE n = 0
+UNION ALL SELECT event_type, day, n, l2, b2, CASE WHEN n < 7 THEN s ELSE list_concat(list_concat(s[1:n % 7], [c]), s[n % 7 + 2:7]) END, l2 + b2 + c FROM (
+SELECT *, CASE WHEN n < 7 THEN s[n % 7 + 1] ELSE 0.3 * (v - l2 - b2) + 0.7 * s[n % 7 + 1] END AS c FROM (
+SELECT *, CASE WHEN n < 7 THEN b ELSE 0.2 * (l2 - l) + 0.8 * b END AS b2 FROM (
+SELECT n.event_type, n.day, n.n, n.v, e.l, e.b, e.s, CASE WHEN n.n < 7 THEN e.l ELSE 0.4 * (n.v - e.s[n.n % 7 + 1]) + 0.6 * (e.l + e.b) END AS l2 FROM e JOIN n ON n.event_type = e.event_type AND n.n = e.n + 1))))
+SELECT event_type, day, round(y, 3) AS holt_winters FROM e""")
 def series_holt_winters(t, s):
-    return rounded(TS.holt_winters(daily(t), "v", 0.4, 0.2, 0.3, 7, ["day"], ["event_type"]))
+    return rounded(TS.holt_winters(daily(t), "v", 0.4, 0.2, 0.3, 7, ["day"], ["event_type"]).select("event_type", "day", "holt_winters"), 3)
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) AS n FROM {_DAILY}),
+e AS (SELECT a.event_type, a.day, a.n, a.v AS l, b.v - a.v AS b, a.v AS y FROM n a JOIN n b ON a.event_type = b.event_type AND a.n = 1 AND b.n = 2
+UNION ALL SELECT event_type, day, n, l2, 0.2 * (l2 - l) + 0.8 * b, l2 + 0.2 * (l2 - l) + 0.8 * b FROM (SELECT n.event_type, n.day, n.n, e.l, e.b, 0.4 * n.v + 0.6 * (e.l + e.b) AS l2 FROM e JOIN n ON n.event_type = e.event_type AND n.n = e.n + 1))
+SELECT event_type, day, round(y, 3) AS holt FROM e""")
+def series_holt(t, s):
+    return rounded(TS.holt(daily(t), "v", 0.4, 0.2, ["day"], ["event_type"]).select("event_type", "day", "holt"), 3)
 
 
 @query(None)
@@ -407,12 +440,18 @@ def series_portmanteau(t, s):
 _DESC = {
     "mean": "avg(x)", "var": "var_samp(x)", "std": "stddev_samp(x)", "var_pop": "var_pop(x)", "std_pop": "stddev_pop(x)", "median": "median(x)",
     "iqr": "quantile_cont(x, 0.75) - quantile_cont(x, 0.25)", "range": "max(x) - min(x)", "root_mean_square": "sqrt(avg(x * x))", "geometric_mean": "exp(avg(ln(x)))", "harmonic_mean": "count(x) / sum(1 / x)",
+    "exact_sum": "CAST(sum(CAST(x AS DECIMAL(18, 4))) AS DOUBLE)",
 }
 
 
-@query("SELECT l_returnflag, " + ", ".join(f"round({v}, 4) AS {k}" for k, v in _DESC.items()) + " FROM (SELECT l_returnflag, l_extendedprice AS x FROM lineitem) GROUP BY 1")
+@query("SELECT l_returnflag, " + ", ".join(f"round({v}, 4) AS {k}" for k, v in _DESC.items()) + ", (SELECT x FROM (SELECT l_extendedprice AS x, count(*) AS n FROM lineitem i WHERE i.l_returnflag = o.l_returnflag GROUP BY 1) ORDER BY n DESC, x LIMIT 1) AS mode FROM (SELECT l_returnflag, l_extendedprice AS x FROM lineitem) o GROUP BY 1")
 def stats_aggregates(t, s):
-    return t("lineitem").groupBy("l_returnflag").agg(*[r(D.AGGREGATES[k](F.col("l_extendedprice"))).alias(k) for k in _DESC])
+    x = t("lineitem").select("l_returnflag", "l_extendedprice")
+    q = D.quantiles(x, "l_extendedprice", {"q25": 0.25, "median": 0.5, "q75": 0.75}, ["l_returnflag"])
+    q = q.select("l_returnflag", r("median").alias("median"), r(F.col("q75") - F.col("q25")).alias("iqr"))
+    m = D.modes(x, "l_extendedprice", ["l_returnflag"])
+    plain = x.groupBy("l_returnflag").agg(*[r(D.AGGREGATES[k](F.col("l_extendedprice"))).alias(k) for k in _DESC if k in D.AGGREGATES])
+    return plain.join(q, "l_returnflag").join(m, "l_returnflag")
 
 
 @query("""WITH m AS (SELECT l_returnflag, avg(l_quantity) AS m, stddev_samp(l_quantity) AS s FROM lineitem GROUP BY 1)
@@ -446,9 +485,19 @@ def stats_covariance_matrix(t, s):
 
 @query("""WITH q AS (SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem),
 k AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM q)
-SELECT round(corr(rx, ry), 4) AS value FROM k""")
+SELECT round(corr(rx, ry), 9) AS value FROM k""")
 def stats_spearman(t, s):
-    return rounded(D.spearman(t("lineitem"), "l_quantity", "l_extendedprice"), 4)
+    return rounded(D.spearman(t("lineitem"), "l_quantity", "l_extendedprice"), 9)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS rank FROM lineitem")
+def stats_ranked(t, s):
+    return D.ranked(t("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice", "rank")
+
+
+@query(f"SELECT event_type, arg_min(event_id, (value, event_id)) AS argmin, arg_min(event_id, (-value, event_id)) AS argmax FROM {_GAPPY} WHERE value IS NOT NULL GROUP BY 1")
+def stats_arg_extremes(t, s):
+    return D.arg_extremes(gappy(t), "value", "event_id", ["event_type"])
 
 
 @query("SELECT round(avg(sign(b.s_acctbal - a.s_acctbal) * sign(b.s_nationkey - a.s_nationkey)), 5) AS value FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey")
@@ -463,7 +512,7 @@ def stats_mean_absolute_deviation(t, s):
 
 @query("SELECT median(abs(l_quantity - m)) AS value FROM lineitem, (SELECT median(l_quantity) AS m FROM lineitem)")
 def stats_median_absolute_deviation(t, s):
-    return D.median_absolute_deviation(t("lineitem"), "l_quantity")
+    return D.median_absolute_deviation(t("lineitem"), "l_quantity").select("value")
 
 
 @query("""WITH e AS (SELECT min(c_acctbal) - 0.001 * (max(c_acctbal) - min(c_acctbal)) AS lo, max(c_acctbal) + 0.001 * (max(c_acctbal) - min(c_acctbal)) AS hi FROM customer),
@@ -528,9 +577,9 @@ def model_linear_regression(t, s):
     return I.linear_regression(t("lineitem"), "l_extendedprice", ["l_quantity"]).select("term", r("coefficient", 2).alias("coefficient"), r("r2", 5).alias("r2"))
 
 
-@query("SELECT round(avg(e * e), 5) AS mse, round(avg(abs(e)), 5) AS mae FROM (SELECT l_discount - l_tax AS e FROM lineitem)")
+@query("SELECT round(avg((x - y) ** 2), 5) AS mse, round(avg(abs(x - y)), 5) AS mae, round(1 - sum((x - y) ** 2) / (var_pop(x) * count(x)), 5) AS r2 FROM (SELECT l_discount AS x, l_tax AS y FROM lineitem)")
 def model_regression_metrics(t, s):
-    return rounded(I.regression_metrics(t("lineitem"), "l_discount", "l_tax").select("mse", "mae"), 5)
+    return rounded(I.regression_metrics(t("lineitem"), "l_discount", "l_tax").select("mse", "mae", "r2"), 5)
 
 
 @query("SELECT c_custkey, round((c_acctbal - m) / s, 5) AS c_acctbal_scaled FROM customer, (SELECT avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS s FROM customer)")
@@ -548,6 +597,17 @@ def model_robust_scaler(t, s):
     return rounded(I.scale(t("customer"), ["c_acctbal"], "robust").select("c_custkey", "c_acctbal_scaled"), 5)
 
 
+@query("SELECT c_custkey, round(c_acctbal, 4) AS c_acctbal_restored FROM customer")
+def model_scaler_inverse(t, s):
+    fitted = I.scaling(t("customer"), ["c_acctbal"], "robust")
+    return rounded(I.unscale(I.scale(t("customer"), ["c_acctbal"], "robust"), fitted, "robust").select("c_custkey", "c_acctbal_restored"))
+
+
+@query("SELECT i AS split, CASE WHEN b = i THEN 'test' ELSE 'train' END AS fold, o_orderkey FROM (SELECT o_orderkey, greatest(0, (row_number() OVER (ORDER BY o_orderkey) - 1 - (n - n // 4 * 3)) // (n // 4) + CASE WHEN row_number() OVER (ORDER BY o_orderkey) - 1 < n - n // 4 * 3 THEN -1 ELSE 1 END) AS b FROM orders, (SELECT count(*) AS n FROM orders)), (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS i) WHERE i >= greatest(b, 1)")
+def resample_time_series_split(t, s):
+    return I.time_series_split(t("orders").select("o_orderkey"), 3, ["o_orderkey"])
+
+
 @query('SELECT l_orderkey, l_linenumber, round(l_discount * l_discount, 6) AS "l_discount^2", round(l_discount * l_tax, 6) AS "l_discount*l_tax", round(l_tax * l_tax, 6) AS "l_tax^2" FROM lineitem')
 def model_polynomial_features(t, s):
     df = I.polynomial_features(t("lineitem"), ["l_discount", "l_tax"], 2, bias=False)
@@ -578,9 +638,15 @@ def metric_classification_report(t, s):
 
 
 @query(f"""WITH k AS (SELECT a, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM {_PRED}), c AS (SELECT sum(r) FILTER (WHERE a = 1) AS s, count(*) FILTER (WHERE a = 1)::DOUBLE AS p, count(*) FILTER (WHERE a <> 1)::DOUBLE AS n FROM k)
-SELECT round((s - p * (p + 1) / 2) / (p * n), 5) AS auc FROM c""")
+SELECT round((s - p * (p + 1) / 2) / (p * n), 9) AS auc FROM c""")
 def metric_roc_auc(t, s):
-    return rounded(I.roc_auc(predicted(t), "a", "score"), 5)
+    return rounded(I.roc_auc(predicted(t), "a", "score"), 9)
+
+
+@query(f"""WITH g AS (SELECT score, sum(a) AS p, count(*) - sum(a) AS n FROM {_PRED} GROUP BY 1), c AS (SELECT score, sum(p) OVER w AS cp, sum(n) OVER w AS cn FROM g WINDOW w AS (ORDER BY score DESC))
+SELECT score AS threshold, round(cp / (SELECT sum(p) FROM g), 6) AS tpr, round(cn / (SELECT sum(n) FROM g), 6) AS fpr FROM c""")
+def metric_roc_curve(t, s):
+    return rounded(I.roc_curve(predicted(t), "a", "score"), 6, ["tpr", "fpr"])
 
 
 @query("SELECT l_orderkey, l_linenumber, abs(l_extendedprice - m) / s > 2.0 AS outlier FROM lineitem, (SELECT avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS s FROM lineitem)")
@@ -738,7 +804,7 @@ def transform_fft(t, s):
 # Generated tables.
 
 
-@query("SELECT i AS pos, 1 + i * 0.5 AS value FROM range(8) t(i)")
+@query("SELECT i AS pos, CAST(1 + i * 0.5 AS DOUBLE) AS value FROM range(8) t(i)")
 def generate_arange(t, s):
     return G.arange(s, 1.0, 5.0, 0.5)
 

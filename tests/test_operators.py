@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import distributions, strings
-from tessera.operators import frame, inference, matrix, series
+from tessera.operators import describe, frame, inference, matrix, series
 from tessera.sources import excel, files
 
 
@@ -129,3 +129,81 @@ def test_bayes_and_polynomials(spark):
     assert sorted(r.real for r in bayes.polynomial_roots([2, -3, 1])) == pytest.approx([1, 2])
     draws = bayes.metropolis(spark, lambda x: -0.5 * float((x - 1) @ (x - 1)), [0.0, 0.0], [1.0, 1.0], 1500)
     assert all(abs(r["mean"] - 1) < 0.25 and r["r_hat"] < 1.1 for r in bayes.gelman_rubin(draws).collect())
+
+
+def test_positions_of_a_million_wide_rows(spark):
+    n = 1_000_000
+    k = (F.col("id") * 7_919 % n).cast("long")
+    df = spark.range(n).select(k.alias("k"), F.concat(F.lit("text "), "id").alias("a"), (F.col("id") / 3).alias("b"), F.col("id").cast("string").alias("c"))
+    got = frame.with_position(df, ["k"])
+    assert got.columns == ["k", "a", "b", "c", "__pos"]
+    assert tuple(got.agg(F.count("*"), F.countDistinct("__pos"), F.sum((F.col("__pos") != F.col("k")).cast("int"))).first()) == (n, n, 0)
+    parts = frame.split_rows(df, 4, ["k"]).groupBy("section").count().collect()
+    assert sorted(tuple(r) for r in parts) == [(i, n // 4) for i in range(4)]
+
+
+def test_positions_of_nulls_and_mixed_types(spark, monkeypatch):
+    monkeypatch.setattr(frame, "PART_ROWS", 50)
+    rows = [(i, None if i % 7 == 0 else float("nan") if i % 11 == 0 else float(i % 13), None if i % 5 == 0 else f"s{i % 3}") for i in range(900)]
+    df = spark.createDataFrame(rows, "i long, x double, s string").withColumn("t", F.timestamp_seconds("i").cast("timestamp_ntz")).withColumn("d", F.col("i").cast("decimal(12,2)"))
+    for order in (["x", "s", "i"], ["s", "t"], ["d"], ["t"]):
+        got = [r["i"] for r in frame.with_position(df, order).orderBy("__pos").collect()]
+        assert got == [r["i"] for r in df.orderBy(*order).collect()]
+    assert frame.with_position(df.limit(0), ["x"]).count() == 0
+
+
+def test_quantiles_by_key(spark, monkeypatch):
+    monkeypatch.setattr(frame, "PART_ROWS", 40)
+    rng = np.random.default_rng(2)
+    rows = [(None if k == 2 else f"k{k}", float(v)) for k, n in enumerate((1, 2, 300, 77)) for v in rng.integers(0, 40, n)] + [("k0", None), ("k9", None), ("k3", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: (r["a"], r["b"], r["c"]) for r in describe.quantiles(df, "v", {"a": 0.0, "b": 0.37, "c": 0.9}, ["k"]).collect()}
+    for key in ("k0", "k1", None, "k3"):
+        v = [x for k, x in rows if k == key and x is not None and x == x]
+        assert np.allclose(got[key], np.quantile(v, [0.0, 0.37, 0.9]))
+    assert len(got) == 4
+    assert describe.modes(spark.createDataFrame([(3.0,), (1.0,), (3.0,), (1.0,), (2.0,), (None,)], "v double"), "v").first()["mode"] == 1.0
+    assert describe.quantiles(df.where("v is null"), "v", {"a": 0.5}).collect() == [] or describe.quantiles(df.where("v is null"), "v", {"a": 0.5}).first()["a"] is None
+
+
+def test_holt_keeps_level_and_trend_over_gaps():
+    nan = float("nan")
+    x = np.array([nan, 10.0, nan, 14.0, nan, 20.0])
+    # Starts at 10 with a trend of 2 a step; a gap changes neither.
+    assert np.allclose(series._holt(x, 0.5, 0.0), [10.0, 10.0, 12.0, 15.0, 15.0, 18.5 + 1.0])
+    got = series._holt_winters(np.array([1.0, 3.0, 1.0, nan, 2.0, 3.0]), 0.5, 0.1, 0.2, 2, False)
+    assert np.isfinite(got).all() and got[0] == got[1] == 2.0 and np.isnan(series._holt(x[:2], 0.5, 0.1)).all()
+
+
+def test_regression_with_large_means(spark):
+    rows = [(1.7e12 + i, 3.0 * i + (i % 5)) for i in range(500)]
+    got = {r["term"]: r["coefficient"] for r in inference.linear_regression(spark.createDataFrame(rows, "x double, y double"), "y", ["x"]).collect()}
+    slope = np.polyfit(np.arange(500), [y for _, y in rows], 1)[0]
+    assert abs(got["x"] - slope) < 1e-9
+
+
+def test_lda_predicts(spark):
+    rng = np.random.default_rng(5)
+    rows = [(c, float(x), float(y)) for c, (a, b) in {"p": (0, 0), "q": (8, 1), "r": (1, 9)}.items() for x, y in rng.normal((a, b), 1, (60, 2))]
+    df = spark.createDataFrame(rows, "c string, x double, y double")
+    got = inference.lda_predict(df, inference.lda(df, ["x", "y"], "c")).collect()
+    assert np.mean([r["c"] == r["predicted"] for r in got]) > 0.98
+    assert all(abs(sum(r["predicted_proba"].values()) - 1) < 1e-9 and max(r["predicted_proba"], key=r["predicted_proba"].get) == r["predicted"] for r in got)
+
+
+def test_repeated_labels_have_a_defined_value(spark):
+    a = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, value double")
+    b = spark.createDataFrame([(1, 5.0, 2), (1, 9.0, 1), (3, 7.0, 1)], "k int, value double, t int")
+    assert rows(frame.align(a, b, "k")) == [(1, 1.0, 9.0), (2, 2.0, None), (3, None, 7.0)]
+    assert rows(frame.align(a, b, "k", order=["t"])) == [(1, 1.0, 5.0), (2, 2.0, None), (3, None, 7.0)]
+
+
+def test_arg_extremes_skip_missing(spark):
+    df = spark.createDataFrame([(1, float("nan")), (2, 3.0), (3, 1.0), (4, 3.0), (5, None), (6, 1.0)], "i int, v double")
+    assert tuple(describe.arg_extremes(df, "v", "i").first()) == (3, 2)
+
+
+def test_bootstrap_of_equal_rows_needs_a_key(spark):
+    df = spark.range(400).select("id", (F.col("id") % 2).cast("double").alias("v"))
+    spread = lambda key: inference.bootstrap_means(df.select("v") if key is None else df, "v", 50, key=key).agg(F.stddev("mean")).first()[0]
+    assert 0.015 < spread(["id"]) < 0.04 < spread(None)
