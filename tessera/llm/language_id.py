@@ -27,6 +27,8 @@ from tessera.llm.store import held_out, small_enough
 TEXTS_PER_LANGUAGE = 400
 #: And so many bytes of them (one text at least); texts above LONG_TEXT bytes only if there are not enough others.
 BYTES_PER_LANGUAGE, LONG_TEXT = 8 << 20, 1 << 16
+#: So many times the rows wanted pass a first threshold on their hash; that too few do has a probability below 1e-100.
+SPARE = 4
 #: Training rows, one language and id each, of up to so many are broadcast.
 BROADCAST_ROWS = 100_000
 _PIECE = 1 << 20
@@ -196,8 +198,13 @@ def training_sample(docs: DataFrame, per_language: int) -> dict[str, list[bytes]
     """Whole texts of the rows of least hash of each language, held-out rows left aside."""
     size = F.octet_length(F.col("text").cast("string"))
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", size.alias("n"), F.xxhash64(F.lit("lid"), "doc_id").alias("h"))
-    order = Window.partitionBy("lang").orderBy(F.col("n") > LONG_TEXT, "h", "doc_id", "n")
-    picked = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)  # each task keeps so many rows of a language at most
+    # Hashes that cannot be among the least ones go before the window, which then sees about SPARE x per_language rows of a language, however many there are.
+    long = F.col("n") > LONG_TEXT
+    sizes = rows.groupBy("lang").agg(F.sum((~long).cast("long")).alias("short_texts"), F.sum(long.cast("long")).alias("long_texts"))
+    share = lambda c: (F.col("h") / 2.0**64 + 0.5) * F.col(c) <= SPARE * per_language
+    rows = rows.join(sizes, "lang").where((~long & share("short_texts")) | (long & (F.col("short_texts") < per_language) & share("long_texts")))
+    order = Window.partitionBy("lang").orderBy(long, "h", "doc_id", "n")
+    picked = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
     picked = picked.withColumn("b", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("b") <= BYTES_PER_LANGUAGE) | (F.col("r") == 1))
     ids = picked.select("doc_id", "lang", "n").distinct()
     ids = F.broadcast(ids) if small_enough(ids, BROADCAST_ROWS) else ids
