@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.store import written
+
 # Fixed patterns of the base kinds.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -78,8 +80,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def common_words(docs: DataFrame, size: int = WORDS) -> list[str]:
     """The ``size`` most frequent words of all texts, most frequent first, ties by the word."""
     counted = docs.where("text is not null").select(F.col("text").cast("string")).mapInArrow(_count, "word string, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [r["word"] for r in top.collect()]  # ``size`` words at most
+    counted = written(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # Bins of counts, a thousand at most, tell from which count on there are enough words; only these are sorted.
+    bin_ = F.floor(16 * F.log2("n")).cast("int")
+    bins, enough, least = counted.groupBy(bin_.alias("bin")).agg(F.count("*").alias("c")).collect(), 0, 0
+    for r in sorted(bins, reverse=True):
+        enough, least = enough + r["c"], r["bin"]
+        if enough >= size:
+            break
+    top = written(counted.where(bin_ >= least).orderBy(F.desc("n"), "word").limit(size), "top")
+    return [r["word"] for r in top.orderBy(F.desc("n"), "word").collect()]  # ``size`` words at most
 
 
 def guess_cost(value: str, ranks: dict[str, int] = _SMALL) -> float:
