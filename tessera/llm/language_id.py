@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.store import held_out, small_enough
+from tessera.llm.store import held_out, small_enough, written
 
 #: At most so many texts of each language are learnt from, those of least hash.
 TEXTS_PER_LANGUAGE = 400
@@ -29,7 +29,7 @@ TEXTS_PER_LANGUAGE = 400
 BYTES_PER_LANGUAGE, LONG_TEXT = 8 << 20, 1 << 16
 #: So many times the rows wanted pass a first threshold on their hash; that too few do has a probability below 1e-100.
 SPARE = 4
-#: Training rows, one language and id each, of up to so many are broadcast.
+#: Tables of languages and of training rows (one language and id each) of up to so many rows are broadcast.
 BROADCAST_ROWS = 100_000
 _PIECE = 1 << 20
 _PAD = b"   "
@@ -201,6 +201,8 @@ def training_sample(docs: DataFrame, per_language: int) -> dict[str, list[bytes]
     # Hashes that cannot be among the least ones go before the window, which then sees about SPARE x per_language rows of a language, however many there are.
     long = F.col("n") > LONG_TEXT
     sizes = rows.groupBy("lang").agg(F.sum((~long).cast("long")).alias("short_texts"), F.sum(long.cast("long")).alias("long_texts"))
+    sizes = written(sizes, "sizes")
+    sizes = F.broadcast(sizes) if small_enough(sizes, BROADCAST_ROWS) else sizes  # before the rows are dealt by language
     share = lambda c: (F.col("h") / 2.0**64 + 0.5) * F.col(c) <= SPARE * per_language
     rows = rows.join(sizes, "lang").where((~long & share("short_texts")) | (long & (F.col("short_texts") < per_language) & share("long_texts")))
     order = Window.partitionBy("lang").orderBy(long, "h", "doc_id", "n")
