@@ -89,3 +89,26 @@ def _column(f):
 t_p_value = _column(lambda t, df, _: t_two_sided(t, df))
 f_p_value = _column(f_upper)
 chi2_p_value = _column(lambda x, df, _: chi2_upper(x, df))
+
+
+# Coefficients of Acklam's rational approximation of the normal quantile.
+_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+_LOW = 0.02425
+
+
+def _poly(coefficients: tuple[float, ...], x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    """Inverse of the standard normal distribution to about 1e-9, as one column expression; null outside (0, 1)."""
+    tail = lambda q: _poly(_C, q) / _poly(_D, q)
+    middle = (p - 0.5) * _poly(_A, (p - 0.5) * (p - 0.5)) / _poly(_B, (p - 0.5) * (p - 0.5))
+    inside = F.when(p < _LOW, tail(F.sqrt(-2 * F.log(p)))).when(p > 1 - _LOW, -tail(F.sqrt(-2 * F.log(1 - p)))).otherwise(middle)
+    return F.when((p > 0) & (p < 1), inside)

@@ -60,6 +60,33 @@ def gelman_rubin(samples: DataFrame) -> DataFrame:
     return per.groupBy("dim").agg(F.sqrt(((n - 1) / n * w + F.var_samp("m")) / F.nullif(w, F.lit(0.0))).alias("r_hat"), F.avg("m").alias("mean"), F.avg("a").alias("acceptance"))
 
 
+def thinned(samples: DataFrame, every: int) -> DataFrame:
+    """Each ``every``-th sample of each chain."""
+    return samples.where(F.col("sample") % every == 0)
+
+
+def effective_sizes(samples: DataFrame) -> DataFrame:
+    """(chain, dim, n, autocorrelation_time, effective_size) of metropolis chains, one task each chain and dimension.
+
+    The time is the sum of the autocorrelations up to a quarter of the length or
+    the first that is not positive; the size is n / (1 + 2 time), at least 1.
+    """
+    long = samples.select("chain", "sample", F.posexplode("x").alias("dim", "v"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf.sort_values("sample")["v"].to_numpy()
+        n, d = len(v), v - v.mean()
+        base, time = float(d @ d), 0.0
+        for lag in range(1, n // 4):
+            r = float(d[:-lag] @ d[lag:]) / base if base > 0 else 0.0
+            if r <= 0:
+                break
+            time += r
+        return pd.DataFrame({"chain": [pdf["chain"].iloc[0]], "dim": [pdf["dim"].iloc[0]], "n": [n], "autocorrelation_time": [time], "effective_size": [max(1.0, n / (1 + 2 * time))]})
+
+    return long.groupBy("chain", "dim").applyInPandas(run, "chain int, dim int, n long, autocorrelation_time double, effective_size double")
+
+
 def polynomial_fit(df: DataFrame, x: str, y: str, degree: int) -> DataFrame:
     """(power, coefficient) by least squares."""
     powers = df.select(F.col(y).cast("double").alias("__y"), *[F.pow(F.col(x).cast("double"), F.lit(float(d))).alias(f"p{d}") for d in range(1, degree + 1)])

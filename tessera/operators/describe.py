@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.math import valid
-from tessera.operators.frame import running_before
+from tessera.functions.math import missing, valid
+from tessera.operators.frame import _cuts, _part, running_before
 from tessera.sources.scratch import written
 
 
@@ -75,7 +77,9 @@ def covariance(x: Column, y: Column) -> Column:
 
 
 def correlation(x: Column, y: Column) -> Column:
-    return F.corr(F.when(valid(y).isNotNull(), valid(x)), F.when(valid(x).isNotNull(), valid(y)))
+    """Null where a column is constant (F.corr divides by zero there)."""
+    a, b = F.when(valid(y).isNotNull(), valid(x)).cast("double"), F.when(valid(x).isNotNull(), valid(y)).cast("double")
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
 
 
 AGGREGATES = {f.__name__.rstrip("_"): f for f in (mean, var, std, var_pop, std_pop, range_, skewness, kurtosis, excess_kurtosis, root_mean_square, geometric_mean, harmonic_mean, exact_sum)}
@@ -166,7 +170,7 @@ def ranked(df: DataFrame, column: str, name: str, method: str = "average") -> Da
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation, ties averaged."""
     both = df.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
-    return ranked(ranked(both, "x", "rx"), "y", "ry").agg(F.corr("rx", "ry").alias("value"))
+    return ranked(ranked(both, "x", "rx"), "y", "ry").agg(correlation(F.col("rx"), F.col("ry")).alias("value"))
 
 
 def histogram(df: DataFrame, column: str, bins: int, pad: float = 0.001) -> DataFrame:
@@ -196,10 +200,70 @@ def histogram2d(df: DataFrame, x: str, y: str, x_edges: list[float], y_edges: li
     return cells.groupBy("by", "bx").agg(F.count("*").alias("count"))
 
 
-def kendall_tau(df: DataFrame, x: str, y: str, order: str, blocks: int = 64) -> DataFrame:
-    """tau-a over all pairs of rows, in blocks of the first row against all others."""
-    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(order).alias("o"))
-    a = rows.toDF("x1", "y1", "o1").repartition(blocks)
-    pairs = a.join(rows, F.col("o1") < F.col("o"))
-    s = F.signum(F.col("x") - F.col("x1")) * F.signum(F.col("y") - F.col("y1"))
-    return pairs.agg((F.sum(s) / F.count("*")).alias("value"))
+def concordance(x: np.ndarray, y: np.ndarray) -> int:
+    """Concordant less discordant pairs of two arrays, ties of either counting 0: halves are merged level by level, n log^2 n."""
+    order = np.lexsort((y, x))
+    x, y = x[order], np.unique(y[order], return_inverse=True)[1]
+    n, width, total = len(x), 1, 0
+    at = np.arange(n)
+    while width < n:
+        block, right = at // (2 * width), (at // width) % 2
+        by = np.lexsort((y, block))
+        b, r, v = block[by], right[by], y[by]
+        lefts = np.concatenate([[0], np.cumsum(1 - r)])
+        first = np.searchsorted(b, b)  # where the block begins
+        last = np.searchsorted(b, b, side="right")
+        run = b * (n + 1) + v
+        low, high = np.searchsorted(run, run), np.searchsorted(run, run, side="right")
+        below, above = lefts[low] - lefts[first], lefts[last] - lefts[high]
+        total += int((r * (below - above)).sum())
+        width *= 2
+    pairs = lambda c: int((c * (c - 1) // 2).sum())
+    same_x, at_x = np.unique(x, return_inverse=True)
+    counts_x = np.bincount(at_x, minlength=len(same_x))
+    counts_xy = np.unique(at_x * (n + 1) + y, return_counts=True)[1]
+    return total - (pairs(counts_x) - pairs(counts_xy))  # equal x, different y were sorted by y and counted as concordant
+
+
+def kendall_tau(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row (value): tau-a over all pairs of rows with both values; null for fewer than two.
+
+    Rows are cut into strips by x and by y, at most MOST_PARTS of each, with each
+    bound a strip of its own. Pairs in different strips of both are settled by
+    the counts of the cells; pairs in one strip of x, and then those in one strip
+    of y only, are counted strip by strip. A strip of one x value has no such
+    pairs, so a frequent value costs nothing.
+    """
+    rows = written(df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(~missing(F.col("x")) & ~missing(F.col("y"))), "pairs")
+    dealt = rows.select("x", "y", _strip(rows, "x").alias("a"), _strip(rows, "y").alias("b"))
+    cells = dealt.groupBy("a", "b").agg(F.count("*").alias("n")).collect()  # bounded by the number of strips
+    n = sum(r["n"] for r in cells)
+    if n < 2:
+        return df.sparkSession.createDataFrame([(None,)], "value double")
+    grid = np.zeros((max(r["a"] for r in cells) + 2, max(r["b"] for r in cells) + 2), dtype=object)
+    for r in cells:
+        grid[r["a"] + 1, r["b"] + 1] = r["n"]
+    upto = grid.cumsum(axis=0).cumsum(axis=1)  # Python integers: products of counts do not overflow
+    total = 0
+    for r in cells:
+        a, b = r["a"] + 1, r["b"] + 1
+        total += r["n"] * (upto[a - 1, b - 1] - (upto[a - 1, -1] - upto[a - 1, b]))
+
+    def inside(first: str, second: str):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"s": [str(concordance(pdf[first].to_numpy(), pdf[second].to_numpy()))]})
+
+        return run
+
+    mixed = lambda strip, c: dealt.join(dealt.groupBy(strip).agg((F.min(c) < F.max(c)).alias("__m")).where("__m").select(F.col(strip).alias("__s")), F.col(strip) == F.col("__s"), "left_semi")
+    for strip, varies, first, second in (("a", "x", "x", "y"), ("b", "y", "a", "y")):
+        total += sum(int(r["s"]) for r in mixed(strip, varies).groupBy(strip).applyInPandas(inside(first, second), "s string").collect())
+    return df.sparkSession.createDataFrame([(float(total / (n * (n - 1) / 2)),)], "value double")
+
+
+def _strip(df: DataFrame, column: str) -> Column:
+    """The strip of a value: 2i between bounds, 2i + 1 on bound i."""
+    cuts = [c[0] for c in _cuts(df, [column])]
+    part = _part(df, [column], [(c,) for c in cuts])
+    on = F.col(column).isin(cuts) if cuts else F.lit(False)
+    return 2 * part - F.when(on, 1).otherwise(0)

@@ -7,15 +7,21 @@ size depends on the number of features, never on the number of rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.distributions import normal_quantile
 from tessera.functions.math import missing, valid
-from tessera.operators.describe import median_absolute_deviation, modes, quantiles, ranked
+from tessera.operators.describe import correlation, median_absolute_deviation, modes, quantiles, ranked
 from tessera.operators.frame import running_before
 from tessera.sources.scratch import written
 
+#: Strata whose starts are broadcast, and folds that are fitted one after another, at most.
+STRATA_BROADCAST, MOST_FOLDS = 100_000, 100
+
 
 def one_sample_t(df: DataFrame, column: str, mean: float) -> DataFrame:
     v = valid(F.col(column))
@@ -83,6 +89,54 @@ def friedman(df: DataFrame, block: str, treatment: str, value: str) -> DataFrame
     return t.agg((12 / (n * k * (k + 1)) * F.sum(F.col("s") ** 2) - 3 * n * (k + 1)).alias("chi2"), (k - 1).cast("double").alias("df"))
 
 
+def repeated_measures_anova(df: DataFrame, subject: str, time: str, value: str) -> DataFrame:
+    """One row (f, df1, df2, ss_time, ss_subjects, ss_error): long form with one value of each subject at each time.
+
+    Rows with a missing key or value do not count; a subject without all times makes the design unbalanced and is left to the caller to remove.
+    """
+    rows = df.where(F.col(subject).isNotNull() & F.col(time).isNotNull() & ~missing(F.col(value))).select(F.col(subject).alias("s"), F.col(time).alias("t"), F.col(value).cast("double").alias("v"))
+    whole = rows.agg(F.avg("v").alias("m"), (F.var_pop("v") * F.count("v")).alias("total"))
+    spread = lambda key: rows.groupBy(key).agg(F.count("*").alias("n"), F.avg("v").alias("a")).agg((F.var_pop("a") * F.sum("n")).alias(f"ss_{key}"), F.count("*").alias(f"k_{key}"))
+    r = whole.crossJoin(spread("s")).crossJoin(spread("t"))  # one row each
+    d1, d2 = F.col("k_t") - 1, (F.col("k_s") - 1) * (F.col("k_t") - 1)
+    error = F.col("total") - F.col("ss_s") - F.col("ss_t")
+    return r.select(((F.col("ss_t") / d1) / F.nullif(error / d2, F.lit(0.0))).alias("f"), d1.cast("double").alias("df1"), d2.cast("double").alias("df2"), F.col("ss_t").alias("ss_time"), F.col("ss_s").alias("ss_subjects"), error.alias("ss_error"))
+
+
+def manova(df: DataFrame, columns: list[str], group: str) -> DataFrame:
+    """One row (wilks, pillai, f, df1, df2): several columns against one grouping, with Rao's F for Wilks' lambda.
+
+    One grouped aggregation; sums of products are added up by Spark, so the number of groups does not matter.
+    """
+    df, p = _complete(df, columns).where(F.col(group).isNotNull()), len(columns)
+    t, means = _moments(df, columns)
+    x = [F.col(c).cast("double") - float(m) for c, m in zip(columns, means, strict=True)]
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    per = df.groupBy(group).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"a{i}") for i, c in enumerate(x)])
+    row = per.agg(F.count("*").alias("k"), *[F.sum(F.col("n") * F.col(f"a{i}") * F.col(f"a{j}")).alias(f"h{i}_{j}") for i, j in pairs]).first()
+    h = np.zeros((p, p))
+    for i, j in pairs:
+        h[i, j] = h[j, i] = row[f"h{i}_{j}"] or 0.0
+    n, total = t[0, 0], t[1:, 1:] - np.outer(t[0, 1:], t[0, 1:]) / max(t[0, 0], 1.0)
+    wilks = float(np.linalg.det(total - h) / np.linalg.det(total))
+    q = row["k"] - 1
+    power = np.sqrt((p * p * q * q - 4) / (p * p + q * q - 5)) if p * p + q * q > 5 else 1.0
+    d1, d2 = p * q, power * (n - 1 - (p + q + 1) / 2) - (p * q - 2) / 2
+    root = wilks ** (1 / power)
+    return df.sparkSession.createDataFrame([(wilks, float(np.trace(h @ np.linalg.pinv(total))), float((1 - root) / root * d2 / d1), float(d1), float(d2))], "wilks double, pillai double, f double, df1 double, df2 double")
+
+
+def shapiro_wilk(df: DataFrame, column: str) -> DataFrame:
+    """One row (w, n): squared correlation of the sorted values with normal scores at (i - 3/8) / (n + 1/4); near 1 for normal data, null for constant or empty columns.
+
+    Order statistics come from positions over fixed bounds, so any number of rows will do.
+    """
+    rows = df.select(F.col(column).cast("double").alias("v")).where(~missing(F.col("v")))
+    n = rows.count()
+    scored = running_before(rows, ["v"], {"i": F.lit(1).cast("long")}).withColumn("z", normal_quantile((F.col("i") + 0.625) / (n + 0.25)))
+    return scored.agg(F.pow(correlation(F.col("v"), F.col("z")), F.lit(2.0)).alias("w"), F.count("*").alias("n"))
+
+
 # Regression.
 
 
@@ -419,8 +473,43 @@ def time_series_split(df: DataFrame, splits: int, order: list[str]) -> DataFrame
 
 
 def kfold(df: DataFrame, k: int, key: str, seed: int = 0, stratify: str | None = None) -> DataFrame:
-    """Adds ``fold`` 0..k-1: by hash, or by rank of the hash within each stratum."""
-    h = F.xxhash64(F.lit(seed), F.col(key))
+    """Adds ``fold`` 0..k-1: by hash of ``key``, or by position in the order of the hash within each stratum.
+
+    A position in a stratum is the position in the whole table less the rows of the strata before, so a hot stratum is split as any other rows.
+    """
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
     if stratify is None:
-        return df.withColumn("fold", F.pmod(h, F.lit(k)).cast("int"))
-    return df.withColumn("fold", ((F.row_number().over(Window.partitionBy(stratify).orderBy(h, key)) - 1) % k).cast("int"))
+        return df.withColumn("fold", (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % k).cast("int"))
+    counts = written(df.groupBy(F.col(stratify).alias("__s")).agg(F.count("*").alias("__n")), "strata")
+    starts = running_before(counts, ["__s"], {"__start": F.col("__n")}).select("__s", "__start")
+    if counts.limit(STRATA_BROADCAST + 1).count() <= STRATA_BROADCAST:
+        starts = F.broadcast(starts)
+    placed = running_before(df.withColumn("__h", h), [stratify, "__h", key], {"__pos": F.lit(1).cast("long")})
+    both = placed.join(starts, F.col(stratify).eqNullSafe(F.col("__s")))
+    return both.withColumn("fold", ((F.col("__pos") - F.col("__start")) % k).cast("int")).select(*df.columns, "fold")
+
+
+def cross_validate(folded: DataFrame, fit: Callable[[DataFrame], object], score: Callable[[DataFrame, object], float], fold: str = "fold") -> DataFrame:
+    """(fold, score): ``fit`` on all rows outside a fold, ``score`` of that model on its rows; one pass of each per fold. ``folded`` comes from ``kfold``."""
+    folds = sorted(r[0] for r in folded.select(fold).distinct().limit(MOST_FOLDS + 1).collect())
+    if len(folds) > MOST_FOLDS:
+        raise ValueError(f"more than {MOST_FOLDS} folds")
+    scores = [(int(i), float(score(folded.where(F.col(fold) == i), fit(folded.where(F.col(fold) != i))))) for i in folds]
+    return folded.sparkSession.createDataFrame(scores, "fold int, score double")
+
+
+def permutation_test(df: DataFrame, column: str, first: Column, resamples: int = 200, seed: int = 1, key: list[str] | None = None) -> DataFrame:
+    """One row (observed, p_value): mean of the rows where ``first`` holds less that of the others, against rows dealt anew by hash.
+
+    Rows fall into the first group with its share as probability, so sizes vary a
+    little between resamples; no resample is sorted or copied as a whole. The
+    p-value is the share of differences at least as large. Rows with a missing
+    value or a null ``first`` do not count; equal keys are dealt alike.
+    """
+    rows = df.select(F.xxhash64(*(key or df.columns)).alias("__id"), F.col(column).cast("double").alias("v"), first.alias("g")).where(~missing(F.col("v")) & F.col("g").isNotNull())
+    seen = rows.agg(F.avg(F.col("g").cast("double")).alias("share"), (F.avg(F.when(F.col("g"), F.col("v"))) - F.avg(F.when(~F.col("g"), F.col("v")))).alias("d")).first()
+    u = lambda i: (F.pmod(F.xxhash64(F.lit(seed), i, F.col("__id")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    dealt = rows.select("v", F.explode(F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda i: F.struct(i.alias("resample"), (u(i) < float(seen["share"] or 0.0)).alias("g")))).alias("x"))
+    again = dealt.groupBy("x.resample").agg((F.avg(F.when(F.col("x.g"), F.col("v"))) - F.avg(F.when(~F.col("x.g"), F.col("v")))).alias("d"))
+    observed = F.lit(seen["d"]).cast("double")
+    return again.agg(observed.alias("observed"), F.avg((F.col("d") >= observed).cast("double")).alias("p_value"))

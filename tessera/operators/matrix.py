@@ -167,6 +167,73 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bicgstab(a: DataFrame, b: DataFrame, tolerance: float = 1e-8, most: int = 200) -> DataFrame:
+    """Solves a x = b for any regular matrix by stabilised biconjugate gradients, to |b - a x| <= tolerance |b|.
+
+    Raises ArithmeticError on breakdown or if ``most`` steps do not reach that. Vectors as in ``conjugate_gradient``.
+    """
+    a = _kept(a)
+    times, inner, axpy, _, b, table = _on_driver(a, b) or _as_tables(a, b)
+    goal = tolerance**2 * max(inner(b, b), 1e-300)
+    r = shadow = p = b
+    x, rho = axpy(b, b, -1.0), inner(b, b)
+    for _ in range(most):
+        if inner(r, r) <= goal:
+            r = axpy(b, times(x), -1.0)
+            if inner(r, r) <= goal:
+                return table(x)
+            shadow, p, rho = r, r, inner(r, r)  # the recurrence drifted; go on from the residual itself
+        v = times(p)
+        down = inner(shadow, v)
+        if down == 0 or rho == 0:
+            raise ArithmeticError("biconjugate gradients broke down")
+        alpha = rho / down
+        half = axpy(r, v, -alpha)
+        t = times(half)
+        size = inner(t, t)
+        omega = inner(t, half) / size if size > 0 else 0.0
+        x = axpy(axpy(x, p, alpha), half, omega)
+        r = axpy(half, t, -omega)
+        new = inner(shadow, r)
+        p = axpy(r, axpy(p, v, -omega), new / rho * alpha / omega) if omega else r
+        rho = new if omega else inner(shadow, r)
+    r = axpy(b, times(x), -1.0)
+    if inner(r, r) <= goal:
+        return table(x)
+    raise ArithmeticError(f"relative residual {(inner(r, r) / max(inner(b, b), 1e-300)) ** 0.5:.3g} after {most} steps, not {tolerance:.3g}")
+
+
+def gmres(a: DataFrame, b: DataFrame, tolerance: float = 1e-8, restart: int = 30, most: int = 10) -> DataFrame:
+    """Solves a x = b for any regular matrix by restarted minimal residuals, to |b - a x| <= tolerance |b|.
+
+    Each of ``most`` restarts keeps ``restart`` basis vectors; the small least squares problem is numpy's.
+    Raises ArithmeticError with the residual if that is not enough. Vectors as in ``conjugate_gradient``.
+    """
+    a = _kept(a)
+    times, inner, axpy, _, b, table = _on_driver(a, b) or _as_tables(a, b)
+    size, x = inner(b, b) ** 0.5, axpy(b, b, -1.0)
+    for _ in range(most + 1):
+        r = axpy(b, times(x), -1.0)
+        left = inner(r, r) ** 0.5
+        if left <= tolerance * max(size, 1e-150):
+            return table(x)
+        basis, h = [axpy(axpy(r, r, -1.0), r, 1 / left)], np.zeros((restart + 1, restart))
+        for k in range(restart):
+            w = times(basis[k])
+            for i, q in enumerate(basis):
+                h[i, k] = inner(q, w)
+                w = axpy(w, q, -h[i, k])
+            h[k + 1, k] = inner(w, w) ** 0.5
+            y = np.linalg.lstsq(h[: k + 2, : k + 1], np.eye(k + 2)[0] * left, rcond=None)[0]
+            short = np.linalg.norm(h[: k + 2, : k + 1] @ y - np.eye(k + 2)[0] * left)
+            if short <= 0.5 * tolerance * size or h[k + 1, k] <= 1e-14 * left:
+                break
+            basis.append(axpy(axpy(w, w, -1.0), w, 1 / h[k + 1, k]))
+        for q, weight in zip(basis, y, strict=False):
+            x = axpy(x, q, float(weight))
+    raise ArithmeticError(f"relative residual {left / max(size, 1e-150):.3g} after {most} restarts, not {tolerance:.3g}")
+
+
 def power_iteration(a: DataFrame, n: int, steps: int = 30) -> tuple[float, DataFrame]:
     """The eigenvalue of largest magnitude and its vector."""
     x = a.sparkSession.range(n).select(F.col("id").alias("i"), F.lit(1.0 / n**0.5).alias("v"))
@@ -225,12 +292,22 @@ def factorise(a: DataFrame, n: int, kind: str) -> dict[str, DataFrame]:
     return {"p": back(np.eye(n)[p]), "l": back(low), "u": back(up)}
 
 
+def invariants(a: DataFrame, n: int) -> DataFrame:
+    """One row (determinant, log_abs_determinant, rank, condition) of a small square matrix; condition is infinite for a singular one."""
+    m = small(a, n, n)
+    size = np.linalg.svd(m, compute_uv=False)
+    rank = int((size > (size[0] if n else 0.0) * n * np.finfo(float).eps).sum())
+    condition = float(size[0] / size[-1]) if n and size[-1] > 0 else float("inf")
+    row = (float(np.linalg.det(m)), float(np.linalg.slogdet(m)[1]), rank, condition)
+    return a.sparkSession.createDataFrame([row], "determinant double, log_abs_determinant double, rank int, condition double")
+
+
 def solve(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
     """Small dense systems, least squares if singular."""
-    rhs = np.zeros(n)
-    for i, v in b.collect():
+    m, rhs = small(a, n, n), np.zeros(n)  # small() checks the size
+    for i, v in b.where((F.col("i") >= 0) & (F.col("i") < n)).groupBy("i").agg(F.sum("v")).collect():
         rhs[i] = v
-    x = np.linalg.lstsq(small(a, n, n), rhs, rcond=None)[0]
+    x = np.linalg.lstsq(m, rhs, rcond=None)[0]
     return a.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, v double")
 
 
@@ -251,6 +328,21 @@ def fft(df: DataFrame, order: str, value: str, keys: list[str], inverse: bool =
     return rows.groupBy(*keys).applyInPandas(run, schema)
 
 
+def rfft(df: DataFrame, order: str, value: str, keys: list[str]) -> DataFrame:
+    """(keys, k, re, im) for k up to half the length: what determines the transform of a real series."""
+    n = df.groupBy(*[F.col(c).alias(f"__{c}") for c in keys]).agg(F.count("*").alias("__n"))
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
+    whole = fft(df, order, value, keys)
+    joined = whole.join(n, on) if keys else whole.crossJoin(F.broadcast(n))  # one row
+    return joined.where(2 * F.col("k") <= F.col("__n")).select(*keys, "k", "re", "im")
+
+
+def fft2(a: DataFrame, inverse: bool = False) -> DataFrame:
+    """(i, j, re, im) of a full matrix (i, j, v): transforms of the rows, then of the columns; a task holds one row or column."""
+    rows = fft(a, "j", "v", ["i"], inverse).select("i", F.col("k").alias("j"), F.struct("re", "im").alias("v"))
+    return fft(rows, "i", "v", ["j"], inverse).select(F.col("k").alias("i"), "j", "re", "im")
+
+
 def monte_carlo(spark: SparkSession, f, bounds: list[tuple[float, float]], samples: int, seed: int = 0) -> DataFrame:
     """(value, std_error): the integral of a column function of the coordinates over a box."""
     volume = 1.0

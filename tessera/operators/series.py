@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -261,42 +262,72 @@ def infer_frequency(df: DataFrame, ts: str, keys: list[str]) -> DataFrame:
     return first.select(*keys, F.when(g == 1, "H").when(g == 24, "D").when(g == 168, "W").when(g.between(672, 744), "M").when(g.between(8760, 8784), "Y").otherwise("IRREGULAR").alias("frequency"))
 
 
-def arima_forecast(df: DataFrame, column: str, p: int, d: int, q: int, horizon: int, order: list[str], keys: list[str]) -> DataFrame:
-    """(keys, step, forecast, low, high): differenced d times, AR coefficients by Yule-Walker, MA terms on past residuals, 95% bounds."""
+def _arima(x: np.ndarray, p: int, d: int, q: int) -> dict:
+    """Of one series: differenced d times, AR coefficients by Yule-Walker, MA terms on past residuals."""
+    lasts, y = [], x
+    for _ in range(d):
+        lasts.append(y[-1] if len(y) else 0.0)
+        y = np.diff(y)
+    mean = y.mean() if len(y) else 0.0
+    z = y - mean
+    c = np.array([(z[: len(z) - k] * z[k:]).sum() for k in range(p + 1)]) if len(z) > p else np.zeros(p + 1)
+    phi = np.linalg.lstsq(np.array([[c[abs(i - j)] for j in range(p)] for i in range(p)]), c[1:], rcond=None)[0] if p and c[0] > 0 else np.zeros(p)
+    theta = np.array([0.3 * 0.7**i for i in range(q)])
+    e = np.zeros(len(z))
+    for t in range(len(z)):
+        ar = sum(phi[i] * z[t - 1 - i] for i in range(min(p, t)))
+        e[t] = z[t] - ar - sum(theta[i] * e[t - 1 - i] for i in range(min(q, t)))
+    return {"lasts": lasts, "mean": mean, "z": z, "phi": phi, "theta": theta, "e": e}
+
+
+def arima_forecast(df: DataFrame, column: str, p: int, d: int, q: int, horizon: int, order: list[str], keys: list[str], confidence: float = 0.95) -> DataFrame:
+    """(keys, step, forecast, low, high): point forecasts with bounds of the given confidence, which widen with the root of the step."""
     schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + ["step int, forecast double, low double, high double"])
+    width = 1.96 if confidence == 0.95 else NormalDist().inv_cdf(0.5 + confidence / 2)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order, kind="stable")[column].dropna().to_numpy(dtype=float)
-        lasts = []
-        y = x
-        for _ in range(d):
-            lasts.append(y[-1] if len(y) else 0.0)
-            y = np.diff(y)
-        mean = y.mean() if len(y) else 0.0
-        z = y - mean
-        c = np.array([(z[: len(z) - k] * z[k:]).sum() for k in range(p + 1)]) if len(z) > p else np.zeros(p + 1)
-        phi = np.linalg.lstsq(np.array([[c[abs(i - j)] for j in range(p)] for i in range(p)]), c[1:], rcond=None)[0] if p and c[0] > 0 else np.zeros(p)
-        theta = np.array([0.3 * 0.7**i for i in range(q)])
-        e = np.zeros(len(z))
-        for t in range(len(z)):
-            ar = sum(phi[i] * z[t - 1 - i] for i in range(min(p, t)))
-            e[t] = z[t] - ar - sum(theta[i] * e[t - 1 - i] for i in range(min(q, t)))
+        m = _arima(pdf.sort_values(order, kind="stable")[column].dropna().to_numpy(dtype=float), p, d, q)
+        phi, theta, e = m["phi"], m["theta"], m["e"]
         s = e.std() if len(e) else 0.0
-        zs, es, out = list(z), list(e), []
-        for h in range(horizon):
+        zs, es, out = list(m["z"]), list(e), []
+        for _ in range(horizon):
             v = sum(phi[i] * zs[-1 - i] for i in range(min(p, len(zs)))) + sum(theta[i] * es[-1 - i] for i in range(min(q, len(es))))
             zs.append(v)
             es.append(0.0)
-            out.append(v + mean)
+            out.append(v + m["mean"])
         f = np.array(out)
-        for last in reversed(lasts):
+        for last in reversed(m["lasts"]):
             f = last + np.cumsum(f)
-        half = 1.96 * s * np.sqrt(np.arange(1, horizon + 1))
+        half = width * s * np.sqrt(np.arange(1, horizon + 1))
         return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "step": np.arange(1, horizon + 1), "forecast": f, "low": f - half, "high": f + half})[[*keys, "step", "forecast", "low", "high"]]
 
     return df.select(*keys, *order, column).groupBy(*keys).applyInPandas(run, schema)
 
 
+def arima_diagnostics(df: DataFrame, column: str, p: int, d: int, q: int, order: list[str], keys: list[str], lags: int = 5) -> DataFrame:
+    """(keys, n, sigma2, log_likelihood, aic, bic, ljung_box, jarque_bera) of the residuals; null where they are constant or absent.
+
+    The likelihood is the normal one of the residuals around 0; p + q + 1 parameters are counted.
+    """
+    names = ["n", "sigma2", "log_likelihood", "aic", "bic", "ljung_box", "jarque_bera"]
+    schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + ["n long"] + [f"{c} double" for c in names[1:]])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        e = _arima(pdf.sort_values(order, kind="stable")[column].dropna().to_numpy(dtype=float), p, d, q)["e"]
+        n, out = len(e), dict.fromkeys(names)
+        out["n"], c = n, e - e.mean() if n else e
+        s2, v = float((e**2).mean()) if n else 0.0, float((c**2).mean()) if n else 0.0
+        if s2 > 0 and v > 0:
+            like = -0.5 * n * (math.log(2 * math.pi * s2) + 1)
+            r = [float((c[: n - k] * c[k:]).sum() / (n * v)) for k in range(1, min(lags, n - 1) + 1)]
+            skew, kurtosis = float((c**3).mean() / v**1.5), float((c**4).mean() / v**2)
+            out |= {"sigma2": s2, "log_likelihood": like, "aic": 2 * (p + q + 1) - 2 * like, "bic": (p + q + 1) * math.log(n) - 2 * like}
+            out |= {"ljung_box": n * (n + 2) * sum(x * x / (n - k) for k, x in enumerate(r, 1)), "jarque_bera": n / 6 * (skew**2 + (kurtosis - 3) ** 2 / 4)}
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, **{c: [out[c]] for c in names}})[[*keys, *names]]
+
+    return df.select(*keys, *order, column).groupBy(*keys).applyInPandas(run, schema)
+
+
 def date_range(spark, start: str, end: str, every: str = "1 day") -> DataFrame:
     """(ts) from start to end, both included."""
     return spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"), F.expr(f"INTERVAL {every}"))).alias("ts"))

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import distributions as P
 from tessera.functions import math as M
 from tessera.functions import strings as S
 from tessera.functions import vectors as V
@@ -17,8 +18,13 @@ from tessera.operators import describe as D
 from tessera.operators import frame as FR
 from tessera.operators import inference as I
 from tessera.operators import matrix as X
+from tessera.operators import ndarray as N
 from tessera.operators import series as TS
+from tessera.sources import excel as E
+from tessera.sources import files as IO
 from tessera.sources import generate as G
+from tessera.sources.scratch import scratch_path
+from tessera.streaming import streams as ST
 
 Table = Callable[[str], DataFrame]
 _FOUND: dict[str, tuple[Callable[[Table, SparkSession], DataFrame], str | None]] = {}
@@ -420,17 +426,45 @@ def series_holt(t, s):
     return rounded(TS.holt(daily(t), "v", 0.4, 0.2, ["day"], ["event_type"]).select("event_type", "day", "holt"), 3)
 
 
-@query(None)
+_LAGGED = f"""n AS (SELECT event_type, day, v - avg(v) OVER (PARTITION BY event_type) AS d FROM {_DAILY}),
+l AS (SELECT event_type, d, lag(d, 1) OVER w AS l1, lag(d, 2) OVER w AS l2, lag(d, 3) OVER w AS l3, lag(d, 4) OVER w AS l4, lag(d, 5) OVER w AS l5 FROM n WINDOW w AS (PARTITION BY event_type ORDER BY day)),
+r AS (SELECT event_type, count(*) AS n, [sum(d * l1) / sum(d * d), sum(d * l2) / sum(d * d), sum(d * l3) / sum(d * d), sum(d * l4) / sum(d * d), sum(d * l5) / sum(d * d)] AS r FROM l GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {_LAGGED}, p AS (SELECT event_type, r, 1 AS k, [r[1]] AS phi FROM r UNION ALL
+SELECT event_type, r, k + 1, list_append(list_transform(list_zip(phi, list_reverse(phi)), lambda q: q[1] - a * q[2]), a) FROM (SELECT *, (r[k + 1] - list_dot_product(phi, list_reverse(r[1:k]))) / (1 - list_dot_product(phi, r[1:k])) AS a FROM p WHERE k < 5))
+SELECT event_type, 0 AS lag, 1.0::DOUBLE AS pacf FROM r UNION ALL SELECT event_type, k, round(phi[k], 4) FROM p""")
 def series_partial_autocorrelation(t, s):
     return rounded(TS.partial_autocorrelation(daily(t), "v", 5, ["day"], ["event_type"]))
 
 
-@query(None)
+_ARIMA = f"""d AS (SELECT event_type, day, v, v - lag(v) OVER (PARTITION BY event_type ORDER BY day) AS d FROM {_DAILY}),
+m AS (SELECT event_type, avg(d) AS mean, max_by(v, day) AS last FROM d GROUP BY 1),
+z AS (SELECT d.event_type, row_number() OVER w AS n, d - mean AS z, coalesce(lag(d - mean, 1) OVER w, 0) AS z1, coalesce(lag(d - mean, 2) OVER w, 0) AS z2 FROM d JOIN m USING (event_type) WHERE d IS NOT NULL WINDOW w AS (PARTITION BY d.event_type ORDER BY day)),
+c AS (SELECT event_type, sum(z * z) AS c0, sum(z * z1) AS c1, sum(z * z2) AS c2 FROM z GROUP BY 1),
+f AS (SELECT event_type, (c1 * c0 - c1 * c2) / (c0 * c0 - c1 * c1) AS p1, (c0 * c2 - c1 * c1) / (c0 * c0 - c1 * c1) AS p2 FROM c),
+e AS (SELECT event_type, n, z, z1, z AS e FROM z WHERE n = 1 UNION ALL SELECT z.event_type, z.n, z.z, z.z1, z.z - p1 * z.z1 - p2 * z.z2 - 0.3 * e.e FROM e JOIN z ON z.event_type = e.event_type AND z.n = e.n + 1 JOIN f ON f.event_type = e.event_type)"""
+
+
+@query(f"""WITH RECURSIVE {_ARIMA}, s AS (SELECT event_type, stddev_pop(e) AS s, max_by(z, n) AS z, max_by(z1, n) AS z1, max_by(e, n) AS e FROM e GROUP BY 1),
+h AS (SELECT event_type, 0 AS step, z, z1, e, last AS y FROM s JOIN m USING (event_type) UNION ALL SELECT event_type, step + 1, v, z, CAST(0 AS DOUBLE), y + v + mean FROM (SELECT h.*, m.mean, p1 * z + p2 * z1 + 0.3 * e AS v FROM h JOIN f USING (event_type) JOIN m USING (event_type) WHERE step < 7))
+SELECT event_type, CAST(step AS INTEGER) AS step, round(y, 3) AS forecast, round(y - 1.96 * s * sqrt(step), 3) AS low, round(y + 1.96 * s * sqrt(step), 3) AS high FROM h JOIN s USING (event_type) WHERE step > 0""")
 def series_arima_forecast(t, s):
     return rounded(TS.arima_forecast(daily(t), "v", 2, 1, 1, 7, ["day"], ["event_type"]), 3)
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {_ARIMA}, g AS (SELECT event_type, n, e, e - avg(e) OVER (PARTITION BY event_type) AS d FROM e),
+l AS (SELECT event_type, e, d, lag(d, 1) OVER w AS l1, lag(d, 2) OVER w AS l2, lag(d, 3) OVER w AS l3, lag(d, 4) OVER w AS l4, lag(d, 5) OVER w AS l5 FROM g WINDOW w AS (PARTITION BY event_type ORDER BY n)),
+k AS (SELECT event_type, count(*) AS n, avg(e * e) AS s2, avg(d * d) AS v, avg(d * d * d) AS d3, avg(d * d * d * d) AS d4, [sum(d * l1), sum(d * l2), sum(d * l3), sum(d * l4), sum(d * l5)] AS c FROM l GROUP BY 1),
+o AS (SELECT *, -0.5 * n * (ln(2 * pi() * s2) + 1) AS ll FROM k)
+SELECT event_type, n, round(s2, 3) AS sigma2, round(ll, 4) AS log_likelihood, round(8 - 2 * ll, 4) AS aic, round(4 * ln(n) - 2 * ll, 4) AS bic,
+round(n * (n + 2) * list_sum(list_transform(c, lambda x, i: (x / (n * v)) * (x / (n * v)) / (n - i))), 4) AS ljung_box, round(n / 6 * (d3 * d3 / (v * v * v) + (d4 / (v * v) - 3) * (d4 / (v * v) - 3) / 4), 4) AS jarque_bera FROM o""")
+def series_arima_diagnostics(t, s):
+    d = rounded(TS.arima_diagnostics(daily(t), "v", 2, 1, 1, ["day"], ["event_type"]))
+    return d.withColumn("sigma2", r("sigma2", 3))
+
+
+@query(f"""WITH {_LAGGED} SELECT event_type, round(n * (n + 2) * list_sum(list_transform(r, lambda x, i: x * x / (n - i))), 4) AS ljung_box, round(n * list_dot_product(r, r), 4) AS box_pierce, 5.0::DOUBLE AS df FROM r""")
 def series_portmanteau(t, s):
     return rounded(TS.portmanteau(daily(t), "v", 5, ["day"], ["event_type"]))
 
@@ -502,7 +536,7 @@ def stats_arg_extremes(t, s):
 
 @query("SELECT round(avg(sign(b.s_acctbal - a.s_acctbal) * sign(b.s_nationkey - a.s_nationkey)), 5) AS value FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey")
 def stats_kendall(t, s):
-    return rounded(D.kendall_tau(t("supplier"), "s_acctbal", "s_nationkey", "s_suppkey"), 5)
+    return rounded(D.kendall_tau(t("supplier"), "s_acctbal", "s_nationkey"), 5)
 
 
 @query("SELECT round(avg(abs(l_quantity - m)), 5) AS value FROM lineitem, (SELECT avg(l_quantity) AS m FROM lineitem)")
@@ -664,7 +698,13 @@ def outlier_modified_zscore(t, s):
     return I.outliers(t("orders"), "o_totalprice", "mad", 1.5).select("o_orderkey", "outlier")
 
 
-@query(None)
+_KM = "(x - a{0}) * (x - a{0}) + (y - b{0}) * (y - b{0})"
+_NEAR = f"CASE WHEN {_KM.format(1)} <= {_KM.format(2)} AND {_KM.format(1)} <= {_KM.format(3)} THEN 0 WHEN {_KM.format(2)} <= {_KM.format(3)} THEN 1 ELSE 2 END"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT 0 AS n, 10.0::DOUBLE AS a1, 1000.0::DOUBLE AS b1, 25.0::DOUBLE AS a2, 1400.0::DOUBLE AS b2, 40.0::DOUBLE AS a3, 1800.0::DOUBLE AS b3
+UNION ALL SELECT n + 1, """ + ", ".join(f"coalesce(avg({c}) FILTER (c = {i - 1}), max({m}{i}))" for i in (1, 2, 3) for c, m in (("x", "a"), ("y", "b"))) + f""" FROM (SELECT *, {_NEAR} AS c FROM s, (SELECT CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part) WHERE n < 20) GROUP BY n)
+SELECT p_partkey, p_size, p_retailprice, {_NEAR} AS cluster FROM (SELECT p_partkey, p_size, p_retailprice, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part), (SELECT * FROM s WHERE n = 20)""")
 def model_kmeans(t, s):
     return I.kmeans(t("part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], [[10.0, 1000.0], [25.0, 1400.0], [40.0, 1800.0]])[0]
 
@@ -674,17 +714,35 @@ def model_pca(t, s):
     return rounded(I.pca(t("lineitem").select("l_orderkey", "l_linenumber", *_COLS), _COLS, 2)[0].select("l_orderkey", "l_linenumber", "pc1", "pc2"), 3)
 
 
-@query(None)
+_S = {(i, j): f"s{i}{j}" for i in range(3) for j in range(i, 3)} | {(j, i): f"s{i}{j}" for i in range(3) for j in range(i, 3)}
+_COF = {(i, j): f"({_S[(i + 1) % 3, (j + 1) % 3]} * {_S[(i + 2) % 3, (j + 2) % 3]} - {_S[(i + 1) % 3, (j + 2) % 3]} * {_S[(i + 2) % 3, (j + 1) % 3]})" for i in range(3) for j in range(3)}
+
+
+@query("WITH x AS (SELECT l_returnflag AS label, l_quantity AS x0, l_discount AS x1, l_tax AS x2 FROM lineitem), m AS (SELECT label, count(*) AS n, avg(x0) AS m0, avg(x1) AS m1, avg(x2) AS m2 FROM x GROUP BY 1), s AS (SELECT "
+       + ", ".join(f"sum((x{i} - m{i}) * (x{j} - m{j})) / (count(*) - (SELECT count(*) FROM m)) AS s{i}{j}" for i in range(3) for j in range(i, 3))
+       + f" FROM x JOIN m USING (label)), v AS (SELECT *, s00 * {_COF[0, 0]} + s01 * {_COF[0, 1]} + s02 * {_COF[0, 2]} AS det FROM s), w AS (SELECT label, n, m0, m1, m2, "
+       + ", ".join(f"({' + '.join(f'{_COF[i, j]} * m{j}' for j in range(3))}) / det AS w{i}" for i in range(3))
+       + " FROM m, v) SELECT label, 'intercept' AS term, round(-0.5 * (m0 * w0 + m1 * w1 + m2 * w2) + ln(n / (SELECT sum(n) FROM m)), 4) AS coefficient FROM w "
+       + " ".join(f"UNION ALL SELECT label, '{c}', round(w{i}, 4) FROM w" for i, c in enumerate(("l_quantity", "l_discount", "l_tax"))))
 def model_lda(t, s):
     return rounded(I.lda(t("lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_returnflag"))
 
 
-@query(None)
+@query("""WITH RECURSIVE p AS (SELECT CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part), s AS (SELECT 0 AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM p
+UNION ALL SELECT n + 1, (sum(w * x * y) - sum(w * x) * sum(w * y) / sum(w)) / (sum(w * x * x) - sum(w * x) * sum(w * x) / sum(w)), (sum(w * y) - (sum(w * x * y) - sum(w * x) * sum(w * y) / sum(w)) / (sum(w * x * x) - sum(w * x) * sum(w * x) / sum(w)) * sum(w * x)) / sum(w)
+FROM (SELECT n, x, y, CASE WHEN r <= k THEN 1.0 ELSE k / r END AS w FROM (SELECT n, x, y, r, 1.345 * greatest(median(r) OVER () / 0.6745, 1e-12) AS k FROM (SELECT n, x, y, abs(y - a - b * x) AS r FROM s, p WHERE n < 20))) GROUP BY n)
+SELECT 'intercept' AS term, round(a, 3) AS coefficient FROM s WHERE n = 20 UNION ALL SELECT 'p_size', round(b, 3) FROM s WHERE n = 20""")
 def model_huber(t, s):
     return rounded(I.robust_regression(t("part"), "p_retailprice", ["p_size"]).select("term", "coefficient"), 3)
 
 
-@query(None)
+@query("""WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size AS DOUBLE) END AS x, CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice END AS y FROM part),
+t0 AS (SELECT p_partkey, x IS NULL AS gx, y IS NULL AS gy, coalesce(x, avg(x) OVER ()) AS x, coalesce(y, avg(y) OVER ()) AS y FROM p),
+t1 AS (SELECT p_partkey, gx, gy, CASE WHEN gx THEN mx + b * (y - my) ELSE x END AS x, y FROM t0, (SELECT covar_pop(x, y) * count(*) / (var_pop(y) * count(*) + 1e-6) AS b, avg(x) AS mx, avg(y) AS my FROM t0 WHERE NOT gx)),
+t2 AS (SELECT p_partkey, gx, gy, x, CASE WHEN gy THEN my + b * (x - mx) ELSE y END AS y FROM t1, (SELECT covar_pop(x, y) * count(*) / (var_pop(x) * count(*) + 1e-6) AS b, avg(x) AS mx, avg(y) AS my FROM t1 WHERE NOT gy)),
+t3 AS (SELECT p_partkey, gx, gy, CASE WHEN gx THEN mx + b * (y - my) ELSE x END AS x, y FROM t2, (SELECT covar_pop(x, y) * count(*) / (var_pop(y) * count(*) + 1e-6) AS b, avg(x) AS mx, avg(y) AS my FROM t2 WHERE NOT gx)),
+t4 AS (SELECT p_partkey, gx, gy, x, CASE WHEN gy THEN my + b * (x - mx) ELSE y END AS y FROM t3, (SELECT covar_pop(x, y) * count(*) / (var_pop(x) * count(*) + 1e-6) AS b, avg(x) AS mx, avg(y) AS my FROM t3 WHERE NOT gy))
+SELECT p_partkey, round(x, 3) AS x, round(y, 3) AS y FROM t4""")
 def impute_chained(t, s):
     p = t("part").select("p_partkey", F.when(F.col("p_partkey") % 5 != 0, F.col("p_size")).cast("double").alias("x"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_retailprice")).alias("y"))
     return rounded(I.impute_chained(p, ["x", "y"], 2), 3)
@@ -695,11 +753,63 @@ def resample_bootstrap(t, s):
     return rounded(I.bootstrap_interval(t("customer"), "c_acctbal", 100))
 
 
-@query(None)
+@query("SELECT o_orderkey, o_orderstatus, CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('0:' || o_orderkey), o_orderkey) - 1) % 5 AS INTEGER) AS fold FROM orders")
 def resample_kfold(t, s):
     return I.kfold(t("orders").select("o_orderkey", "o_orderstatus"), 5, "o_orderkey", stratify="o_orderstatus")
 
 
+@query("""WITH p AS (SELECT CAST(p_size AS DOUBLE) AS x, p_retailprice AS y, CAST(CAST(('0x' || md5('0:' || p_partkey)[1:8]) AS BIGINT) % 4 AS INTEGER) AS fold FROM part), k AS (SELECT DISTINCT fold AS k FROM p),
+f AS (SELECT k, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM p, k WHERE fold <> k GROUP BY 1)
+SELECT fold, round(avg((y - a - b * x) * (y - a - b * x)), 2) AS score FROM p JOIN f ON fold = k GROUP BY 1""")
+def resample_cross_validate(t, s):
+    fit = lambda df: I.linear_regression(df, "p_retailprice", ["p_size"])
+    score = lambda df, model: I.regression_metrics(I.predict(df, model), "p_retailprice", "prediction").first()["mse"]
+    return rounded(I.cross_validate(I.kfold(t("part"), 4, "p_partkey"), fit, score), 2)
+
+
+@query(None)
+def test_permutation(t, s):
+    return rounded(I.permutation_test(t("orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), "o_totalprice", F.col("o_orderstatus") == "F", 50, key=["o_orderkey"]))
+
+
+_RM = "(SELECT o_custkey % 10 AS s, o_orderkey % 4 AS t, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2)"
+
+
+@query(f"""WITH r AS (SELECT *, avg(v) OVER () AS m, avg(v) OVER (PARTITION BY s) AS ms, avg(v) OVER (PARTITION BY t) AS mt FROM {_RM}),
+q AS (SELECT sum((mt - m) * (mt - m)) AS a, sum((ms - m) * (ms - m)) AS b, sum((v - ms - mt + m) * (v - ms - mt + m)) AS e, count(DISTINCT t) - 1 AS d1, (count(DISTINCT t) - 1) * (count(DISTINCT s) - 1) AS d2 FROM r)
+SELECT round((a / d1) / (e / d2), 6) AS f, CAST(d1 AS DOUBLE) AS df1, CAST(d2 AS DOUBLE) AS df2 FROM q""")
+def test_repeated_measures(t, s):
+    rows = t("orders").groupBy((F.col("o_custkey") % 10).alias("s"), (F.col("o_orderkey") % 4).alias("t")).agg(F.avg("o_totalprice").alias("v"))
+    return rounded(I.repeated_measures_anova(rows, "s", "t", "v").select("f", "df1", "df2"), 6)
+
+
+@query("""WITH x AS (SELECT l_returnflag AS g, l_quantity AS x, l_discount AS y FROM lineitem), t AS (SELECT count(*) AS n, sum((x - mx) * (x - mx)) AS t11, sum((x - mx) * (y - my)) AS t12, sum((y - my) * (y - my)) AS t22 FROM x, (SELECT avg(x) AS mx, avg(y) AS my FROM x)),
+e AS (SELECT sum((x - mx) * (x - mx)) AS e11, sum((x - mx) * (y - my)) AS e12, sum((y - my) * (y - my)) AS e22 FROM x JOIN (SELECT g, avg(x) AS mx, avg(y) AS my FROM x GROUP BY 1) USING (g)),
+w AS (SELECT *, (e11 * e22 - e12 * e12) / (t11 * t22 - t12 * t12) AS w FROM t, e)
+SELECT round(w, 8) AS wilks, round(((t11 - e11) * t22 - 2 * (t12 - e12) * t12 + (t22 - e22) * t11) / (t11 * t22 - t12 * t12), 8) AS pillai, round((1 - sqrt(w)) / sqrt(w) * (2 * (n - 3.5) - 1) / 4, 5) AS f, 4.0::DOUBLE AS df1, CAST(2 * (n - 3.5) - 1 AS DOUBLE) AS df2 FROM w""")
+def test_manova(t, s):
+    m = I.manova(t("lineitem"), ["l_quantity", "l_discount"], "l_returnflag")
+    return m.select(r("wilks", 8).alias("wilks"), r("pillai", 8).alias("pillai"), r("f", 5).alias("f"), "df1", "df2")
+
+
+def _sql_poly(coefficients: tuple[float, ...], x: str) -> str:
+    out = f"CAST({coefficients[0]!r} AS DOUBLE)"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+_TAIL = f"{_sql_poly(P._C, 'q')} / {_sql_poly(P._D, 'q')}"
+
+
+@query(f"""WITH p AS (SELECT o_totalprice AS v, (row_number() OVER (ORDER BY o_totalprice) - 0.375::DOUBLE) / (count(*) OVER () + 0.25::DOUBLE) AS p FROM orders),
+q AS (SELECT v, p, sqrt(-2 * ln(CASE WHEN p < 0.5 THEN p ELSE 1 - p END)) AS q, (p - 0.5) * (p - 0.5) AS u FROM p),
+z AS (SELECT v, CASE WHEN p < 0.02425 THEN {_TAIL} WHEN p > 1 - 0.02425 THEN -({_TAIL}) ELSE (p - 0.5) * {_sql_poly(P._A, 'u')} / {_sql_poly(P._B, 'u')} END AS z FROM q)
+SELECT round(corr(v, z) * corr(v, z), 6) AS w, count(*) AS n FROM z""")
+def test_shapiro_wilk(t, s):
+    return rounded(I.shapiro_wilk(t("orders"), "o_totalprice"), 6)
+
+
 # Elementwise functions.
 
 _MATH = {
@@ -796,11 +906,74 @@ def matrix_conjugate_gradient(t, s):
     return rounded(X.conjugate_gradient(a, b, 1e-6, 500, jacobi=True), 14)
 
 
-@query(None)
+_WAVE = f"SELECT x.event_type, y.n AS k, round(sum(x.v * cos(2 * pi() * ((x.n * y.n) % x.m) / x.m)), 3) + 0.0 AS re, round(-sum(x.v * sin(2 * pi() * ((x.n * y.n) % x.m) / x.m)), 3) + 0.0 AS im FROM n x JOIN n y ON x.event_type = y.event_type"
+_PLACED = f"WITH n AS (SELECT event_type, v, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS n, count(*) OVER (PARTITION BY event_type) AS m FROM {_DAILY})"
+
+
+@query(f"{_PLACED} {_WAVE} GROUP BY 1, 2")
 def transform_fft(t, s):
     return rounded(X.fft(daily(t), "day", "v", ["event_type"]), 3)
 
 
+@query(f"{_PLACED} {_WAVE} WHERE 2 * y.n <= y.m GROUP BY 1, 2")
+def transform_real_fft(t, s):
+    return rounded(X.rfft(daily(t), "day", "v", ["event_type"]), 3)
+
+
+_GRID = "(SELECT o_custkey % 6 AS i, o_orderkey % 5 AS j, sum(o_totalprice) / 1000 AS v FROM orders GROUP BY 1, 2)"
+
+
+@query(f"SELECT k.i, k.j, round(sum(c.v * cos(2 * pi() * (c.i * k.i / 6.0::DOUBLE + c.j * k.j / 5.0::DOUBLE))), 3) + 0.0 AS re, round(-sum(c.v * sin(2 * pi() * (c.i * k.i / 6.0::DOUBLE + c.j * k.j / 5.0::DOUBLE))), 3) + 0.0 AS im FROM {_GRID} c, {_GRID} k GROUP BY 1, 2")
+def transform_fft2(t, s):
+    g = t("orders").groupBy((F.col("o_custkey") % 6).alias("i"), (F.col("o_orderkey") % 5).alias("j")).agg((F.sum("o_totalprice") / 1000).alias("v"))
+    return rounded(X.fft2(g), 3)
+
+
+@query("WITH g AS (SELECT sum(l_quantity * l_quantity) AS a, sum(l_quantity * l_discount) AS b, sum(l_quantity * l_tax) AS c, sum(l_discount * l_discount) AS d, sum(l_discount * l_tax) AS e, sum(l_tax * l_tax) AS f FROM lineitem) SELECT round(ln(a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c)), 6) AS log_abs_determinant, 3 AS rank FROM g")
+def matrix_invariants(t, s):
+    return rounded(X.invariants(X.gram(t("lineitem"), ["l_quantity", "l_discount", "l_tax"]), 3).select("log_abs_determinant", "rank"), 6)
+
+
+# Twice the identity and the share of each column in its row: regular and not symmetric. The SQL iterates by Jacobi.
+_SHARES = "(SELECT i, j, n / sum(n) OVER (PARTITION BY i) + CASE WHEN i = j THEN 2 ELSE 0 END AS v FROM (SELECT o_custkey % 7 AS i, o_orderkey % 7 AS j, count(*) AS n FROM orders GROUP BY 1, 2))"
+_JACOBI = f"""WITH RECURSIVE a AS (SELECT list(q ORDER BY i) AS a FROM (SELECT i, list(v ORDER BY j) AS q FROM {_SHARES} GROUP BY 1)),
+x AS (SELECT 0 AS n, CAST([0, 0, 0, 0, 0, 0, 0] AS DOUBLE[]) AS x UNION ALL SELECT n + 1, list_transform(a, lambda q, k: (k - list_dot_product(q, x) + q[k] * x[k]) / q[k]) FROM x, a WHERE n < 80)
+SELECT k AS i, round(x[k + 1], 6) AS v FROM x, range(7) t(k) WHERE n = 80"""
+
+
+def shares(t: Table) -> DataFrame:
+    n = t("orders").groupBy((F.col("o_custkey") % 7).alias("i"), (F.col("o_orderkey") % 7).alias("j")).agg(F.count("*").alias("n"))
+    rows = n.groupBy(F.col("i").alias("k")).agg(F.sum("n").alias("s"))
+    return n.join(rows, n["i"] == rows["k"]).select("i", "j", (F.col("n") / F.col("s") + F.when(F.col("i") == F.col("j"), 2.0).otherwise(0.0)).alias("v"))
+
+
+@query(_JACOBI)
+def matrix_bicgstab(t, s):
+    return rounded(X.bicgstab(shares(t), s.range(7).select(F.col("id").alias("i"), (F.col("id") + 1).cast("double").alias("v")), 1e-12), 6)
+
+
+@query(_JACOBI)
+def matrix_gmres(t, s):
+    return rounded(X.gmres(shares(t), s.range(7).select(F.col("id").alias("i"), (F.col("id") + 1).cast("double").alias("v")), 1e-12), 6)
+
+
+@query(f"SELECT (i * 40 + j) // 100 AS i0, (i * 40 + j) // 20 % 5 AS i1, (i * 40 + j) % 20 AS i2, round(v, 7) AS v FROM {_MAT}")
+def array_reshape(t, s):
+    return rounded(N.reshape(cells(t).toDF("i0", "i1", "v"), [50, 40], [20, 5, -1]), 7)
+
+
+@query(f"SELECT i AS i0, j AS i1, round(v - avg(v) OVER (PARTITION BY j), 4) + 0.0 AS v FROM {_MAT}")
+def array_broadcast(t, s):
+    a = cells(t).toDF("i0", "i1", "v")
+    return rounded(N.combine(a, [50, 40], N.reduce(a, 2, [0], F.avg), [40], lambda x, y: x - y)[0])
+
+
+@query(f"SELECT j AS i0, round(max(v), 7) AS v FROM {_MAT} GROUP BY 1")
+def array_reduce(t, s):
+    turned = N.permute(cells(t).toDF("i0", "i1", "v"), [1, 0])
+    return rounded(N.reduce(turned, 2, [1], F.max), 7)
+
+
 # Generated tables.
 
 
@@ -814,16 +987,109 @@ def generate_linspace(t, s):
     return rounded(G.linspace(s, 0.0, 1.0, 10), 6)
 
 
-@query(None)
+def _sql_uniform(k: int) -> str:
+    return f"((CAST(('0x' || md5('3:{k}:' || i)[1:13]) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE)"
+
+
+@query(f"SELECT i AS pos, round(sqrt(-2 * ln({_sql_uniform(0)})) * cos(2 * pi() * {_sql_uniform(1)}), 6) + 0.0 AS value FROM range(1000) t(i)")
 def generate_normal(t, s):
-    return G.sample(s, "normal", 1000, 3)
+    return rounded(G.sample(s, "normal", 1000, 3), 6)
 
 
-@query(None)
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('5:' || o_orderkey), o_orderkey LIMIT 25")
 def generate_choice(t, s):
     return G.choice(t("orders").select("o_orderkey", "o_totalprice"), 25, "o_orderkey", 5)
 
 
+# Files, databases and streams: each table is written whole to the shared folder and read back.
+
+
+@query("SELECT * FROM part")
+def source_csv(t, s):
+    path = scratch_path(s, "csv")
+    IO.write_csv(t("part"), path)
+    return IO.read_csv(s, path, schema=t("part").schema)
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer")
+def source_csv_inferred(t, s):
+    path = scratch_path(s, "csv")
+    IO.write_csv(t("customer").select("c_custkey", "c_acctbal"), path, sep="|", header=False)
+    return IO.read_csv(s, path, sep="|", header=False).select(F.col("col_0").cast("long").alias("c_custkey"), F.col("col_1").alias("c_acctbal"))
+
+
+@query("SELECT event_id, event_type, user_id, value, props FROM events")
+def source_json(t, s):
+    path = scratch_path(s, "json")
+    e = t("events").select("event_id", "event_type", "user_id", "value", "props")
+    IO.write_json(e, path)
+    return IO.read_json(s, path, e.schema)
+
+
+@query("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def source_parquet(t, s):
+    path = scratch_path(s, "parquet")
+    IO.write_parquet(t("orders"), path, partition_by=["o_orderstatus"])
+    return rounded(IO.read_parquet(s, path, ["o_orderstatus", "o_totalprice"]).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total")), 2)
+
+
+@query("SELECT count(*) AS rows, true AS sized FROM lineitem")
+def source_parquet_metadata(t, s):
+    path = scratch_path(s, "parquet")
+    IO.write_parquet(t("lineitem"), path)
+    return IO.parquet_metadata(s, path).agg(F.sum("rows").alias("rows"), (F.min("bytes") > 0).alias("sized"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def source_xlsx(t, s):
+    path = scratch_path(s, "xlsx").removeprefix("file:").replace("//", "/")  # a workbook is one local or mounted file
+    E.write_xlsx(path, {"nation": t("nation").select("n_nationkey", "n_name", "n_regionkey"), "region": t("region")})
+    s.dataSource.register(E.XlsxSource)
+    return s.read.format("xlsx").option("path", path).option("sheet", "nation").load().select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
+
+
+@query("SELECT s_nationkey, count(*) AS n, round(sum(s_acctbal), 2) AS total FROM supplier WHERE s_acctbal > 0 GROUP BY 1")
+def source_sql(t, s):
+    t("supplier").createOrReplaceTempView("tessera_supplier")
+    return rounded(IO.read_sql(s, "SELECT s_nationkey, count(*) AS n, sum(s_acctbal) AS total FROM tessera_supplier WHERE s_acctbal > 0 GROUP BY s_nationkey"), 2)
+
+
+@query(f"SELECT user_id, CAST(row_number() OVER ({_W}) - 1 AS INTEGER) AS pos, value FROM events")
+def source_series_json(t, s):
+    return IO.from_series_json(IO.series_json(t("events"), "value", ["ts", "event_id"], ["user_id"]), "json")
+
+
+@query("SELECT vec_id, [CAST(k // 8 AS INTEGER), CAST(k % 8 AS INTEGER)] AS index, CAST(embedding[k + 1] AS DOUBLE) AS value FROM embeddings, range(len(embedding)) t(k)")
+def source_array_json(t, s):
+    e = t("embeddings")
+    width = len(e.select("embedding").first()[0])
+    kept = e.select("vec_id", IO.array_json(F.col("embedding").cast("array<double>"), [width // 8, 8]).alias("json"))
+    return IO.from_array_json(kept, "json")
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
+def stream_tumbling(t, s):
+    found = streamed(t, s, lambda e: ST.windowed(e, "ts", "1 day", {"n": F.count("*"), "total": F.sum("value")}, ["event_type"]))
+    return rounded(found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total"), 3)
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events),
+k AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts)::TIMESTAMP AS session_start, (max(ts) + INTERVAL 6 HOUR)::TIMESTAMP AS session_end, count(*) AS n FROM k GROUP BY user_id, k""")
+def stream_sessions(t, s):
+    found = streamed(t, s, lambda e: ST.sessions(e, "ts", "6 hours", "user_id"))
+    return found.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
+
+
+def streamed(t: Table, s: SparkSession, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Runs ``f`` over events as a stream of files and reads its complete result."""
+    inbox, out = scratch_path(s, "inbox"), scratch_path(s, "stream")
+    t("events").write.parquet(inbox)
+    found = f(ST.read_stream(s, inbox, t("events").schema))
+    ST.each_batch(found, lambda batch, _: batch.write.mode("overwrite").parquet(out), scratch_path(s, "state"), "complete").awaitTermination()
+    return s.read.schema(found.schema).parquet(out)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(f):
         return lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark)

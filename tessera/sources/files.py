@@ -81,6 +81,18 @@ def array_json(data: F.Column, shape: list[int]) -> F.Column:
     return F.to_json(F.struct(data.alias("data"), F.array(*[F.lit(s) for s in shape]).alias("shape")))
 
 
+def from_array_json(df: DataFrame, json: str, dtype: str = "double") -> DataFrame:
+    """The other columns with index (one number a dimension, row-major) and value of every entry; data that does not fill its shape is an error."""
+    rest = [c for c in df.columns if c != json]
+    parsed = df.select(*rest, F.from_json(json, f"data array<{dtype}>, shape array<int>").alias("__j"))
+    size = F.aggregate("__j.shape", F.lit(1).cast("long"), lambda a, n: a * n)
+    fits = F.when(F.size("__j.data") == size, F.col("__j.data")).otherwise(F.raise_error(F.lit("data does not fill its shape")).cast(f"array<{dtype}>"))
+    each = parsed.select(*rest, "__j.shape", F.posexplode(fits).alias("__at", "value"))
+    after = lambda d: F.aggregate(F.slice("shape", d + 2, F.size("shape")), F.lit(1).cast("long"), lambda a, n: a * n)
+    index = F.transform("shape", lambda n, d: (F.floor(F.col("__at") / after(d)) % n).cast("int"))
+    return each.select(*rest, index.alias("index"), "value")
+
+
 def checked(name: str) -> str:
     if not _NAME.fullmatch(name):
         raise ValueError(f"not a table name: {name}")
@@ -99,3 +111,16 @@ def write_sql(df: DataFrame, table: str, url: str | None = None, if_exists: str
         df.write.format("jdbc").mode(mode).options(url=url, dbtable=checked(table), batchsize=batch, **options).save()
     else:
         df.write.mode(mode).saveAsTable(checked(table))
+
+
+def execute_sql(spark: SparkSession, statement: str, url: str | None = None) -> int | None:
+    """Runs a statement that returns no rows; the number of rows it changed for JDBC, None for the session's own catalog."""
+    if url is None:
+        spark.sql(statement)  # commands run at once
+        return None
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        running = connection.createStatement()
+        return running.executeUpdate(statement)
+    finally:
+        connection.close()

@@ -25,8 +25,13 @@ def full(spark: SparkSession, n: int, value: float) -> DataFrame:
 
 
 def _u(seed: int, k: int = 0) -> F.Column:
-    """A uniform number in (0, 1) hashed from the row's id."""
-    return (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("id")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    """A uniform number in (0, 1): 52 bits of the MD5 of seed:k:id, which any database can draw again."""
+    h = F.md5(F.concat(F.lit(f"{seed}:{k}:"), F.col("id").cast("string")))
+    return (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def _drawn(seed: int, key: str) -> F.Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
 
 
 def sample(spark: SparkSession, kind: str, n: int, seed: int = 0, a: float = 0.0, b: float = 1.0) -> DataFrame:
@@ -54,9 +59,9 @@ def sample(spark: SparkSession, kind: str, n: int, seed: int = 0, a: float = 0.0
 
 def choice(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """``n`` rows without replacement, those of least hash: no global sort, only the n best of each part."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return df.orderBy(_drawn(seed, key), key).limit(n)
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """All rows in hashed order."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    return df.orderBy(_drawn(seed, key), key)

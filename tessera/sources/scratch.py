@@ -29,12 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """An unused path in the shared folder; what is written there is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame that reads it; gone when the driver ends, or before by ``forget``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, tag)
     df.write.parquet(path)
-    _WRITTEN[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
