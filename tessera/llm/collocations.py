@@ -28,12 +28,23 @@ from tessera.llm.words import mix
 from tessera.operators.frame import with_position
 
 #: Bytes of text of a block, and phrases that a bucket adds up, about.
-BLOCK_BYTES, BUCKET_ENTRIES = 16 << 20, 1 << 20
+BLOCK_BYTES, BUCKET_ENTRIES = 8 << 20, 1 << 20
 ROWS = 1 << 16
 _BREAK = 0xFF  # a byte that UTF-8 never has
 _FOLD = bytes(_BREAK if b in b".,;:!?\n\v\f\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def packed(x: np.ndarray) -> bytes:
+    """An array in planes of bytes, compressed: sorted and small numbers take a byte or two."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, dtype: type) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd"), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(dtype).itemsize, -1).T).reshape(-1).view(dtype)
+
+
 class _Ids(dict):
     """Numbers words as they come; the end of a piece is 0."""
 
@@ -55,7 +66,7 @@ def inverted_lists(docs: DataFrame) -> DataFrame:
         ids = np.concatenate(runs)
         order = np.argsort(ids, kind="stable").astype(np.int32)
         counts = np.bincount(ids)
-        yield pa.record_batch([[number], [None], [None], [None], [None], [order[counts[0] :].tobytes()]], schema=schema)
+        yield pa.record_batch([[number], [None], [None], [None], [None], [packed(np.diff(order[counts[0] :], prepend=np.int32(0)))]], schema=schema)
         for lang, found in words.items():
             local = np.fromiter(found.values(), dtype=np.int64, count=len(found))[1:]
             text = pa.array(list(found)[1:], pa.binary()).cast(pa.string())
@@ -98,7 +109,7 @@ _ASKED_SQL = "bucket long, block long, kind string, a binary, b binary, n binary
 
 
 def _row(bucket: int | None, block: int | None, kind: str, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([bucket], pa.int64()), pa.array([block], pa.int64()), [kind], [a.tobytes()], [b.tobytes()], [n.tobytes()]], schema=_ASKED)
+    return pa.record_batch([pa.array([bucket], pa.int64()), pa.array([block], pa.int64()), [kind], [packed(a)], [packed(b)], [packed(n)]], schema=_ASKED)
 
 
 def _asked(block: int, a: np.ndarray, b: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -119,16 +130,16 @@ def _add_up(least: int):
     def run(key, table):
         bucket = key[0].as_py()
         blocks = table.column("block").to_numpy()
-        a = [np.cumsum(np.frombuffer(x, dtype=np.int64)) for x in table.column("a").to_pylist()]
-        b = [np.frombuffer(x, dtype=np.uint32) for x in table.column("b").to_pylist()]
-        n = [np.frombuffer(x, dtype=np.uint32) for x in table.column("n").to_pylist()]
+        a = [np.cumsum(unpacked(x, np.int64)) for x in table.column("a").to_pylist()]
+        b = [unpacked(x, np.uint32) for x in table.column("b").to_pylist()]
+        n = [unpacked(x, np.uint32) for x in table.column("n").to_pylist()]
         source = np.repeat(np.arange(len(a)), [len(x) for x in a])
         a, b, n = np.concatenate(a), np.concatenate(b), np.concatenate(n).astype(np.int64)
         order, first, runs = _distinct(a, b)
         total = np.add.reduceat(n[order], first)
         often = total >= least
         name = (bucket << 32) + np.cumsum(often) - 1
-        out = [_row(bucket, None, "named", a[order[first[often]]], b[order[first[often]]], np.stack([name[often], total[often]]))]
+        out = [_row(bucket, None, "named", a[order[first[often]]], b[order[first[often]]], np.concatenate([name[often], total[often]]))]
         per = np.repeat(np.where(often, name, -1), runs)
         names = np.empty(len(per), dtype=np.int64)
         names[order] = per
@@ -158,7 +169,7 @@ def _first_pairs(buckets: int):
         words = table.filter(pc.is_valid(table.column("local")))
         local, n, name = (words.column(c).to_numpy() for c in ("local", "n", "name"))
         order = np.argsort(local)
-        at = np.frombuffer(lists[0], dtype=np.int32) if lists else np.zeros(0, dtype=np.int32)
+        at = np.cumsum(unpacked(lists[0], np.int32), dtype=np.int32) if lists else np.zeros(0, dtype=np.int32)
         n, name = n[order], name[order]
         ids = np.repeat(name, n)
         often = ids >= 0
@@ -182,12 +193,12 @@ def _longer(length: int, buckets: int):
         words = next((r for r in rows if r["kind"] == "words"), None)
         if words is None:
             return pa.Table.from_batches([], schema=_ASKED)
-        positions = np.cumsum(np.frombuffer(words["a"], dtype=np.uint8).astype(np.int64))
-        ids = np.frombuffer(words["b"], dtype=np.uint32).astype(np.int64)
+        positions = np.cumsum(unpacked(words["a"], np.uint8), dtype=np.int64)
+        ids = unpacked(words["b"], np.uint32).astype(np.int64)
         starts, phrase = positions, ids
         for size in range(1, length):
             said = [r for r in rows if r["kind"] == f"names{size + 1}"]
-            a, b, name = (np.concatenate([np.frombuffer(r[c], dtype=t) for r in said] or [np.zeros(0, dtype=t)]).astype(np.int64) for c, t in (("a", np.int64), ("b", np.uint32), ("n", np.int64)))
+            a, b, name = (np.concatenate([unpacked(r[c], t) for r in said] or [np.zeros(0, dtype=t)]).astype(np.int64) for c, t in (("a", np.int64), ("b", np.uint32), ("n", np.int64)))
             hit, behind = _joined(starts, size, positions)
             prefixes = np.unique(a)
             width = np.int64(1 << 32)
@@ -205,11 +216,11 @@ def _longer(length: int, buckets: int):
     return run
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _named_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, n in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n")), strict=True):
-            name, total = np.frombuffer(n, dtype=np.int64).reshape(2, -1)
-            prefix, word = np.frombuffer(a, dtype=np.int64), np.frombuffer(b, dtype=np.uint32).astype(np.int64)
+            name, total = unpacked(n, np.int64).reshape(2, -1)
+            prefix, word = unpacked(a, np.int64), unpacked(b, np.uint32).astype(np.int64)
             for i in range(0, len(name), ROWS):
                 yield pa.record_batch([pa.array(x[i : i + ROWS]) for x in (name, prefix, word, total)], names=["id", "prefix", "word", "f"])
 
@@ -237,7 +248,7 @@ def frequent_phrases(docs: DataFrame, least: int = 10, longest: int = 3) -> tupl
     found, last = phrases, phrases
     for length in range(2, longest + 1):
         added = written(asked.where("kind = 'asked'").groupBy("bucket").applyInArrow(_add_up(least), _ASKED_SQL), "names")
-        new = added.where("kind = 'named'").mapInArrow(_unpacked, "id long, prefix long, word long, f long")
+        new = added.where("kind = 'named'").mapInArrow(_named_rows, "id long, prefix long, word long, f long")
         heads = last.select(F.col("id").alias("prefix"), "lang", F.col("words").alias("head"))
         tails = named.select(F.col("__pos").alias("word"), F.col("word").alias("tail"))
         last = new.join(heads, "prefix").join(tails, "word").select("id", "lang", F.concat("head", F.array("tail")).alias("words"), "f")
