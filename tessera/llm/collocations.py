@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.store import written
+from tessera.llm.store import arrow_batches, written
 from tessera.llm.words import mix
 from tessera.operators.frame import with_position
 
 #: Bytes of text of a block, and phrases that a bucket adds up, about.
-BLOCK_BYTES, BUCKET_ENTRIES = 8 << 20, 1 << 20
+BLOCK_BYTES, BUCKET_ENTRIES = 5 << 20, 1 << 20
 ROWS = 1 << 16
 _BREAK = 0xFF  # a byte that UTF-8 never has
 _FOLD = bytes(_BREAK if b in b".,;:!?\n\v\f\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -116,12 +116,14 @@ def _asked(block: int, a: np.ndarray, b: np.ndarray, buckets: int) -> Iterator[p
     """The distinct pairs (prefix, word) of a block with their numbers of occurrences, a row a bucket."""
     order, first, n = _distinct(a, b)
     a, b = a[order[first]], b[order[first]]
-    bucket = (mix(mix(a.astype(np.uint64)) ^ b.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    n = n.astype(np.uint32)
+    del order, first
+    bucket = (mix(mix(a.astype(np.uint64)) ^ b.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
     by = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[by], np.arange(buckets + 1))
     for k in np.flatnonzero(np.diff(ends)).tolist():
         at = by[ends[k] : ends[k + 1]]
-        yield _row(k, block, "asked", np.diff(a[at], prepend=0), b[at].astype(np.uint32), n[at].astype(np.uint32))
+        yield _row(k, block, "asked", np.diff(a[at].astype(np.int64), prepend=0), b[at].astype(np.uint32), n[at])
 
 
 def _add_up(least: int):
@@ -171,14 +173,16 @@ def _first_pairs(buckets: int):
         order = np.argsort(local)
         at = np.cumsum(unpacked(lists[0], np.int32), dtype=np.int32) if lists else np.zeros(0, dtype=np.int32)
         n, name = n[order], name[order]
-        ids = np.repeat(name, n)
+        ids = np.repeat(name.astype(np.int32), n)  # frequent words are fewer than 2^31
         often = ids >= 0
         positions, ids = at[often], ids[often]
         order = np.argsort(positions)
-        positions, ids = positions[order].astype(np.int64), ids[order]
-        gaps = np.minimum(np.diff(positions, prepend=0), 255).astype(np.uint8)  # what matters is only whether words are neighbours
+        positions, ids = positions[order], ids[order]
+        del at, often, order
+        gaps = np.minimum(np.diff(positions, prepend=np.int32(0)), 255).astype(np.uint8)  # what matters is only whether words are neighbours
         out = [_row(None, block, "words", gaps, ids.astype(np.uint32), np.zeros(0))]
         hit, behind = _joined(positions, 1, positions)
+        del positions, gaps
         return pa.Table.from_batches([*out, *_asked(block, ids[hit], ids[behind], buckets)], schema=_ASKED)
 
     return run
@@ -230,11 +234,14 @@ def frequent_phrases(docs: DataFrame, least: int = 10, longest: int = 3) -> tupl
 
     Every phrase's words and beginnings are as frequent, so only frequent ones are extended.
     """
-    index = written(inverted_lists(docs), "index")
+    with arrow_batches(docs.sparkSession, 1_000):
+        index = written(inverted_lists(docs), "index")
     words = index.where("word is not null")
     counted = written(words.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     named = written(with_position(counted.where(F.col("f") >= least), ["lang", "word"]), "frequent_words")
+    if (named.agg(F.max("__pos")).first()[0] or 0) >= 1 << 31:
+        raise ValueError("more frequent words than 32 bits can name")
     whole = counted.agg(F.sum("f").alias("n")).first()["n"] or 0
     buckets = max(8, -(-whole // BUCKET_ENTRIES))
 
