@@ -17,6 +17,7 @@ from tessera.functions.distributions import normal_quantile
 from tessera.functions.math import missing, valid
 from tessera.operators.describe import correlation, median_absolute_deviation, modes, quantiles, ranked
 from tessera.operators.frame import running_before
+from tessera.operators.neighbours import nearest_rows, start_centres, vector
 from tessera.sources.scratch import written
 
 #: Strata whose starts are broadcast, and folds that are fitted one after another, at most.
@@ -325,8 +326,18 @@ def outliers(df: DataFrame, column: str, how: str = "zscore", threshold: float =
 # Clustering and projection.
 
 
-def kmeans(df: DataFrame, columns: list[str], centres: list[list[float]], rounds: int = 20, tolerance: float = 1e-6) -> tuple[DataFrame, list[list[float]]]:
-    """Lloyd's algorithm from given centres: each round is one map and one k-row aggregation. Returns df with ``cluster``, and the centres."""
+def kmeans(df: DataFrame, columns: list[str], centres: list[list[float]] | None = None, rounds: int = 20, tolerance: float = 1e-6, k: int | None = None, key: str | None = None, seed: int = 0, start: str = "parallel") -> tuple[DataFrame, list[list[float]]]:
+    """Lloyd's algorithm: each round is one map and one k-row aggregation. Returns df with ``cluster``, and the centres.
+
+    Starts from given centres, or from ``k`` drawn by ``neighbours.start_centres``
+    (``start``: parallel, plusplus or random), hashed from the rows' ``key``.
+    """
+    if centres is None:
+        if k is None or key is None:
+            raise ValueError("centres, or k and key, are needed")
+        centres = start_centres(df, columns, k, key, seed, start)
+        if not centres:
+            raise ValueError("no row has all values")
 
     def assigned(c: list[list[float]]) -> DataFrame:
         d = F.array(*[sum((((F.col(x) - v) ** 2) for x, v in zip(columns, m, strict=True)), F.lit(0.0)) for m in c])
@@ -410,19 +421,23 @@ def impute_simple(df: DataFrame, columns: list[str], strategy: str = "mean", fil
     return df.withColumns({c: F.coalesce(valid(F.col(c)), F.lit(float(v))) for c, v in zip(columns, values, strict=True)})
 
 
-def impute_knn(df: DataFrame, target: str, features: list[str], key: str, k: int = 5, cell: float | None = None) -> DataFrame:
-    """The mean target of the k nearest rows (euclidean over ``features``) for rows that lack it.
+def impute_knn(df: DataFrame, target: str, features: list[str], key: str, k: int = 5, metric: str = "euclidean", weighted: bool = False) -> DataFrame:
+    """The mean target of the k nearest rows (euclidean or manhattan over ``features``) for rows that lack it.
 
-    Only rows that lack the value are matched against the donors, in blocks;
-    each keeps its k best before the results meet.
+    Neighbours are exact, see ``neighbours.nearest_rows``: equi-joins on pivots
+    and rings, no row meets all donors. ``weighted`` divides by distance, an
+    equal row then decides alone. Rows that lack a feature stay as they are.
     """
-    donors = df.where(~missing(F.col(target))).select(F.array(*[F.col(f).cast("double") for f in features]).alias("__f"), F.col(target).cast("double").alias("__t"), F.col(key).alias("__dk"))
-    asked = df.where(missing(F.col(target))).select(F.col(key).alias("__k"), F.array(*[F.col(f).cast("double") for f in features]).alias("__q"))
-    dist = F.aggregate(F.zip_with("__f", "__q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    pairs = donors.join(F.broadcast(asked) if asked.limit(10_001).count() <= 10_000 else asked, dist >= 0)
-    best = pairs.select("__k", "__t", "__dk", dist.alias("__d")).withColumn("__r", F.row_number().over(Window.partitionBy("__k").orderBy("__d", "__dk"))).where(F.col("__r") <= k)
-    means = best.groupBy("__k").agg(F.avg("__t").alias("__m"))
-    return df.join(means, F.col(key) == F.col("__k"), "left").withColumn(target, F.coalesce(valid(F.col(target)), F.col("__m"))).drop("__k", "__m")
+    donors = df.where(~missing(F.col(target)))
+    met = nearest_rows(df.where(missing(F.col(target))), donors, features, key, k, metric, target).withColumnRenamed("__v", "__t")
+    d = F.sqrt("__d") if metric == "euclidean" else F.col("__d")
+    if weighted:
+        mean = F.coalesce(F.avg(F.when(d == 0, F.col("__t"))), F.sum(F.when(d > 0, F.col("__t") / d)) / F.sum(F.when(d > 0, 1 / d)))
+    else:
+        mean = F.avg("__t")
+    means = met.groupBy("__k", "__x").agg(mean.alias("__m"))
+    own = F.col(key).eqNullSafe(F.col("__k")) & (vector(features) == F.col("__x")) & missing(F.col(target))
+    return df.join(means, own, "left").withColumn(target, F.coalesce(valid(F.col(target)), F.col("__m"))).drop("__k", "__x", "__m")
 
 
 def impute_chained(df: DataFrame, columns: list[str], rounds: int = 5, ridge: float = 1e-6) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.math import valid
+from tessera.operators.frame import running_before
 
 
 def _w(keys: list[str], order: list[str]):
@@ -245,12 +246,75 @@ def seasonal_period(df: DataFrame, column: str, lags: int, order: list[str], key
     return acf.groupBy(*keys).agg(F.max_by(F.when((F.col("lag") >= 2) & (F.col("acf") > threshold), F.col("lag")), F.when((F.col("lag") >= 2) & (F.col("acf") > threshold), F.col("acf"))).alias("period"))
 
 
+def seasonal_periods(df: DataFrame, column: str, order: list[str], keys: list[str], most: int = 3, longest: int = 50, threshold: float = 0.3) -> DataFrame:
+    """(keys, place, period, score): up to ``most`` seasonal periods, the strongest first (place 1).
+
+    Scores are absolute autocorrelations at the lags 2 to ``longest``, at most
+    half the rows. Lags are taken by score, ties by the shorter, and left out
+    within one step of a multiple (up to 6) of one taken before, or if one taken
+    is such a multiple of theirs. Below ``threshold`` nothing is taken, but if
+    nothing reaches it, the one best lag is. Series of fewer than 6 rows have none.
+    """
+    acf = autocorrelation(df, column, longest, order, keys)
+    rows = df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    scored = acf.join(rows, on).where((F.col("__n") >= 6) & (F.col("lag") >= 2) & (F.col("lag") <= F.floor(F.col("__n") / 2)) & F.col("acf").isNotNull())
+    return _spread(scored.select(*keys, F.col("lag").cast("int").alias("period"), F.abs("acf").alias("score")), keys, most, threshold)
+
+
+def _spread(scored: DataFrame, keys: list[str], most: int, threshold: float) -> DataFrame:
+    """(keys, place, period, score) of the best (period, score) rows that are no harmonics of each other."""
+    first = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("period").alias("p"))))  # as many as there are lags
+    ranked = scored.groupBy(*keys).agg(first.alias("all"))
+    times = F.sequence(F.lit(1), F.lit(6))
+    near = lambda p, q: F.exists(times, lambda k: (F.abs(p - k * q) <= 1) | (F.abs(q - k * p) <= 1))
+    start = F.slice(F.col("all"), 1, 0)
+    taken = F.aggregate(
+        F.filter(F.col("all"), lambda x: -x["s"] >= threshold),
+        start,
+        lambda got, x: F.when((F.size(got) >= most) | F.exists(got, lambda y: near(x["p"], y["p"])), got).otherwise(F.concat(got, F.array(x))),
+    )
+    chosen = F.when(F.size(taken) > 0, taken).otherwise(F.slice(F.col("all"), 1, 1))
+    return ranked.select(*keys, F.posexplode(chosen).alias("i", "x")).select(*keys, (F.col("i") + 1).alias("place"), F.col("x.p").alias("period"), (-F.col("x.s")).alias("score"))
+
+
+def periodogram(df: DataFrame, column: str, periods: list[int], order: list[str], keys: list[str]) -> DataFrame:
+    """(keys, period, power): the share of the variance that a sine of that period explains.
+
+    One aggregation of products with sines and cosines of the row's position; a
+    position comes from running sums, so one endless series is no single task.
+    """
+    spots = running_before(df.select(*keys, *order, F.col(column).cast("double").alias("__x")), [*keys, *order], {"__t": F.lit(1).cast("long")})
+    ends = spots.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.avg("__x").alias("__m"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    x, t = F.col("__x") - F.col("__m"), F.col("__t")
+    turn = lambda p: 2 * math.pi * (t % p) / p  # noqa: E731  phases cancel, so any start will do
+    sums = [F.struct(F.lit(p).alias("period"), (F.pow(F.sum(x * F.cos(turn(p))), F.lit(2)) + F.pow(F.sum(x * F.sin(turn(p))), F.lit(2))).alias("c")) for p in periods]
+    found = spots.join(F.broadcast(ends) if not keys else ends, on).groupBy(*keys).agg(F.array(*sums).alias("m"), F.sum(x * x).alias("__v"), F.count("__x").alias("__n"))
+    flat = found.select(*keys, "__v", "__n", F.inline("m"))
+    scale = F.when(F.col("period") == 2, 1.0).otherwise(2.0)
+    return flat.select(*keys, "period", (scale * F.col("c") / F.col("__n") / F.nullif(F.col("__v"), F.lit(0.0))).alias("power"))
+
+
+def spectral_periods(df: DataFrame, column: str, order: list[str], keys: list[str], most: int = 3, longest: int = 50, threshold: float = 0.05) -> DataFrame:
+    """(keys, place, period, score) as ``seasonal_periods``, by the share of variance in the periodogram."""
+    power = periodogram(df, column, list(range(2, longest + 1)), order, keys).where("power is not null")
+    return _spread(power.select(*keys, "period", F.col("power").alias("score")), keys, most, threshold)
+
+
 def linear_trend(df: DataFrame, column: str, order: list[str], keys: list[str]) -> DataFrame:
-    """Adds ``trend`` (least squares over row position) and ``detrended``."""
+    """Adds ``trend`` (least squares over row position) and ``detrended``; null keys are a series too."""
     t = (F.row_number().over(_w(keys, order)) - 1).cast("double")
     rows = df.withColumn("__t", t)
-    fit = rows.groupBy(*keys).agg(F.regr_slope(F.col(column).cast("double"), "__t").alias("__s"), F.regr_intercept(F.col(column).cast("double"), "__t").alias("__i"))
-    return rows.join(fit, keys).withColumn("trend", F.col("__i") + F.col("__s") * F.col("__t")).withColumn("detrended", F.col(column) - F.col("trend")).drop("__t", "__s", "__i")
+    fit = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.regr_slope(F.col(column).cast("double"), "__t").alias("__s"), F.regr_intercept(F.col(column).cast("double"), "__t").alias("__i"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return rows.join(fit, on).withColumn("trend", F.col("__i") + F.col("__s") * F.col("__t")).withColumn("detrended", F.col(column) - F.col("trend")).drop("__t", "__s", "__i", *[f"__{k}" for k in keys])
 
 
 def infer_frequency(df: DataFrame, ts: str, keys: list[str]) -> DataFrame:

@@ -1099,3 +1099,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in _FOUND.items() if sql}
+
+
+from tessera.plans import numeric_queries  # noqa: E402, F401  (registers its queries)
