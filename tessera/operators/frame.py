@@ -6,11 +6,13 @@ the columns that define it; positions are then materialised as ``__pos``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.math import missing
+from tessera.functions.math import missing, valid
 
 POS = "__pos"
 #: Rows of a part that one task numbers, and how many parts there are at most.
@@ -72,6 +74,41 @@ def with_position(df: DataFrame, order: list[str]) -> DataFrame:
     return running_before(df, order, {POS: F.lit(1).cast("long")})
 
 
+#: Rows of a block of an unkeyed window, besides the neighbours that it copies.
+BLOCK_ROWS = 100_000
+
+
+def by_blocks(df: DataFrame, order: list[str], before: int, after: int, f: Callable[[DataFrame, list[str], list[str]], DataFrame]) -> DataFrame:
+    """``f(rows, order, keys)`` over one endless ordered table, for results that look at ``before`` rows back and ``after`` ahead.
+
+    Rows are numbered, cut into blocks by position, and each block gets a copy of
+    its neighbours; ``f`` then works block by block (the key) and the copies go.
+    So no window sees the whole table. Copies are ``before + after`` rows a block.
+    """
+    placed = with_position(df, order)
+    size = max(BLOCK_ROWS, before + after)
+    first, last = F.greatest(F.lit(0).cast("long"), F.floor((F.col(POS) - after) / size)), F.floor((F.col(POS) + before) / size)
+    dealt = placed.withColumn("__block", F.explode(F.sequence(first, last)))
+    return f(dealt, [POS], ["__block"]).where(F.col("__block") == F.floor(F.col(POS) / size)).drop(POS, "__block")
+
+
+def carried(df: DataFrame, value: Column, order: list[str], forward: bool = True) -> DataFrame:
+    """Adds ``__near``: the last (or next) value that is not null up to each row of one endless ordered table, the row included.
+
+    Each part settles its own rows; what reaches over its edge is one value a
+    part, carried on over the few parts.
+    """
+    dealt = df.withColumns({"__part": _part(df, order, _cuts(df, order)), "__value": value})
+    pick, span = (F.last, (Window.unboundedPreceding, 0)) if forward else (F.first, (0, Window.unboundedFollowing))
+    inside = pick("__value", ignorenulls=True).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(*span))
+    there = F.when(F.col("__value").isNotNull(), F.struct(*order))
+    ends = dealt.groupBy("__part").agg((F.max_by if forward else F.min_by)("__value", there).alias("__end"))
+    outside = (Window.unboundedPreceding, -1) if forward else (1, Window.unboundedFollowing)
+    edge = ends.select(F.col("__part").alias("__p"), pick("__end", ignorenulls=True).over(Window.orderBy("__part").rowsBetween(*outside)).alias("__edge"))  # a row a part
+    near = dealt.withColumn("__near", inside).join(F.broadcast(edge), F.col("__part") == F.col("__p"))
+    return near.withColumn("__near", F.coalesce("__near", "__edge")).drop("__part", "__value", "__p", "__edge")
+
+
 def slice_rows(df: DataFrame, start: int, end: int, order: list[str]) -> DataFrame:
     """Rows [start, end) in ``order``, clamped."""
     start, end = max(0, start), max(0, end)
@@ -272,9 +309,13 @@ def fill_constant(df: DataFrame, column: str, value) -> DataFrame:
 
 
 def fill_direction(df: DataFrame, column: str, order: list[str], keys: list[str] | None = None, forward: bool = True, limit: int | None = None) -> DataFrame:
-    """The last (or next) value present, by key in ``order``, over at most ``limit`` missing rows."""
+    """The last (or next) value present, by key in ``order``, over at most ``limit`` missing rows. Without keys, by parts of the one series."""
     value = F.when(~missing(F.col(column)), F.col(column))
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
+    if not keys and limit is None:
+        return carried(df, value, order, forward).withColumn(column, F.col("__near")).select(*df.columns)
+    if not keys:
+        return by_blocks(df, order, limit if forward else 0, 0 if forward else limit, lambda d, o, k: fill_direction(d, column, o, k, forward, limit)).select(*df.columns)
+    w = Window.partitionBy(*keys).orderBy(*order)
     span = ((Window.unboundedPreceding if limit is None else -limit), 0) if forward else (0, (Window.unboundedFollowing if limit is None else limit))
     pick = F.last(value, ignorenulls=True) if forward else F.first(value, ignorenulls=True)
     return df.withColumn(column, F.coalesce(value, pick.over(w.rowsBetween(*span))))
@@ -316,8 +357,10 @@ def _rows(keys: list[str], order: list[str]):
 def rolling(df: DataFrame, column: str, window: int, how: str, order: list[str], keys: list[str], name: str | None = None, minimum: int | None = None) -> DataFrame:
     """sum, mean, min, max, std or var of the last ``window`` rows; null before ``minimum`` (default: ``window``) rows are there.
 
-    Missing values inside a window are skipped.
+    Missing values inside a window are skipped. Without keys, the one series is cut into blocks with neighbours.
     """
+    if not keys:
+        return by_blocks(df, order, max(window, minimum or 0) - 1, 0, lambda d, o, k: rolling(d, column, window, how, o, k, name, minimum))
     w = _rows(keys, order)
     value = F.when(~missing(F.col(column)), F.col(column).cast("double"))
     f = (AGGREGATES | {"std": F.stddev_samp, "var": F.var_samp})[how](value).over(w.rowsBetween(-(window - 1), 0))
@@ -325,26 +368,34 @@ def rolling(df: DataFrame, column: str, window: int, how: str, order: list[str],
 
 
 def shift(df: DataFrame, column: str, periods: int, order: list[str], keys: list[str], name: str | None = None) -> DataFrame:
+    if not keys:
+        return by_blocks(df, order, max(periods, 0), max(-periods, 0), lambda d, o, k: shift(d, column, periods, o, k, name))
     return df.withColumn(name or f"{column}_shift", F.lag(column, periods).over(_rows(keys, order)))
 
 
 def difference(df: DataFrame, column: str, period: int, order: list[str], keys: list[str], name: str | None = None) -> DataFrame:
     """x_t - x_(t-period); rows without a predecessor are dropped."""
     name = name or f"{column}_diff"
+    if not keys:
+        return by_blocks(df, order, max(period, 0), max(-period, 0), lambda d, o, k: difference(d, column, period, o, k, name))
     return df.withColumn(name, F.col(column) - F.lag(column, period).over(_rows(keys, order))).where(F.col(name).isNotNull())
 
 
 def cumulative(df: DataFrame, column: str, how: str, order: list[str], keys: list[str], name: str | None = None) -> DataFrame:
-    """Running sum or product."""
-    w = _rows(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    c = F.col(column).cast("double")
-    if how == "sum":
-        f = F.sum(c).over(w)
+    """Running sum or product; missing values add nothing. Without keys, from running sums by parts."""
+    c = valid(F.col(column))
+    parts = {"sum": c} if how == "sum" else {"log": F.log(F.nullif(F.abs(c), F.lit(0.0))), "odd": (c < 0).cast("long"), "zero": (c == 0).cast("long")}
+    name = name or f"{column}_cum{how}"
+    if keys:
+        w = _rows(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+        upto, n = {k: F.sum(x).over(w) for k, x in parts.items()}, F.count(c).over(w)
+        rows = df
     else:
-        odd = F.sum((c < 0).cast("int")).over(w) % 2
-        zero = F.max((c == 0).cast("int")).over(w)
-        f = F.when(zero == 1, 0.0).otherwise(F.exp(F.sum(F.log(F.nullif(F.abs(c), F.lit(0.0)))).over(w)) * (1 - 2 * odd))
-    return df.withColumn(name or f"{column}_cum{how}", f)
+        weights = {f"__{k}": F.coalesce(x, F.lit(0).cast("double" if k in ("sum", "log") else "long")) for k, x in parts.items()}
+        rows = running_before(df, order, weights | {"__n": c.isNotNull().cast("long")})
+        upto, n = {k: F.col(f"__{k}") + weights[f"__{k}"] for k in parts}, F.col("__n") + c.isNotNull().cast("long")
+    f = upto["sum"] if how == "sum" else F.when(upto["zero"] > 0, 0.0).otherwise(F.exp(F.coalesce(upto["log"], F.lit(0.0))) * (1 - 2 * (upto["odd"] % 2)))
+    return rows.withColumn(name, F.when(n > 0, f)).select(*[x for x in df.columns if x != name], name)
 
 
 def resample(df: DataFrame, ts: str, column: str, every: str, how: str, keys: list[str] | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.math import valid
-from tessera.operators.frame import running_before
+from tessera.operators.frame import _cuts, _part, running_before
 
 
 def _w(keys: list[str], order: list[str]):
@@ -68,37 +68,93 @@ def per_series(df: DataFrame, keys: list[str], order: list[str], column: str, na
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
-def _ema(x: np.ndarray, alpha: float) -> np.ndarray:
-    out, s = np.empty(len(x)), math.nan
-    for i, v in enumerate(x):
-        s = v if math.isnan(s) else s if math.isnan(v) else alpha * v + (1 - alpha) * s
-        out[i] = s
-    return out
+def linear_scan(df: DataFrame, column: str, step: list[list[float]], gain: list[float], order: list[str], keys: list[str], name: str, two: bool = False) -> DataFrame:
+    """Adds ``name`` from a state z that each present value x moves to ``step`` z + ``gain`` x; missing values leave it.
 
+    The first present value starts the state; with ``two`` it is (level, trend),
+    the trend being the slope to the second one, the output their sum, and
+    series of fewer than two values have none. Else the output is the state,
+    null before the first value (with ``two``: the first value).
 
-def exponential_average(df: DataFrame, column: str, alpha: float, order: list[str], keys: list[str]) -> DataFrame:
-    """Adds ``ema``; missing values carry the last average on."""
-    return per_series(df, keys, order, column, ["ema"], lambda x: {"ema": _ema(x, alpha)})
+    Series are cut into parts by sampled bounds. A part is summed up by how many
+    values it has, its first two and the state that the rest would reach from
+    zero; since the step is linear, these few rows of a series give every part
+    its first state, and the parts are then run side by side. So one endless
+    series is no single task.
+    """
+    a, c = np.array(step, dtype=float), np.array(gain, dtype=float)
+    size, columns = len(c), df.columns
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    kinds += ", " if keys else ""
+    cuts = _cuts(df, [*keys, *order])
+    dealt = df.withColumn("__part", _part(df, [*keys, *order], cuts)).withColumn("__x", F.col(column).cast("double"))
+
+    def reach(z: list[float], x: np.ndarray) -> list[float]:
+        for v in x.tolist():
+            z = [sum(a[i, j] * z[j] for j in range(size)) + c[i] * v for i in range(size)]
+        return z
+
+    def sum_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(order, kind="stable")["__x"].to_numpy(dtype=float)
+        there = np.flatnonzero(~np.isnan(x))
+        row = {k: [pdf[k].iloc[0]] for k in keys} | {"__part": [pdf["__part"].iloc[0]], "n": [len(x)], "m": [len(there)], "at": [there[:2].tolist()], "first": [x[there[:2]].tolist()], "rest": [reach([0.0] * size, x[there[1:]])]}
+        return pd.DataFrame(row)
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__part")
+        seen, before = [], 0
+        rows = pdf.to_dict("records")
+        for r in rows:
+            seen += [(before + i, x) for i, x in zip(r["at"], r["first"], strict=True)]
+            before += r["n"]
+        seen, out, z = seen[:2], [], None
+        begin = None
+        if len(seen) > two:
+            begin = [seen[0][1], (seen[1][1] - seen[0][1]) / (seen[1][0] - seen[0][0])] if two else [seen[0][1]]
+        for r in rows:
+            out.append({**{k: r[k] for k in keys}, "__part": r["__part"], "__begin": begin, "__state": z})
+            if begin is not None and r["m"]:
+                z = np.array(begin) if z is None else a @ np.array(z) + c * r["first"][0]
+                z = (np.linalg.matrix_power(a, r["m"] - 1) @ z + np.array(r["rest"])).tolist()
+        return pd.DataFrame(out)[[*keys, "__part", "__begin", "__state"]]
+
+    sums = dealt.select(*keys, *order, "__part", "__x").groupBy(*keys, "__part").applyInPandas(sum_up, f"{kinds}__part int, n long, m long, at array<long>, first array<double>, rest array<double>")
+    starts = sums.groupBy(*keys).applyInPandas(carry, f"{kinds}__part int, __begin array<double>, __state array<double>")  # a row a part
+    starts = starts.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__part").alias("__p"), "__begin", "__state")
+    on = F.col("__part") == F.col("__p")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    ready = dealt.join(starts, on).select(*df.columns, "__part", "__x", "__begin", "__state")
+    schema = type(df.schema)(list(df.schema.fields)).add(name, "double")
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
+        begin, z = pdf["__begin"].iloc[0], pdf["__state"].iloc[0]
+        out = np.full(len(pdf), math.nan)
+        if begin is not None:
+            z = None if z is None else list(z)
+            for i, v in enumerate(pdf["__x"].tolist()):
+                if not math.isnan(v):
+                    fresh = z is None
+                    z = list(begin) if fresh else reach(z, np.array([v]))
+                    out[i] = begin[0] if fresh and two else sum(z) if two else z[0]
+                elif z is not None:
+                    out[i] = sum(z) if two else z[0]
+                elif two:
+                    out[i] = begin[0]
+        return pdf[columns].assign(**{name: out})
+
+    return ready.groupBy(*keys, "__part").applyInPandas(run, schema)
 
-def _holt(x: np.ndarray, alpha: float, beta: float) -> np.ndarray:
-    there = np.flatnonzero(~np.isnan(x))
-    if len(there) < 2:
-        return np.full(len(x), np.nan)
-    start = there[0]
-    level, trend = x[start], (x[there[1]] - x[start]) / (there[1] - start)
-    out = np.full(len(x), level)
-    for t in range(start + 1, len(x)):
-        if not math.isnan(x[t]):
-            before, level = level, alpha * x[t] + (1 - alpha) * (level + trend)
-            trend += beta * (level - before - trend)
-        out[t] = level + trend
-    return out
+
+def exponential_average(df: DataFrame, column: str, alpha: float, order: list[str], keys: list[str]) -> DataFrame:
+    """Adds ``ema``; missing values carry the last average on. Long series are run in parts, see ``linear_scan``."""
+    return linear_scan(df, column, [[1 - alpha]], [alpha], order, keys, "ema")
 
 
 def holt(df: DataFrame, column: str, alpha: float, beta: float, order: list[str], keys: list[str]) -> DataFrame:
-    """Adds ``holt``, level plus trend of double exponential smoothing; missing values keep both, series of less than two values have none."""
-    return per_series(df, keys, order, column, ["holt"], lambda x: {"holt": _holt(x, alpha, beta)})
+    """Adds ``holt``, level plus trend of double exponential smoothing; missing values keep both, series of less than two values have none. Long series are run in parts."""
+    return linear_scan(df, column, [[1 - alpha, 1 - alpha], [-alpha * beta, 1 - alpha * beta]], [alpha, alpha * beta], order, keys, "holt", two=True)
 
 
 def _holt_winters(x: np.ndarray, alpha: float, beta: float, gamma: float, m: int, multiplicative: bool) -> np.ndarray:

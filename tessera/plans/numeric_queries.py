@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import exact as EX
+from tessera.operators import factor as FA
+from tessera.operators import frame as FR
 from tessera.operators import inference as I
 from tessera.operators import neighbours as NB
 from tessera.operators import series as TS
-from tessera.plans.queries import query, rounded
+from tessera.plans.queries import gappy, query, rounded
 from tessera.sources import generate as G
 
 _U = "((CAST(('0x' || substr(md5('{0}:' || {1} || ':' || p_partkey), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0)"
@@ -122,3 +124,76 @@ def series_periods(t, s):
 SELECT k, CAST(q AS INTEGER) AS period, round(any_value(CASE WHEN q = 2 THEN 1.0 ELSE 2.0 END) * (pow(sum(d * cos(2 * pi() * (t % q) / q)), 2) + pow(sum(d * sin(2 * pi() * (t % q) / q)), 2)) / count(*) / sum(d * d), 6) AS power FROM p, range(2, 15) r(q) GROUP BY k, q""")
 def series_periodogram(t, s):
     return rounded(TS.periodogram(_daily(t), "x", list(range(2, 15)), ["day"], ["k"]), 6)
+
+
+# One endless series: windows without keys, scans in parts.
+
+_GAPS = "(SELECT event_id, ts, CASE WHEN event_id % 7 <> 0 THEN value END AS value FROM events)"
+
+
+@query(f"SELECT event_id, coalesce(value, last_value(value IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS value FROM {_GAPS}")
+def missing_ffill_all(t, s):
+    return FR.fill_direction(gappy(t), "value", ["ts", "event_id"]).select("event_id", "value")
+
+
+@query(f"SELECT event_id, coalesce(value, first_value(value IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)) AS value FROM {_GAPS}")
+def missing_bfill_all(t, s):
+    return FR.fill_direction(gappy(t), "value", ["ts", "event_id"], forward=False, limit=1).select("event_id", "value")
+
+
+@query(f"SELECT event_id, round(CASE WHEN row_number() OVER (ORDER BY ts, event_id) >= 25 THEN avg(value) OVER (ORDER BY ts, event_id ROWS 24 PRECEDING) END, 4) AS rolled FROM {_GAPS}")
+def window_rolling_all(t, s):
+    return rounded(FR.rolling(gappy(t), "value", 25, "mean", ["ts", "event_id"], [], "rolled").select("event_id", "rolled"))
+
+
+@query("SELECT event_id, lag(value, 3) OVER (ORDER BY ts, event_id) AS before, lead(value, 2) OVER (ORDER BY ts, event_id) AS after FROM events")
+def window_shift_all(t, s):
+    back = FR.shift(t("events").select("event_id", "ts", "value"), "value", 3, ["ts", "event_id"], [], "before")
+    return FR.shift(back, "value", -2, ["ts", "event_id"], [], "after").select("event_id", "before", "after")
+
+
+@query(f"SELECT event_id, round(sum(value) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2) AS total FROM {_GAPS}")
+def window_cumsum_all(t, s):
+    return rounded(FR.cumulative(gappy(t), "value", "sum", ["ts", "event_id"], [], "total").select("event_id", "total"), 2)
+
+
+@query(f"SELECT event_id, round(exp(sum(ln(1 + value / 1e6)) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), 5) AS growth FROM {_GAPS}")
+def window_cumprod_all(t, s):
+    grown = gappy(t).withColumn("value", 1 + F.col("value") / 1e6)
+    return rounded(FR.cumulative(grown, "value", "prod", ["ts", "event_id"], [], "growth").select("event_id", "growth"), 5)
+
+
+@query("""WITH RECURSIVE p AS MATERIALIZED (SELECT event_id, value, row_number() OVER (ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error'),
+s AS (SELECT event_id, n, value AS z FROM p WHERE n = 1 UNION ALL SELECT p.event_id, p.n, 0.3 * p.value + 0.7 * s.z FROM s JOIN p ON p.n = s.n + 1)
+SELECT event_id, round(z, 4) AS ema FROM s""")
+def series_exponential_all(t, s):
+    return rounded(TS.exponential_average(t("events").where("event_type = 'error'").select("event_id", "ts", "value"), "value", 0.3, ["ts", "event_id"], []).select("event_id", "ema"))
+
+
+# Tall factorisations.
+
+
+@query("""WITH m AS (SELECT avg(l_quantity) AS ma, avg(l_discount) AS mb, avg(l_extendedprice) AS my FROM lineitem),
+c AS (SELECT sum((l_quantity - ma) * (l_quantity - ma)) AS aa, sum((l_quantity - ma) * (l_discount - mb)) AS ab, sum((l_discount - mb) * (l_discount - mb)) AS bb, sum((l_quantity - ma) * (l_extendedprice - my)) AS ay, sum((l_discount - mb) * (l_extendedprice - my)) AS dy FROM lineitem, m),
+b AS (SELECT (ay * bb - dy * ab) / (aa * bb - ab * ab) AS b1, (dy * aa - ay * ab) / (aa * bb - ab * ab) AS b2 FROM c)
+SELECT 'intercept' AS term, round(my - b1 * ma - b2 * mb, 3) AS coefficient FROM b, m UNION ALL SELECT 'l_quantity', round(b1, 3) FROM b UNION ALL SELECT 'l_discount', round(b2, 3) FROM b""")
+def model_tall_regression(t, s):
+    return rounded(FA.tall_regression(t("lineitem"), "l_extendedprice", ["l_quantity", "l_discount"]).select("term", "coefficient"), 3)
+
+
+@query("""WITH c AS (SELECT sqrt(sum(l_quantity * l_quantity)) AS r11, sum(l_quantity * l_extendedprice) / sqrt(sum(l_quantity * l_quantity)) AS r12, sum(l_extendedprice * l_extendedprice) AS q FROM lineitem)
+SELECT round(r11, 3) AS r11, round(r12, 1) AS r12, round(sqrt(q - r12 * r12), 1) AS r22 FROM c""")
+def matrix_tall_qr(t, s):
+    r = FA.tall_qr(t("lineitem"), ["l_quantity", "l_extendedprice"])
+    return s.createDataFrame([(float(r[0, 0]), float(r[0, 1]), float(r[1, 1]))], "r11 double, r12 double, r22 double").select(F.round("r11", 3).alias("r11"), F.round("r12", 1).alias("r12"), F.round("r22", 1).alias("r22"))
+
+
+@query("""WITH x AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS a, p_retailprice / 50 AS b FROM part),
+c AS (SELECT avg(a) AS ma, avg(b) AS mb, var_samp(a) AS aa, covar_samp(a, b) AS ab, var_samp(b) AS bb FROM x),
+l AS (SELECT *, (aa + bb) / 2 + sqrt((aa - bb) * (aa - bb) / 4 + ab * ab) AS top FROM c),
+v AS (SELECT *, ab / sqrt(ab * ab + (top - aa) * (top - aa)) AS v1, (top - aa) / sqrt(ab * ab + (top - aa) * (top - aa)) AS v2 FROM l)
+SELECT p_partkey, round(ma + ((a - ma) * v1 + (b - mb) * v2) * v1, 4) AS a_back, round(mb + ((a - ma) * v1 + (b - mb) * v2) * v2, 4) AS b_back FROM x, v""")
+def model_pca_inverse(t, s):
+    x = t("part").select("p_partkey", F.col("p_size").cast("double").alias("a"), (F.col("p_retailprice") / 50).alias("b"))
+    model = FA.fit_components(x, ["a", "b"], 1)
+    return rounded(FA.from_components(FA.to_components(x, model), model).select("p_partkey", "a_back", "b_back"))
