@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.math import missing, valid
@@ -92,34 +92,43 @@ def _same_keys(left: list[str], right: list[str]) -> Column:
     return on
 
 
-def _counted(df: DataFrame, column: str | Column, keys: list[str]) -> DataFrame:
-    """A written table of (keys, __v, __n): how often each value occurs."""
+def counted(df: DataFrame, column: str | Column, keys: list[str] | None = None) -> DataFrame:
+    """A written table of (keys, __v, __n): how often each value occurs. Serves ``quantiles`` and ``modes`` alike."""
     c = F.col(column) if isinstance(column, str) else column
-    return written(df.withColumn("__v", valid(c)).where("__v is not null").groupBy(*keys, "__v").agg(F.count("*").alias("__n")), "counts")
+    return written(df.withColumn("__v", valid(c)).where("__v is not null").groupBy(*(keys or []), "__v").agg(F.count("*").alias("__n")), "counts")
 
 
-def quantiles(df: DataFrame, column: str | Column, qs: dict[str, float], keys: list[str] | None = None) -> DataFrame:
+def quantiles(df: DataFrame, column: str | Column, qs: dict[str, float], keys: list[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
     """One row per key with values (without keys: one row at all): each named quantile, exact, linearly interpolated.
 
-    Distinct values are counted and their positions come from running sums by
-    part, so no task or buffer holds all values of a key.
+    Distinct values are counted (``counts``, if that was done before) and the
+    counts summed by key and part of the value range. The sums tell which parts
+    hold the wanted places; only the values of these parts are sorted.
     """
     keys = keys or []
-    counts = _counted(df, column, keys)
-    placed = running_before(counts, [*keys, "__v"], {"__low": F.col("__n")})
-    placed = written(placed, "placed")
-    whole = placed.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(F.sum("__n").alias("__t"), F.min("__low").alias("__base"))
-    both = placed.join(whole, _same_keys(keys, [f"__k_{k}" for k in keys])) if keys else placed.crossJoin(F.broadcast(whole))  # one row
-    low = F.col("__low") - F.col("__base")
+    counts = counts if counts is not None else counted(df, column, keys)
+    dealt = counts.withColumn("__part", _part(counts, ["__v"], _cuts(counts, ["__v"])))
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))  # a row a part
+    sums = dealt.groupBy(*keys, "__part").agg(F.sum("__n").alias("__s"))
+    sums = sums.withColumns({"__base": F.sum("__s").over(whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__s"), "__t": F.sum("__s").over(whole)})
     at = {k: F.lit(float(q)) * (F.col("__t") - 1) for k, q in qs.items()}
-    pick = lambda place: F.max(F.when((low <= place) & (place < low + F.col("__n")), F.col("__v")))
-    found = both.groupBy(*keys).agg(*[f for k, p in at.items() for f in (pick(F.floor(p)).alias(f"__a_{k}"), pick(F.ceil(p)).alias(f"__b_{k}"), F.max(p - F.floor(p)).alias(f"__f_{k}"))])
+    within = lambda place, low, n: (low <= place) & (place < low + n)
+    wanted = F.lit(False)
+    for p in at.values():
+        wanted = wanted | within(F.floor(p), F.col("__base"), F.col("__s")) | within(F.ceil(p), F.col("__base"), F.col("__s"))
+    open_ = sums.where(wanted).select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__part").alias("__p"), "__base", "__t")
+    found = dealt.join(open_, _same_keys(keys, [f"__k_{k}" for k in keys]) & (F.col("__part") == F.col("__p")))
+    inside = Window.partitionBy(*keys, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("__low", F.col("__base") + F.sum("__n").over(inside) - F.col("__n"))
+    pick = lambda place: F.max(F.when(within(place, F.col("__low"), F.col("__n")), F.col("__v")))
+    found = found.groupBy(*keys).agg(*[f for k, p in at.items() for f in (pick(F.floor(p)).alias(f"__a_{k}"), pick(F.ceil(p)).alias(f"__b_{k}"), F.max(p - F.floor(p)).alias(f"__f_{k}"))])
     return found.select(*keys, *[(F.col(f"__a_{k}") + (F.col(f"__b_{k}") - F.col(f"__a_{k}")) * F.col(f"__f_{k}")).alias(k) for k in qs])
 
 
-def modes(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
+def modes(df: DataFrame, column: str, keys: list[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
     """(keys, mode): the most frequent value, the smallest of ties."""
-    return _counted(df, column, keys or []).groupBy(*(keys or [])).agg(F.min_by("__v", F.struct(-F.col("__n"), "__v")).alias("mode"))
+    counts = counts if counts is not None else counted(df, column, keys)
+    return counts.groupBy(*(keys or [])).agg(F.min_by("__v", F.struct(-F.col("__n"), "__v")).alias("mode"))
 
 
 def describe(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:

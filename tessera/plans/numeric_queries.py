@@ -8,9 +8,11 @@ from tessera.operators import exact as EX
 from tessera.operators import factor as FA
 from tessera.operators import frame as FR
 from tessera.operators import inference as I
+from tessera.operators import matrix as X
+from tessera.operators import montecarlo as MC
 from tessera.operators import neighbours as NB
 from tessera.operators import series as TS
-from tessera.plans.queries import gappy, query, rounded
+from tessera.plans.queries import add_query, gappy, query, rounded
 from tessera.sources import generate as G
 
 _U = "((CAST(('0x' || substr(md5('{0}:' || {1} || ':' || p_partkey), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0)"
@@ -197,3 +199,109 @@ def model_pca_inverse(t, s):
     x = t("part").select("p_partkey", F.col("p_size").cast("double").alias("a"), (F.col("p_retailprice") / 50).alias("b"))
     model = FA.fit_components(x, ["a", "b"], 1)
     return rounded(FA.from_components(FA.to_components(x, model), model).select("p_partkey", "a_back", "b_back"))
+
+
+_INVERSE = "list_sum([((i // CAST(pow({0}, k) AS BIGINT)) % {0}) / pow({0}, k + 1) for k in range({1})])"
+
+
+@query(f"""WITH b AS (SELECT p_partkey, CAST(p_size AS DOUBLE) / 10 AS hi, p_retailprice / 1000 AS top FROM part WHERE p_partkey % 10 = 0),
+y AS (SELECT p_partkey, i, hi * top * ((hi * {_INVERSE.format(2, 10)}) * (hi * {_INVERSE.format(2, 10)}) + sin(top * {_INVERSE.format(3, 7)})) AS y FROM b, range(1, 513) r(i))
+SELECT p_partkey, CAST(n AS INTEGER) AS samples, round(avg(y), 6) AS value FROM y, (VALUES (64), (512)) s(n) WHERE i <= n GROUP BY p_partkey, n""")
+def integral_halton(t, s):
+    boxes = t("part").where("p_partkey % 10 = 0").select("p_partkey", F.lit(0.0).alias("zero"), (F.col("p_size").cast("double") / 10).alias("hi"), (F.col("p_retailprice") / 1000).alias("top"))
+    found = MC.integrate(boxes, "p_partkey", [("zero", "hi"), ("zero", "top")], lambda x, y: x * x + F.sin(y), 512, "halton", repeats=1, sizes=[64])
+    return rounded(found.select("p_partkey", "samples", "value"), 6)
+
+
+_SU = "((CAST(('0x' || substr(md5('2:0:' || s_suppkey || ':' || i), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0)"
+
+
+@query(f"""WITH b AS (SELECT s_suppkey, s_acctbal AS lo, s_acctbal + 500 AS hi FROM supplier),
+y AS (SELECT s_suppkey, 500 * (sqrt(abs(lo + 500 * u)) + sqrt(abs(lo + 500 * (1 - u)))) / 2 AS y FROM (SELECT *, {_SU} AS u FROM b, range(1, 101) r(i)))
+SELECT s_suppkey, CAST(200 AS INTEGER) AS samples, round(avg(y), 4) AS value, round(stddev_samp(y) / sqrt(count(*)), 4) AS std_error FROM y GROUP BY 1""")
+def integral_antithetic(t, s):
+    boxes = t("supplier").select("s_suppkey", F.col("s_acctbal").alias("lo"), (F.col("s_acctbal") + 500).alias("hi"))
+    return rounded(MC.integrate(boxes, "s_suppkey", [("lo", "hi")], lambda x: F.sqrt(F.abs(x)), 200, "antithetic", seed=2).select("s_suppkey", "samples", "value", "std_error"))
+
+
+# Joins with rows that only one side has.
+
+_LEFT = "(SELECT c_custkey, CAST(floor(c_acctbal / 5) AS BIGINT) AS bucket FROM customer)"
+_RIGHT = "(SELECT s_suppkey, CAST(floor(s_acctbal / 5) AS BIGINT) AS bucket, s_name FROM supplier)"
+
+
+def _one_sided(how: str):
+    def run(t, s):
+        left = t("customer").select("c_custkey", F.floor(F.col("c_acctbal") / 5).alias("bucket"))
+        right = t("supplier").select("s_suppkey", F.floor(F.col("s_acctbal") / 5).alias("bucket"), "s_name")
+        # keys as doubles: absent ones are null in every reader
+        return FR.join(left, right, ["bucket"], how=how).select(*[F.col(c).cast("double").alias(c) for c in ("c_custkey", "bucket", "s_suppkey")], "s_name")
+
+    return run
+
+
+for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
+    add_query(f"join_one_sided_{_how}", _one_sided(_how), f"SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, CAST(l.bucket AS DOUBLE) AS bucket, CAST(s_suppkey AS DOUBLE) AS s_suppkey, s_name FROM {_LEFT} l {_sql} {_RIGHT} r ON l.bucket = r.bucket")
+
+
+# Operators that had no query.
+
+
+@query("""WITH r AS (SELECT l_suppkey % 5 AS t, l_partkey AS b, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2),
+c AS (SELECT * FROM r WHERE b IN (SELECT b FROM r GROUP BY b HAVING count(*) = 5)),
+k AS (SELECT t, rank() OVER (PARTITION BY b ORDER BY v) + (count(*) OVER (PARTITION BY b, v) - 1) / 2.0 AS rk FROM c),
+s AS (SELECT t, sum(rk) AS s, count(*) AS n FROM k GROUP BY t)
+SELECT round(12.0 / (max(n) * count(*) * (count(*) + 1)) * sum(s * s) - 3 * max(n) * (count(*) + 1), 4) AS chi2, CAST(count(*) - 1 AS DOUBLE) AS df FROM s""")
+def test_friedman(t, s):
+    rows = t("lineitem").groupBy((F.col("l_suppkey") % 5).alias("t"), F.col("l_partkey").alias("b")).agg(F.avg("l_extendedprice").alias("v"))
+    whole = rows.groupBy("b").agg(F.count("*").alias("n")).where("n = 5").select("b")
+    return rounded(I.friedman(rows.join(whole, "b", "left_semi"), "b", "t", "v"))
+
+
+@query("""WITH x AS (SELECT l_returnflag AS a, l_linestatus || (l_linenumber % 2) AS b, l_extendedprice / 1000 AS v FROM lineitem),
+c AS (SELECT a, b, count(*) AS n, sum(v) AS s, sum(v * v) AS q FROM x GROUP BY 1, 2),
+g AS (SELECT sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS cell, count(*) AS k FROM c),
+sa AS (SELECT sum(s * s / n) AS ss, count(*) AS k FROM (SELECT a, sum(n) AS n, sum(s) AS s FROM c GROUP BY 1)), sb AS (SELECT sum(s * s / n) AS ss, count(*) AS k FROM (SELECT b, sum(n) AS n, sum(s) AS s FROM c GROUP BY 1)),
+z AS (SELECT sa.ss - g.s * g.s / g.n AS ssa, sb.ss - g.s * g.s / g.n AS ssb, g.cell - sa.ss - sb.ss + g.s * g.s / g.n AS inter, g.q - g.cell AS err, sa.k - 1 AS da, sb.k - 1 AS db, (sa.k - 1) * (sb.k - 1) AS di, g.n - g.k AS de FROM g, sa, sb)
+SELECT 'a' AS source, round(ssa, 2) AS ss, CAST(da AS DOUBLE) AS df FROM z UNION ALL SELECT 'b', round(ssb, 2), CAST(db AS DOUBLE) FROM z UNION ALL SELECT 'interaction', round(inter, 2), CAST(di AS DOUBLE) FROM z UNION ALL SELECT 'error', round(err, 2), CAST(de AS DOUBLE) FROM z""")
+def test_two_way_anova(t, s):
+    x = t("lineitem").select(F.col("l_returnflag").alias("a"), F.concat("l_linestatus", (F.col("l_linenumber") % 2).cast("string")).alias("b"), (F.col("l_extendedprice") / 1000).alias("v"))
+    return rounded(I.anova_twoway(x, "v", "a", "b").select("source", "ss", "df"), 2)
+
+
+@query("""WITH m AS (SELECT avg(l_quantity) AS mx, avg(l_extendedprice) AS my FROM lineitem),
+b AS (SELECT sum((l_quantity - mx) * (l_extendedprice - my)) / (sum((l_quantity - mx) * (l_quantity - mx)) + 100000) AS slope FROM lineitem, m)
+SELECT 'intercept' AS term, round(my - slope * mx, 3) AS coefficient FROM b, m UNION ALL SELECT 'l_quantity', round(slope, 3) FROM b""")
+def model_ridge(t, s):
+    return rounded(I.linear_regression(t("lineitem"), "l_extendedprice", ["l_quantity"], ridge=100_000).select("term", "coefficient"), 3)
+
+
+@query("""WITH p AS (SELECT user_id, value, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events)
+SELECT user_id, round(sum(d * d) / sum(value * value), 6) AS dw FROM p GROUP BY 1""")
+def series_durbin_watson(t, s):
+    return rounded(TS.durbin_watson(t("events").select("event_id", "ts", "user_id", "value"), "value", ["ts", "event_id"], ["user_id"]), 6)
+
+
+@query("""WITH z AS (SELECT event_type, ts, event_id, (value - avg(value) OVER w) / stddev_samp(value) OVER w AS x, (user_id - avg(user_id) OVER w) / stddev_samp(user_id) OVER w AS y FROM events WINDOW w AS (PARTITION BY event_type)),
+p AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM z)
+SELECT a.event_type, CAST(k AS INTEGER) AS lag, round(avg(a.x * b.y), 6) AS ccf FROM p a JOIN range(-3, 4) r(k) ON true JOIN p b ON b.event_type = a.event_type AND b.n = a.n + k GROUP BY 1, 2""")
+def series_cross_correlation(t, s):
+    return rounded(TS.cross_correlation(t("events").select("event_id", "ts", "event_type", "value", F.col("user_id").cast("double").alias("user_id")), "value", "user_id", 3, ["ts", "event_id"], ["event_type"]), 6)
+
+
+@query("""WITH d AS (SELECT DISTINCT event_type, date_trunc('day', ts) AS day FROM events), f AS (SELECT event_type, day, lead(day) OVER (PARTITION BY event_type ORDER BY day) AS nxt, row_number() OVER (PARTITION BY event_type ORDER BY day) AS n FROM d)
+SELECT event_type, CASE WHEN date_diff('hour', day, nxt) = 1 THEN 'H' WHEN date_diff('hour', day, nxt) = 24 THEN 'D' WHEN date_diff('hour', day, nxt) = 168 THEN 'W' ELSE 'IRREGULAR' END AS frequency FROM f WHERE n = 1""")
+def series_infer_frequency(t, s):
+    return TS.infer_frequency(t("events").select("event_type", F.date_trunc("day", "ts").alias("day")).distinct(), "day", ["event_type"])
+
+
+@query("SELECT l_orderkey AS i, l_linenumber AS j, round(sum(l_quantity), 4) AS v FROM lineitem GROUP BY 1, 2")
+def matrix_sum_duplicates(t, s):
+    return rounded(X.sum_duplicates(t("lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_linenumber").alias("j"), F.col("l_quantity").alias("v"))))
+
+
+@query("""SELECT o_orderkey, round(coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END, b.v), 4) AS o_totalprice FROM orders LEFT JOIN (SELECT l_orderkey, max(l_extendedprice) AS v FROM lineitem GROUP BY 1) b ON l_orderkey = o_orderkey""")
+def missing_fill_from(t, s):
+    gaps = t("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("o_totalprice"))
+    other = t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("o_totalprice"))
+    return rounded(FR.fill_from(gaps, other, "o_orderkey", "o_totalprice"))

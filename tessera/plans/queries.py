@@ -38,6 +38,10 @@ def query(sql: str | None):
     return add
 
 
+def add_query(name: str, f: Callable[[Table, SparkSession], DataFrame], sql: str | None) -> None:
+    _FOUND[name] = (f, sql)
+
+
 def r(c: Column | str, n: int = 4) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.round(c.cast("double"), n) + F.lit(0.0)
@@ -481,9 +485,10 @@ _DESC = {
 @query("SELECT l_returnflag, " + ", ".join(f"round({v}, 4) AS {k}" for k, v in _DESC.items()) + ", (SELECT x FROM (SELECT l_extendedprice AS x, count(*) AS n FROM lineitem i WHERE i.l_returnflag = o.l_returnflag GROUP BY 1) ORDER BY n DESC, x LIMIT 1) AS mode FROM (SELECT l_returnflag, l_extendedprice AS x FROM lineitem) o GROUP BY 1")
 def stats_aggregates(t, s):
     x = t("lineitem").select("l_returnflag", "l_extendedprice")
-    q = D.quantiles(x, "l_extendedprice", {"q25": 0.25, "median": 0.5, "q75": 0.75}, ["l_returnflag"])
+    counts = D.counted(x, "l_extendedprice", ["l_returnflag"])
+    q = D.quantiles(x, "l_extendedprice", {"q25": 0.25, "median": 0.5, "q75": 0.75}, ["l_returnflag"], counts)
     q = q.select("l_returnflag", r("median").alias("median"), r(F.col("q75") - F.col("q25")).alias("iqr"))
-    m = D.modes(x, "l_extendedprice", ["l_returnflag"])
+    m = D.modes(x, "l_extendedprice", ["l_returnflag"], counts)
     plain = x.groupBy("l_returnflag").agg(*[r(D.AGGREGATES[k](F.col("l_extendedprice"))).alias(k) for k in _DESC if k in D.AGGREGATES])
     return plain.join(q, "l_returnflag").join(m, "l_returnflag")
 
