@@ -112,3 +112,8 @@ def normal_quantile(p: Column) -> Column:
     middle = (p - 0.5) * _poly(_A, (p - 0.5) * (p - 0.5)) / _poly(_B, (p - 0.5) * (p - 0.5))
     inside = F.when(p < _LOW, tail(F.sqrt(-2 * F.log(p)))).when(p > 1 - _LOW, -tail(F.sqrt(-2 * F.log(1 - p)))).otherwise(middle)
     return F.when((p > 0) & (p < 1), inside)
+
+
+def normal_tail(z: Column) -> Column:
+    """P(Z > z) of a standard normal variable, for small result tables."""
+    return _column(lambda x, _, __: 0.5 * math.erfc(x / math.sqrt(2)))(z)

@@ -7,17 +7,19 @@ size depends on the number of features, never on the number of rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.distributions import normal_quantile
+from tessera.functions.distributions import normal_quantile, normal_tail
 from tessera.functions.math import missing, valid
 from tessera.operators.describe import correlation, median_absolute_deviation, modes, quantiles, ranked
 from tessera.operators.frame import running_before
 from tessera.operators.neighbours import nearest_rows, start_centres, vector
+from tessera.sources.generate import draw_uniform
 from tessera.sources.scratch import written
 
 #: Strata whose starts are broadcast, and folds that are fitted one after another, at most.
@@ -128,14 +130,23 @@ def manova(df: DataFrame, columns: list[str], group: str) -> DataFrame:
 
 
 def shapiro_wilk(df: DataFrame, column: str) -> DataFrame:
-    """One row (w, n): squared correlation of the sorted values with normal scores at (i - 3/8) / (n + 1/4); near 1 for normal data, null for constant or empty columns.
+    """One row (w, n, p_value, p_rough): squared correlation of the sorted values with normal scores at (i - 3/8) / (n + 1/4); near 1 for normal data, null for constant or empty columns.
 
-    Order statistics come from positions over fixed bounds, so any number of rows will do.
+    Order statistics come from positions over fixed bounds, so any number of rows
+    will do. p_value is Royston's normal approximation of ln(1 - w) for this
+    correlation (Shapiro-Francia's), made for 5 to 5,000 values and null outside;
+    p_rough is (1 - w)^2, defined for any number.
     """
     rows = df.select(F.col(column).cast("double").alias("v")).where(~missing(F.col("v")))
     n = rows.count()
     scored = running_before(rows, ["v"], {"i": F.lit(1).cast("long")}).withColumn("z", normal_quantile((F.col("i") + 0.625) / (n + 0.25)))
-    return scored.agg(F.pow(correlation(F.col("v"), F.col("z")), F.lit(2.0)).alias("w"), F.count("*").alias("n"))
+    found = scored.agg(F.pow(correlation(F.col("v"), F.col("z")), F.lit(2.0)).alias("w"), F.count("*").alias("n"))
+    p = F.lit(None).cast("double")
+    if 5 <= n <= 5_000:
+        size = math.log(n)
+        mean, sd = -1.2725 + 1.0521 * (math.log(size) - size), 1.0308 - 0.26758 * (math.log(size) + 2 / size)
+        p = F.when(F.col("w") < 1, normal_tail((F.log(1 - F.col("w")) - mean) / sd)).when(F.col("w") >= 1, 1.0)
+    return found.select("w", "n", p.alias("p_value"), F.pow(1 - F.least("w", F.lit(1.0)), F.lit(2)).alias("p_rough"))
 
 
 # Regression.
@@ -455,21 +466,28 @@ def impute_chained(df: DataFrame, columns: list[str], rounds: int = 5, ridge: fl
 # Resampling.
 
 
+def _row_name(df: DataFrame, key: list[str] | None) -> Column:
+    """What a row's draws are hashed from: its key as text (columns joined by |, null as nothing)."""
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key or df.columns])
+
+
 def bootstrap_means(df: DataFrame, column: str, resamples: int, seed: int = 1, key: list[str] | None = None) -> DataFrame:
     """(resample, mean) by Poisson weights hashed from the row's ``key`` (default: all columns), resample and seed: one pass, no rows copied.
 
     Rows of equal keys get equal weights, so repeated rows need a key of their own.
     """
-    u = lambda i: (F.pmod(F.xxhash64(F.lit(seed), i, F.col("__id")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    steps = [np.exp(-1.0) * sum(1 / np.prod(range(1, j + 1) or [1]) for j in range(k + 1)) for k in range(8)]
-    rows = df.select(F.xxhash64(*(key or df.columns)).alias("__id"), F.col(column).cast("double").alias("__v")).where("__v is not null")
-    each = rows.select("__v", F.explode(F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda i: F.struct(i.alias("resample"), sum(((u(i) >= float(s)).cast("int") for s in steps), F.lit(0)).alias("w")))).alias("x"))
-    return each.where("x.w > 0").groupBy("x.resample").agg((F.sum(F.col("x.w") * F.col("__v")) / F.sum("x.w")).alias("mean"))
+    steps = [math.exp(-1.0) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(8)]
+    rows = df.select(_row_name(df, key).alias("__id"), F.col(column).cast("double").alias("__v")).where("__v is not null")
+    weight = lambda u: sum(((u >= s).cast("int") for s in steps), F.lit(0))
+    each = rows.select("__v", F.explode(F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda i: F.struct(i.alias("resample"), draw_uniform(F.col("__id"), seed, i).alias("u")))).alias("x"))
+    weighed = each.select("__v", "x.resample", weight(F.col("x.u")).alias("w"))
+    return weighed.where("w > 0").groupBy("resample").agg((F.sum(F.col("w") * F.col("__v")) / F.sum("w")).alias("mean"))
 
 
-def bootstrap_interval(df: DataFrame, column: str, resamples: int = 200, confidence: float = 0.95, seed: int = 1) -> DataFrame:
+def bootstrap_interval(df: DataFrame, column: str, resamples: int = 200, confidence: float = 0.95, seed: int = 1, key: list[str] | None = None) -> DataFrame:
+    """One row (low, high): percentiles of the resamples' means."""
     a = (1 - confidence) / 2
-    return bootstrap_means(df, column, resamples, seed).agg(F.percentile("mean", F.lit(a)).alias("low"), F.percentile("mean", F.lit(1 - a)).alias("high"))
+    return bootstrap_means(df, column, resamples, seed, key).agg(F.percentile("mean", F.lit(a)).alias("low"), F.percentile("mean", F.lit(1 - a)).alias("high"))  # a value a resample
 
 
 def time_series_split(df: DataFrame, splits: int, order: list[str]) -> DataFrame:
@@ -521,10 +539,9 @@ def permutation_test(df: DataFrame, column: str, first: Column, resamples: int =
     p-value is the share of differences at least as large. Rows with a missing
     value or a null ``first`` do not count; equal keys are dealt alike.
     """
-    rows = df.select(F.xxhash64(*(key or df.columns)).alias("__id"), F.col(column).cast("double").alias("v"), first.alias("g")).where(~missing(F.col("v")) & F.col("g").isNotNull())
+    rows = df.select(_row_name(df, key).alias("__id"), F.col(column).cast("double").alias("v"), first.alias("g")).where(~missing(F.col("v")) & F.col("g").isNotNull())
     seen = rows.agg(F.avg(F.col("g").cast("double")).alias("share"), (F.avg(F.when(F.col("g"), F.col("v"))) - F.avg(F.when(~F.col("g"), F.col("v")))).alias("d")).first()
-    u = lambda i: (F.pmod(F.xxhash64(F.lit(seed), i, F.col("__id")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    dealt = rows.select("v", F.explode(F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda i: F.struct(i.alias("resample"), (u(i) < float(seen["share"] or 0.0)).alias("g")))).alias("x"))
+    dealt = rows.select("v", F.explode(F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda i: F.struct(i.alias("resample"), (draw_uniform(F.col("__id"), seed, i) < float(seen["share"] or 0.0)).alias("g")))).alias("x"))
     again = dealt.groupBy("x.resample").agg((F.avg(F.when(F.col("x.g"), F.col("v"))) - F.avg(F.when(~F.col("x.g"), F.col("v")))).alias("d"))
     observed = F.lit(seen["d"]).cast("double")
     return again.agg(observed.alias("observed"), F.avg((F.col("d") >= observed).cast("double")).alias("p_value"))
