@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import small_enough, written
+from tessera.llm.store import fresh, small_enough, written
 
 #: Benchmark tables of up to so many fingerprints (16 bytes each) or windows are broadcast, larger ones shuffled.
 BROADCAST_ROWS = 50_000
@@ -140,10 +140,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k
 
     Rows are judged by doc_id and text, nulls included: of rows that share a
     doc_id, or have none, only the contaminated texts go. Null, empty and
-    word-less texts stay; an empty ``benchmark`` drops nothing.
+    word-less texts stay; an empty ``benchmark`` drops nothing. doc_id is a
+    number or the text of one; other texts raise. Other columns may have any name.
     """
-    bad = _judged(docs, benchmark, window, k).where("contaminated").select(F.col("doc_id").alias("__bad"), F.col("__text").alias("__bad_text")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__bad")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__bad_text"))
+    own, text = fresh("__bad", docs.columns), fresh("__bad_text", docs.columns)
+    bad = _judged(docs, benchmark, window, k).where("contaminated").select(F.col("doc_id").alias(own), F.col("__text").alias(text)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64(F.col("text").cast("string")) == F.col(text))
     return docs.join(written(bad, "contaminated"), same, "left_anti")
 
 

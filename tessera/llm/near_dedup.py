@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.store import arrow_batches, texts, written
+from tessera.llm.store import arrow_batches, fresh, texts, written
 from tessera.llm.words import folded, grams, hashed, mix, slices
 
 _CHUNK = 1 << 15
@@ -240,6 +240,9 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, **optio
     Links at ``percent``/100 similarity on ``k``-word shingles. Of repeated rows
     with one doc_id all stay if their id stands for the group. Rows of a null
     doc_id, null, empty and word-less texts stay. An empty table gives no rows.
+    doc_id is a number or the text of one; other texts raise. Other columns may
+    have any name.
     """
-    gone = written(near_duplicates(docs, k, percent, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    name = fresh("__gone", docs.columns)
+    gone = written(near_duplicates(docs, k, percent, **options).where("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources.scratch import arrow_batches, forget, written
 
-__all__ = ["arrow_batches", "forget", "held_out", "shared_rows", "small_enough", "table", "texts", "written"]
+__all__ = ["arrow_batches", "forget", "fresh", "held_out", "shared_rows", "small_enough", "table", "texts", "written"]
 
 #: Keys with more rows than this are joined apart, see ``shared_rows``.
 HOT_ROWS = 1 << 20
@@ -27,6 +27,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column has it (Spark does not tell case apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than needed."""
     return df.limit(rows + 1).count() <= rows
