@@ -175,3 +175,12 @@ def test_array_json(spark):
 def test_execute_sql(spark):
     files.execute_sql(spark, "CREATE OR REPLACE TEMPORARY VIEW made_here AS SELECT 7 AS x")
     assert spark.table("made_here").first()["x"] == 7
+
+
+def test_normality_p_values(spark):
+    rng = np.random.default_rng(4)
+    for values, low, high in ((rng.normal(size=800), 0.05, 1.0), (rng.exponential(size=800), 0.0, 1e-6)):
+        r = inference.shapiro_wilk(spark.createDataFrame([(float(v),) for v in values], "v double"), "v").first()
+        assert low <= r["p_value"] <= high and r["p_rough"] == pytest.approx((1 - r["w"]) ** 2)
+    few = inference.shapiro_wilk(spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "v double"), "v").first()
+    assert few["p_value"] is None and few["n"] == 3

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import exact, inference, neighbours, series
+from tessera.operators import exact, inference, montecarlo, neighbours, series
 from tessera.sources import generate
 
 
@@ -168,3 +168,27 @@ def test_trend_keeps_rows_of_null_keys(spark):
     df = spark.createDataFrame([(None, i, 2.0 * i) for i in range(5)] + [("a", i, 1.0) for i in range(3)], "k string, t int, x double")
     got = series.linear_trend(df, "x", ["t"], ["k"]).collect()
     assert len(got) == 8 and all(abs(r["detrended"]) < 1e-9 for r in got)
+
+
+@pytest.mark.parametrize(("method", "worst"), [("plain", 0.05), ("antithetic", 0.03), ("halton", 0.005)])
+def test_integrals_and_their_errors(spark, method, worst):
+    boxes = spark.createDataFrame([("unit", 0.0, 1.0, 0.0, 1.0), ("wide", -1.0, 2.0, 1.0, 3.0), ("empty", 1.0, 1.0, 0.0, 1.0), ("open", None, 1.0, 0.0, 1.0), ("endless", 0.0, float("inf"), 0.0, 1.0)], "k string, a double, b double, c double, d double")
+    found = montecarlo.integrate(boxes, "k", [("a", "b"), ("c", "d")], lambda x, y: x * x + y, 16_000, method, sizes=[1_600], seed=3)
+    got = {(r["k"], r["samples"]): r for r in found.collect()}
+    assert len(got) == 10
+    for k, true in (("unit", 1 / 3 + 1 / 2), ("wide", 18.0)):
+        r = got[k, 16_000]
+        assert r["value"] == pytest.approx(true, rel=worst) and abs(r["value"] - true) < 6 * r["std_error"]
+        assert r["std_error"] < got[k, 1_600]["std_error"] and r["low"] < r["value"] < r["high"]
+    assert all(got[k, 16_000]["value"] is None for k in ("empty", "open", "endless"))
+    assert {r["k"]: r["converged"] for r in montecarlo.converged(found, "k", 0.2).collect()} == {"unit": True, "wide": True, "empty": False, "open": False, "endless": False}
+
+
+def test_many_points_of_one_box_are_dealt_out_and_odd_values_do_not_count(spark, monkeypatch):
+    monkeypatch.setattr(montecarlo, "CHUNK", 100)
+    box = spark.createDataFrame([(1, 0.0, 1.0)], "k int, a double, b double")
+    half = lambda x: F.when(x < 0.5, F.lit(2.0)).when(x < 0.75, F.lit(float("nan")))
+    r = montecarlo.integrate(box, "k", [("a", "b")], half, 1_024, "halton", repeats=1).first()
+    assert r["value"] == 2.0 and r["std_error"] is None
+    with pytest.raises(ValueError):
+        montecarlo.integrate(box, "k", [("a", "b")], half, method="importance")

@@ -166,13 +166,18 @@ def test_quantiles_by_key(spark, monkeypatch):
     assert describe.quantiles(df.where("v is null"), "v", {"a": 0.5}).collect() == [] or describe.quantiles(df.where("v is null"), "v", {"a": 0.5}).first()["a"] is None
 
 
-def test_holt_keeps_level_and_trend_over_gaps():
+def test_holt_keeps_level_and_trend_over_gaps(spark):
     nan = float("nan")
     x = np.array([nan, 10.0, nan, 14.0, nan, 20.0])
+
+    def holt(values, alpha, beta):
+        df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "t int, x double")
+        return np.array([r["holt"] for r in series.holt(df, "x", alpha, beta, ["t"], []).orderBy("t").collect()], dtype=float)
+
     # Starts at 10 with a trend of 2 a step; a gap changes neither.
-    assert np.allclose(series._holt(x, 0.5, 0.0), [10.0, 10.0, 12.0, 15.0, 15.0, 18.5 + 1.0])
+    assert np.allclose(holt(x, 0.5, 0.0), [10.0, 10.0, 12.0, 15.0, 15.0, 18.5 + 1.0])
     got = series._holt_winters(np.array([1.0, 3.0, 1.0, nan, 2.0, 3.0]), 0.5, 0.1, 0.2, 2, False)
-    assert np.isfinite(got).all() and got[0] == got[1] == 2.0 and np.isnan(series._holt(x[:2], 0.5, 0.1)).all()
+    assert np.isfinite(got).all() and got[0] == got[1] == 2.0 and np.isnan(holt(x[:2], 0.5, 0.1)).all()
 
 
 def test_regression_with_large_means(spark):
