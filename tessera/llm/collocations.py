@@ -14,6 +14,7 @@ table of frequent phrases is broadcast, and rare phrases cost a few bytes once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -295,8 +296,12 @@ def mine_collocations(docs: DataFrame, least: int = 10, longest: int = 3, share:
     inner = inner.select("lang", F.slice("words", F.col("at"), F.col("m")).alias("words"), "f").groupBy("lang", "words").agg(F.max("f").alias("longer"))
     kept = best.join(inner, ["lang", "words"], "left").where(F.coalesce(100 * F.col("longer") < share * F.col("a"), F.lit(True)))
     rows = kept.select("lang", F.array_join("words", " ").alias("phrase"), "a", F.col("cut.f_left").alias("l"), F.col("cut.f_right").alias("r"), F.col("cut.score").cast("long").alias("score"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # The best of each share of a language first, so that no task sorts all its phrases; shares are as many as balances both rounds.
+    best_first = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    shares = max(1, math.isqrt(phrases.count() // top))
+    within = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(shares))).orderBy(*best_first)
+    rows = rows.withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= top)
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best_first))).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
