@@ -53,9 +53,21 @@ def test_toxicity_learns_rare_markers():
 def test_toxicity_scores_a_passage_at_every_word(monkeypatch):
     monkeypatch.setattr(toxicity, "_PASSAGE", 3)
     assert list(toxicity._passages(6)) == [0, 1, 2, 3] and list(toxicity._passages(2)) == [0]
-    model = toxicity.Model(np.zeros(1 << 16, np.float32), 0.0)
+    model = toxicity.Model(np.zeros(toxicity._BUCKETS, np.float32), 0.0)
     (buckets, valid), first, _, _ = (lambda g: (g[0][0], *g[1:]))(toxicity.ngrams(["bad"]))
     model.logits[buckets[valid]] = 9.0
     # The three adjacent words start at an odd place, so only every-word starts see them together.
     low, high = toxicity.logits(model, ["so bad so bad so so", "so bad bad bad so so"])
     assert high > 2.9 * (low / 2) and high == toxicity.logits(model, ["bad bad bad so so so"])[0]
+
+
+def test_toxicity_reads_words_together():
+    rng = np.random.default_rng(0)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}o" for i in range(300)]
+    fill = lambda n: " ".join(rng.choice(words, n))
+    bad = [f"{fill(15)} hate you go home {fill(15)}" for _ in range(300)]
+    # Half of the clean texts hold the same words, with others among them.
+    clean = [f"{fill(15)} {'you can go home and we hate rain' if i % 2 else ''} {fill(15)}" for i in range(300)]
+    model = toxicity.fit(bad[:200] + clean[:200], [1] * 200 + [0] * 200)
+    assert (toxicity.scores(model, bad[200:]) >= 0.5).all()
+    assert (toxicity.scores(model, clean[200:]) < 0.5).all()
