@@ -20,7 +20,7 @@ from tessera.operators.describe import correlation, median_absolute_deviation, m
 from tessera.operators.frame import running_before
 from tessera.operators.neighbours import nearest_rows, start_centres, vector
 from tessera.sources.generate import draw_uniform
-from tessera.sources.scratch import written
+from tessera.sources.scratch import forget, written
 
 #: Strata whose starts are broadcast, and folds that are fitted one after another, at most.
 STRATA_BROADCAST, MOST_FOLDS = 100_000, 100
@@ -452,14 +452,21 @@ def impute_knn(df: DataFrame, target: str, features: list[str], key: str, k: int
 
 
 def impute_chained(df: DataFrame, columns: list[str], rounds: int = 5, ridge: float = 1e-6) -> DataFrame:
-    """Chained equations: each column with gaps is regressed in turn on the others, from mean-filled starts."""
+    """Chained equations: each column with gaps is regressed in turn on the others, from mean-filled starts.
+
+    The table is written after a round and the one before it deleted, so neither
+    plans nor recomputation grow with the rounds.
+    """
     gaps = {c: f"__gap_{c}" for c in columns}
     out = df.withColumns({g: missing(F.col(c)) for c, g in gaps.items()})
-    out = impute_simple(out, columns)
+    out = before = written(impute_simple(out, columns), "chained")
     for _ in range(rounds):
         for c, g in gaps.items():
             fit = linear_regression(out.where(~F.col(g)), c, [x for x in columns if x != c], ridge)
             out = predict(out, fit, "__p").withColumn(c, F.when(F.col(g), F.col("__p")).otherwise(F.col(c))).drop("__p")
+        out = written(out, "chained")
+        forget(before)
+        before = out
     return out.drop(*gaps.values())
 
 

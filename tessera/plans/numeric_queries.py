@@ -12,6 +12,7 @@ from tessera.operators import matrix as X
 from tessera.operators import montecarlo as MC
 from tessera.operators import neighbours as NB
 from tessera.operators import series as TS
+from tessera.operators import spectrum as SP
 from tessera.plans.queries import add_query, gappy, query, rounded
 from tessera.sources import generate as G
 
@@ -305,3 +306,33 @@ def missing_fill_from(t, s):
     gaps = t("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("o_totalprice"))
     other = t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("o_totalprice"))
     return rounded(FR.fill_from(gaps, other, "o_orderkey", "o_totalprice"))
+
+
+_ORDERED = "WITH s AS (SELECT row_number() OVER (ORDER BY o_orderdate) - 1 AS t, count(*) OVER () AS m, v FROM (SELECT o_orderdate, CAST(count(*) AS DOUBLE) AS v FROM orders GROUP BY 1))"
+_ANGLE = "2 * pi() * ((a.t * k.t) % a.m) / a.m"
+_LINES = f"{_ORDERED}, f AS (SELECT k.t AS k, any_value(k.m) AS m, sum(a.v * cos({_ANGLE})) AS re, -sum(a.v * sin({_ANGLE})) AS im FROM s a, s k GROUP BY 1)"
+
+
+def _orders_a_day(t):
+    return t("orders").groupBy("o_orderdate").agg(F.count("*").cast("double").alias("v"))
+
+
+@query(f"{_LINES} SELECT k, round(re, 3) + 0.0 AS re, round(im, 3) + 0.0 AS im FROM f")
+def transform_fft_series(t, s):
+    return rounded(SP.fft_series(_orders_a_day(t), ["o_orderdate"], "v"), 3)
+
+
+@query(f"{_LINES} SELECT k, round(re, 3) + 0.0 AS re, round(im, 3) + 0.0 AS im FROM f WHERE 2 * k <= m")
+def transform_fft_chirp(t, s):
+    return rounded(SP.rfft_series(_orders_a_day(t), ["o_orderdate"], "v", longest=1), 3)
+
+
+@query(f"{_ORDERED} SELECT t AS n, round(v, 6) AS v FROM s")
+def transform_fft_inverse(t, s):
+    days = _orders_a_day(t)
+    return rounded(SP.irfft_series(SP.rfft_series(days, ["o_orderdate"], "v"), days.count()), 6)
+
+
+@query(f"{_LINES} SELECT k, round(CAST(k AS DOUBLE) / m, 9) AS frequency, round(CASE WHEN 2 * k = m THEN 1 ELSE 2 END * (re * re + im * im) / (CAST(m AS DOUBLE) * m), 6) + 0.0 AS power FROM f WHERE k > 0 AND 2 * k <= m")
+def series_power_spectrum(t, s):
+    return SP.power_spectrum(_orders_a_day(t), ["o_orderdate"], "v").select("k", F.round("frequency", 9).alias("frequency"), F.round("power", 6).alias("power"))
