@@ -2,17 +2,20 @@
 
 Four fixed patterns give the base spans. Generators with loose patterns propose
 overlapping candidate spans; each is described by a few small whole numbers on
-its format and context. All candidates of the corpus are counted by these
-numbers, by whether they touch a base span and by a hash fold of their document.
-That table of cells is small whatever the corpus, so gradient boosting of
-depth-two trees runs on exact totals, and the score threshold is calibrated for
-precision on the other fold. Scored candidates are selected greedily, by column
-expressions again, and added to the base.
+its format and context. Labels do not come from the base patterns alone: every
+text of the corpus also yields one made sentence, in which a value of a hashed
+form stands, personal (``PERSONAL``) or not (``OTHER``). All candidates of texts
+and sentences are counted by their numbers, label and a hash fold. That table of
+cells is small whatever the corpus, so gradient boosting of depth-two trees runs
+on exact totals, and the score threshold is calibrated for precision on the
+other fold. Scored candidates are selected greedily, by column expressions
+again, and added to the base.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -27,11 +30,17 @@ _IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Loose patterns of the candidates.
-_AT = r"(?:(?<![^\s@<>()\[\]\",;:])|\G)[^\s@<>()\[\]\",;:]++(?:@|\x20?[\[(]at[\])]\x20?)[^\s@<>()\[\]\",;:]++"
+_PART = r"[^\s@<>()\[\]\",;:]"
+_AT = rf"(?:(?<!{_PART})|\G){_PART}++(?:@|\x20?[\[(]at[\])]\x20?){_PART}++(?:\x20?[\[(]dot[\])]\x20?{_PART}++)*+"
+#: A text without a match has neither base spans nor candidates.
+_HINT = r"[0-9@]|[\[(]at[\])]"
 _DIGITS = r"[+(]?+[0-9](?:[\x20().\-/]{0,2}+[0-9]){6,}+"
-_CONTEXT = r"(?i)(?:mail|contact|tel|phone|call|fax|mobile|cell|card|visa|ip|addr|ssn|account|iban)[^A-Za-z0-9]{0,3}\w{0,10}[^A-Za-z0-9]{0,3}$"
+_CONTEXT = r"(?i)(?<![A-Za-z])(?:e?mail|contact|tel|telephone|phone|call|fax|mobile|cell|card|visa|ip|address|ssn|account|iban)[^A-Za-z0-9]{0,3}\w{0,10}[^A-Za-z0-9]{0,3}$"
 #: Names and numbers of values of the candidates' features: a bound on the cells.
 FEATURES = {"at": 2, "digits": 7, "groups": 6, "plus": 2, "paren": 2, "dots": 5, "luhn": 2, "context": 2, "name": 2, "loose": 2}
+#: Forms of the made sentences: N is a name of letters, D a digit, C the check digit of the digits before it, X another one, all hashed from the text; the lead stands before the bar.
+PERSONAL = ("mail |N[at]N.example", "contact: |N (at) N.net", "write to |N@N[dot]com", "tel |DDD-DDD-DDDD", "phone: |(DDD) DDD DDDD", "fax |DDDDD/DDDDDD", "paid by |DDDD.DDDD.DDDD.DDDC", "card |DDDD/DDDD/DDDD/DDDC")
+OTHER = ("on |20DD-0D-1D 1D", "see |978-D-DD-DDDDDD-D", "order |DDDDDDDDDD", "item |DDD-DDD-DDDD", "version |DD.DD.2DDD.DD", "total |D DDD DDD DDD.DD", "no |DDDD.DDDD.DDDD.DDDX", "user |N@N")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -90,6 +99,10 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10 == 0
 
 
+def _check_digit(digits: Column) -> Column:
+    return F.get(F.filter(F.array(*[F.lit(str(i)) for i in range(10)]), lambda c: _luhn(F.concat(digits, c))), F.lit(0))
+
+
 def _small_parts(value: Column) -> Column:
     def small(part: Column) -> Column:
         bare = F.regexp_replace(part, "^0+(?=[0-9])", "")
@@ -156,7 +169,7 @@ def candidates(text: Column, base: Column) -> Column:
                     F.least(F.size(F.split(v, r"\.")) - 1, F.lit(4)).alias("dots"),
                     flag(n.between(14, 19) & _luhn(d) if not at else F.lit(False)).alias("luhn"),
                     flag(m["before"].rlike(_CONTEXT)).alias("context"),
-                    flag(v.rlike(r"\.[A-Za-z]{2,}$")).alias("name"),
+                    flag(v.rlike(r"(?:\.|[\[(]dot[\])]\x20?)[A-Za-z]{2,}[.!?]?$")).alias("name"),
                     flag(~around.rlike("[A-Za-z0-9]")).alias("loose"),
                 )
 
@@ -197,9 +210,9 @@ class Boosted:
 def boost(cells: list[dict], rounds: int = 16, rate: float = 0.4, precision: float = 0.99) -> Boosted:
     """Gradient boosting on counted cells (features, known, fold, n); fold 0 trains, fold 1 calibrates.
 
-    The threshold is the lowest score from which on at least ``precision`` of
-    the calibration candidates touch a base span; without any such score
-    nothing is added.
+    ``known`` is the label. The threshold is the lowest score from which on at
+    least ``precision`` of the calibration candidates are labelled personal;
+    without any such score nothing is added.
     """
     train = [c for c in cells if c["fold"] == 0]
     total, hits = sum(c["n"] for c in train), sum(c["n"] for c in train if c["known"])
@@ -238,12 +251,54 @@ def boost(cells: list[dict], rounds: int = 16, rate: float = 0.4, precision: flo
     return model
 
 
+def made_value(form: str, salt: Column) -> Column:
+    """The value of a form of ``PERSONAL`` or ``OTHER``, without its lead, from hashed digits and letters."""
+    digits = F.translate(F.concat(F.sha2(salt, 256), F.md5(salt)), "abcdef", "172839")
+    names = F.translate(F.sha2(F.reverse(salt), 256), "0123456789", "ghijklmnop")
+    body, d, n, out = form.split("|")[1], 0, 0, []
+    for part in re.findall("[NDCX]|[^NDCX]+", body):
+        if part == "D":
+            out.append(F.substring(digits, d + 1, 1))
+            d += 1
+        elif part in "CX":
+            check = _check_digit(F.substring(digits, 1, d))
+            out.append(check if part == "C" else ((check.cast("int") + 1) % 10).cast("string"))
+        elif part == "N":
+            out.append(F.substring(names, 9 * n + 1, 9))
+            n += 1
+        else:
+            out.append(F.lit(part))
+    return F.concat(*out)
+
+
+def made_sentences(docs: DataFrame) -> DataFrame:
+    """(text, low, high, known): for each text of ``docs`` that is not null, a sentence of a hashed form; its value is at [low, high)."""
+    forms = [*PERSONAL, *OTHER]
+    rows = docs.where("text is not null").select(F.md5(F.col("text").cast("string").cast("binary")).alias("salt"))
+    rows = rows.withColumn("form", F.pmod(F.xxhash64("salt"), F.lit(len(forms))))
+    value = lead = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        value = F.when(F.col("form") == i, made_value(form, F.col("salt").cast("binary").cast("string"))).otherwise(value)
+        lead = F.when(F.col("form") == i, form.split("|")[0]).otherwise(lead)
+    rows = rows.select(value.alias("value"), lead.alias("lead"), (F.col("form") < len(PERSONAL)).alias("known"))
+    low = F.length("lead")
+    return rows.select(F.concat("lead", "value", F.lit(" and so on")).alias("text"), low.alias("low"), (low + F.length("value")).alias("high"), "known")
+
+
 def fit(docs: DataFrame) -> Boosted:
-    """Boosted trees from the counted candidates of all of ``docs``."""
+    """Boosted trees from the counted candidates of all of ``docs`` and of as many made sentences.
+
+    A text's candidate is personal if it touches a base span. Of the others,
+    those without a context word and an at sign count as not personal; the rest
+    has no label and is left out, as a corpus may hold new forms in any number.
+    """
     text = F.col("text").cast("string")
-    rows = docs.where(text.rlike(r"[0-9@]|[\[(]at[\])]")).select(F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"), F.explode(let(base_spans(text), lambda s: let(_blocks(s), lambda b: candidates(text, b)))).alias("c"))
-    rows = rows.select("fold", "c.known", *[f"c.{f}" for f in FEATURES])
-    counted = rows.groupBy("fold", "known", *FEATURES).agg(F.count("*").alias("n")).collect()  # at most 4 x the product of FEATURES
+    fold = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold")
+    rows = docs.where(text.rlike(_HINT)).select(fold, F.explode(let(base_spans(text), lambda s: let(_blocks(s), lambda b: candidates(text, b)))).alias("c"))
+    own = rows.where("c.known or (c.context = 0 and c.at = 0)").select("fold", "c.known", *[f"c.{f}" for f in FEATURES])
+    made = made_sentences(docs).select(fold, "low", "high", "known", F.explode(let(base_spans(text), lambda s: let(_blocks(s), lambda b: candidates(text, b)))).alias("c"))
+    made = made.where("c.start < high and low < c.end").select("fold", "known", *[f"c.{f}" for f in FEATURES])
+    counted = own.unionByName(made).groupBy("fold", "known", *FEATURES).agg(F.count("*").alias("n")).collect()  # at most 4 x the product of FEATURES
     return boost(sorted((r.asDict() for r in counted), key=lambda r: tuple(map(int, r.values()))))
 
 
@@ -276,7 +331,7 @@ def find_pii(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
 
     both = let(base_spans(text), lambda b: F.struct(b.alias("base"), F.array_sort(F.concat(b, added(b))).alias("spans")))
     none = F.struct(F.array().cast(_FULL).alias("base"), F.array().cast(_FULL).alias("spans"))
-    found = docs.select(*[c for c in docs.columns if not c.startswith("pii_")], F.when(text.rlike(r"[0-9@]|[\[(]at[\])]"), both).otherwise(none).alias("pii_found"))
+    found = docs.select(*[c for c in docs.columns if not c.startswith("pii_")], F.when(text.rlike(_HINT), both).otherwise(none).alias("pii_found"))
     return found.withColumns({"pii_base": F.col("pii_found.base"), "pii_spans": F.col("pii_found.spans")}).drop("pii_found")
 
 

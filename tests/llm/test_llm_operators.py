@@ -307,14 +307,40 @@ def test_pii_many_matches(spark):
     assert got["n_email"] == 10_000 and got["base_sha256"] == hashlib.sha256(expected.encode()).hexdigest()
 
 
-def test_pii_added_spans(spark):
-    # Addresses in a form that no base pattern has are found if they are rare among plain ones; numbers in new forms are not.
+def test_pii_finds_forms_never_trained_on(spark):
+    # Forms that neither the base patterns nor the made sentences have, as frequent as plain ones, beside numbers that are not personal.
     rng = random.Random(4)
     digits = lambda k: "".join(rng.choices("123456789", k=k))
-    rows = [(i, f"mail bob{i}@host{i}.example, call +1 {digits(3)} {digits(3)} {digits(4)}, order {digits(3)}") for i in range(3000)]
-    rows += [(4000 + i, f"mail jo{i}[at]host.example or tel {digits(3)}-{digits(3)}-{digits(4)}, order {digits(9)}") for i in range(20)]
-    got = pii.pii_digest(spark.createDataFrame(rows, "doc_id long, text string")).where("n_likely > 0").collect()
-    assert sorted((r["doc_id"], r["spans"]) for r in got) == [(4000 + i, f"likely_email:5:{23 + len(str(i))}") for i in range(20)]
+    name = lambda: "".join(rng.choices("abcdefghij", k=6))
+
+    def card(groups):
+        d = digits(sum(groups) - 1)
+        d += next(c for c in "0123456789" if sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate(reversed(d + c))) % 10 == 0)
+        return "/".join(d[sum(groups[:i]) : sum(groups[: i + 1])] for i in range(len(groups)))
+
+    good = [lambda: ("e-mail ", f"{name()}[at]{name()}[dot]org"), lambda: ("ask ", f"{name()} [at] {name()}.info"), lambda: ("mobile ", f"{digits(3)}.{digits(3)}.{digits(4)}"), lambda: ("call ", " ".join(digits(2) for _ in range(5))), lambda: ("visa ", card((4, 6, 5))), lambda: ("with ", card((4, 6, 5)))]
+    bad = [lambda: ("from ", f"{digits(2)}.{digits(2)}.{digits(4)} {digits(2)}.{digits(2)}"), lambda: ("id ", f"{digits(4)}-{digits(4)}-{digits(2)}"), lambda: ("years ", f"{digits(4)}-{digits(4)}-{digits(4)}"), lambda: ("near ", f"{digits(2)}.{digits(4)} {digits(1)}.{digits(4)}"), lambda: ("sold ", f"{digits(1)}.{digits(3)}.{digits(3)}.{digits(3)}"), lambda: ("key ", digits(18))]
+    rows, wanted = [], set()
+    for i in range(1200):
+        some = good if i % 2 else bad
+        lead, value = some[i // 2 % len(some)]()
+        rows.append((i, f"{lead}{value} and plain bob{i}@host{i}.example too"))
+        if i % 2:
+            wanted.add((i, len(lead), len(lead) + len(value)))
+    got = pii.pii_digest(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.agg(F.sum("n_email")).first()[0] == 1200
+    found = {(r["doc_id"], *map(int, s.split(":")[1:])) for r in got.collect() for s in r["spans"].split(",") if s.startswith("likely")}
+    hit = len(found & wanted)
+    kinds = [sum((i, a, b) in found for i, a, b in wanted if i // 2 % 6 == k) for k in range(6)]
+    assert hit >= 0.9 * len(wanted) and hit >= 0.95 * len(found), (hit, len(wanted), len(found), kinds)
+
+
+def test_pii_made_sentences(spark):
+    df = spark.createDataFrame([(f"text {i}",) for i in range(400)] + [(None,), ("",)], "text string")
+    made = pii.made_sentences(df).collect()
+    assert len(made) == 401 and {r["text"][: r["low"]] for r in made} == {f.split("|")[0] for f in (*pii.PERSONAL, *pii.OTHER)}
+    cards = [re.sub("[^0-9]", "", r["text"][r["low"] : r["high"]]) for r in made if r["text"].startswith("card ")]
+    assert cards and all(sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0 for d in cards)
 
 
 def test_pii_boosting_and_redaction(spark):
