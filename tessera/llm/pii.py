@@ -210,9 +210,10 @@ class Boosted:
 def boost(cells: list[dict], rounds: int = 16, rate: float = 0.4, precision: float = 0.99) -> Boosted:
     """Gradient boosting on counted cells (features, known, fold, n); fold 0 trains, fold 1 calibrates.
 
-    ``known`` is the label. The threshold is the lowest score from which on at
-    least ``precision`` of the calibration candidates are labelled personal;
-    without any such score nothing is added.
+    ``known`` is the label. From some lowest score on, at least ``precision`` of
+    the calibration candidates are labelled personal; the threshold lies midway
+    between it and the next lower score, but not below even odds. Without any
+    such score nothing is added.
     """
     train = [c for c in cells if c["fold"] == 0]
     total, hits = sum(c["n"] for c in train), sum(c["n"] for c in train if c["known"])
@@ -247,7 +248,7 @@ def boost(cells: list[dict], rounds: int = 16, rate: float = 0.4, precision: flo
     for i, (z, count, good) in enumerate(ranked):
         n, known = n + count, known + good
         if (i + 1 == len(ranked) or ranked[i + 1][0] < z) and known >= precision * n and z > 0:
-            model.threshold = z
+            model.threshold = max(0.0, (z + ranked[i + 1][0]) / 2) if i + 1 < len(ranked) else z
     return model
 
 
@@ -289,13 +290,14 @@ def fit(docs: DataFrame) -> Boosted:
     """Boosted trees from the counted candidates of all of ``docs`` and of as many made sentences.
 
     A text's candidate is personal if it touches a base span. Of the others,
-    those without a context word and an at sign count as not personal; the rest
-    has no label and is left out, as a corpus may hold new forms in any number.
+    those without any of a context word, an at sign and a valid check digit
+    count as not personal; the rest has no label and is left out, as a corpus
+    may hold new forms in any number.
     """
     text = F.col("text").cast("string")
     fold = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold")
     rows = docs.where(text.rlike(_HINT)).select(fold, F.explode(let(base_spans(text), lambda s: let(_blocks(s), lambda b: candidates(text, b)))).alias("c"))
-    own = rows.where("c.known or (c.context = 0 and c.at = 0)").select("fold", "c.known", *[f"c.{f}" for f in FEATURES])
+    own = rows.where("c.known or (c.context = 0 and c.at = 0 and c.luhn = 0)").select("fold", "c.known", *[f"c.{f}" for f in FEATURES])
     made = made_sentences(docs).select(fold, "low", "high", "known", F.explode(let(base_spans(text), lambda s: let(_blocks(s), lambda b: candidates(text, b)))).alias("c"))
     made = made.where("c.start < high and low < c.end").select("fold", "known", *[f"c.{f}" for f in FEATURES])
     counted = own.unionByName(made).groupBy("fold", "known", *FEATURES).agg(F.count("*").alias("n")).collect()  # at most 4 x the product of FEATURES
