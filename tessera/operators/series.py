@@ -7,11 +7,16 @@ recursions over a whole series run once per key on its sorted rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import islice
+from operator import and_
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +73,38 @@ def per_series(df: DataFrame, keys: list[str], order: list[str], column: str, na
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
+def _differs(column: pa.ChunkedArray) -> np.ndarray:
+    """Whether each value but the first differs from the one before; null equals null and NaN equals NaN."""
+    if pa.types.is_nested(column.type):
+        values = column.to_pylist()
+        return np.array([a != b for a, b in zip(values, values[1:], strict=False)], dtype=bool)
+    a, b = column.slice(0, len(column) - 1), column.slice(1)
+    same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+    if pa.types.is_floating(column.type):
+        same = pc.or_(same, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+    return ~same.to_numpy().astype(bool)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole groups and the rows where these begin, from sorted batches; only the last group so far is held back."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        around = pa.Table.from_batches([*(b.slice(b.num_rows - 1) for b in held[-1:]), batch])
+        fresh = np.zeros(len(around) - 1, dtype=bool)
+        for k in keys:
+            fresh |= _differs(around[k])
+        at = np.flatnonzero(fresh) + (0 if held else 1)
+        if len(at):
+            before, last = sum(b.num_rows for b in held), int(at[-1])
+            yield pa.Table.from_batches([*held, batch.slice(0, last)]), [0, *(int(i) + before for i in at[:-1])]
+            held, batch = [], batch.slice(last)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held), [0]
+
+
 def linear_scan(df: DataFrame, column: str, step: list[list[float]], gain: list[float], order: list[str], keys: list[str], name: str, two: bool = False) -> DataFrame:
     """Adds ``name`` from a state z that each present value x moves to ``step`` z + ``gain`` x; missing values leave it.
 
@@ -76,28 +113,31 @@ def linear_scan(df: DataFrame, column: str, step: list[list[float]], gain: list[
     series of fewer than two values have none. Else the output is the state,
     null before the first value (with ``two``: the first value).
 
-    Series are cut into parts by sampled bounds. A part is summed up by how many
-    values it has, its first two and the state that the rest would reach from
-    zero; since the step is linear, these few rows of a series give every part
-    its first state, and the parts are then run side by side. So one endless
-    series is no single task.
+    The sorted table is cut into parts by sampled bounds, at most MOST_PARTS,
+    and a task runs the series of its parts one after another. Only series that
+    a bound cuts in two, one a bound at most, are looked at before: each of
+    their parts is summed up by how many values it has, its first two and the
+    state that the rest would reach from zero; since the step is linear, these
+    few rows give every part its first state. So one endless series is no
+    single task, and many short ones cost no group of their own.
     """
     a, c = np.array(step, dtype=float), np.array(gain, dtype=float)
-    size, columns = len(c), df.columns
+    lines, size, columns = list(zip(a.tolist(), c.tolist(), strict=True)), len(c), df.columns
+    begins, states = [f"__begin{i}" for i in range(size)], [f"__state{i}" for i in range(size)]  # no arrays, which are slow to hand to Python
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     kinds += ", " if keys else ""
     cuts = _cuts(df, [*keys, *order])
     dealt = df.withColumn("__part", _part(df, [*keys, *order], cuts)).withColumn("__x", F.col(column).cast("double"))
 
-    def reach(z: list[float], x: np.ndarray) -> list[float]:
-        for v in x.tolist():
-            z = [sum(a[i, j] * z[j] for j in range(size)) + c[i] * v for i in range(size)]
+    def reach(z: list[float], values: list[float]) -> list[float]:
+        for v in values:
+            z = [sum(p * q for p, q in zip(line, z, strict=True)) + g * v for line, g in lines]
         return z
 
     def sum_up(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(order, kind="stable")["__x"].to_numpy(dtype=float)
         there = np.flatnonzero(~np.isnan(x))
-        row = {k: [pdf[k].iloc[0]] for k in keys} | {"__part": [pdf["__part"].iloc[0]], "n": [len(x)], "m": [len(there)], "at": [there[:2].tolist()], "first": [x[there[:2]].tolist()], "rest": [reach([0.0] * size, x[there[1:]])]}
+        row = {k: [pdf[k].iloc[0]] for k in keys} | {"__part": [pdf["__part"].iloc[0]], "n": [len(x)], "m": [len(there)], "at": [there[:2].tolist()], "first": [x[there[:2]].tolist()], "rest": [reach([0.0] * size, x[there[1:]].tolist())]}
         return pd.DataFrame(row)
 
     def carry(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -107,10 +147,7 @@ def linear_scan(df: DataFrame, column: str, step: list[list[float]], gain: list[
         for r in rows:
             seen += [(before + i, x) for i, x in zip(r["at"], r["first"], strict=True)]
             before += r["n"]
-        seen, out, z = seen[:2], [], None
-        begin = None
-        if len(seen) > two:
-            begin = [seen[0][1], (seen[1][1] - seen[0][1]) / (seen[1][0] - seen[0][0])] if two else [seen[0][1]]
+        out, z, begin = [], None, first_state(seen[:2])
         for r in rows:
             out.append({**{k: r[k] for k in keys}, "__part": r["__part"], "__begin": begin, "__state": z})
             if begin is not None and r["m"]:
@@ -118,33 +155,58 @@ def linear_scan(df: DataFrame, column: str, step: list[list[float]], gain: list[
                 z = (np.linalg.matrix_power(a, r["m"] - 1) @ z + np.array(r["rest"])).tolist()
         return pd.DataFrame(out)[[*keys, "__part", "__begin", "__state"]]
 
-    sums = dealt.select(*keys, *order, "__part", "__x").groupBy(*keys, "__part").applyInPandas(sum_up, f"{kinds}__part int, n long, m long, at array<long>, first array<double>, rest array<double>")
-    starts = sums.groupBy(*keys).applyInPandas(carry, f"{kinds}__part int, __begin array<double>, __state array<double>")  # a row a part
-    starts = starts.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__part").alias("__p"), "__begin", "__state")
-    on = F.col("__part") == F.col("__p")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    ready = dealt.join(starts, on).select(*df.columns, "__part", "__x", "__begin", "__state")
+    def first_state(seen: list[tuple[int, float]]) -> list[float] | None:
+        """Of the places and values of the first two present values."""
+        if len(seen) <= two:
+            return None
+        return [seen[0][1], (seen[1][1] - seen[0][1]) / (seen[1][0] - seen[0][0])] if two else [seen[0][1]]
+
+    if cuts:
+        on, long = F.col("__part") == F.col("__p"), dealt.select(*keys, *order, "__part", "__x")
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+        if keys:
+            split = dict.fromkeys(tuple(row[k] for k in keys) for row in cuts)
+            split = [F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(f"__k_{k}") for k, v in zip(keys, row, strict=True)]) for row in split]
+            split = df.sparkSession.range(1).select(F.inline(F.array(*split)))  # a row a bound at most
+            long = long.join(F.broadcast(split), reduce(and_, (F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys)), "left_semi")
+        sums = long.groupBy(*keys, "__part").applyInPandas(sum_up, f"{kinds}__part int, n long, m long, at array<long>, first array<double>, rest array<double>")
+        starts = sums.groupBy(*keys).applyInPandas(carry, f"{kinds}__part int, __begin array<double>, __state array<double>")  # two rows a bound at most
+        starts = starts.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__part").alias("__p"), F.lit(True).alias("__split"), *[F.col(f"__{kind}")[i].alias(f"__{kind}{i}") for kind in ("begin", "state") for i in range(size)])
+        dealt = dealt.join(F.broadcast(starts), on, "left")
+    else:
+        dealt = dealt.withColumns({"__split": F.lit(False)} | {c: F.lit(None).cast("double") for c in [*begins, *states]})
+    ready = dealt.select(*df.columns, "__part", "__x", "__split", *begins, *states).repartition("__part").sortWithinPartitions("__part", *keys, *order)
     schema = type(df.schema)(list(df.schema.fields)).add(name, "double")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        begin, z = pdf["__begin"].iloc[0], pdf["__state"].iloc[0]
-        out = np.full(len(pdf), math.nan)
-        if begin is not None:
-            z = None if z is None else list(z)
-            for i, v in enumerate(pdf["__x"].tolist()):
-                if not math.isnan(v):
-                    fresh = z is None
-                    z = list(begin) if fresh else reach(z, np.array([v]))
-                    out[i] = begin[0] if fresh and two else sum(z) if two else z[0]
-                elif z is not None:
-                    out[i] = sum(z) if two else z[0]
-                elif two:
-                    out[i] = begin[0]
-        return pdf[columns].assign(**{name: out})
-
-    return ready.groupBy(*keys, "__part").applyInPandas(run, schema)
+    def smooth(x: list[float], begin: list[float] | None, z: list[float] | None) -> list[float]:
+        if begin is None:
+            return [math.nan] * len(x)
+        out = []
+        for v in x:
+            if v == v:
+                fresh = z is None
+                z = begin if fresh else reach(z, [v])
+                out.append(begin[0] if fresh and two else sum(z) if two else z[0])
+            elif z is not None:
+                out.append(sum(z) if two else z[0])
+            else:
+                out.append(begin[0] if two else math.nan)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in whole_groups(batches, ["__part", *keys]):
+            x, out = table["__x"].to_numpy().tolist(), []
+            known = table.select(["__split", *begins, *states]).take(at).to_pylist()
+            for i, j, start in zip(at, [*at[1:], len(x)], known, strict=True):
+                begin, z = (None if start[names[0]] is None else [start[n] for n in names] for names in (begins, states))
+                if not start["__split"]:
+                    begin = first_state(list(islice(((n, v) for n, v in enumerate(x[i:j]) if v == v), 2)))
+                out += smooth(x[i:j], begin, z)
+            made = np.array(out, dtype=float)
+            yield from table.select(columns).append_column(name, pa.array(made, mask=np.isnan(made))).to_batches()
+
+    return ready.mapInArrow(run, schema)
 
 
 def exponential_average(df: DataFrame, column: str, alpha: float, order: list[str], keys: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import factor, frame, inference, series
+from tessera.sources.scratch import arrow_batches
 
 
 @pytest.fixture
@@ -99,6 +100,24 @@ def test_scans_in_parts_equal_the_recursion(spark, small_parts, keys):
     assert series.holt(df.limit(0), "x", 0.4, 0.2, ["t"], keys).count() == 0
 
 
+def test_many_short_series_are_no_groups_of_their_own(spark, small_parts, monkeypatch):
+    rng = np.random.default_rng(4)
+    keys = [None, math.nan, *map(float, range(150))]
+    rows = [(t, keys[rng.integers(len(keys))], None if rng.random() < 0.3 else float(rng.normal())) for t in range(1_500)]
+    df = spark.createDataFrame(rows, "t long, k double, x double").repartition(6)
+    groups = {}
+    for t, k, x in rows:
+        groups.setdefault(str(k), []).append((t, x))
+    for f, plain, column in ((lambda: series.exponential_average(df, "x", 0.3, ["t"], ["k"]), lambda x: plain_average(x, 0.3), "ema"), (lambda: series.holt(df, "x", 0.4, 0.2, ["t"], ["k"]), lambda x: plain_holt(x, 0.4, 0.2), "holt")):
+        expected = {t: v for g in groups.values() for (t, _), v in zip(g, plain([x for _, x in g]), strict=True)}
+        with arrow_batches(spark, 7):  # so series reach over batches
+            same({t: math.nan if v is None else v for t, v in collected(f(), column).items()}, expected)
+        with monkeypatch.context() as m:
+            m.setattr(frame, "PART_ROWS", 100_000)  # no bound cuts a series
+            assert "FlatMapGroupsInPandas" not in f()._jdf.queryExecution().optimizedPlan().toString()
+            same({t: math.nan if v is None else v for t, v in collected(f(), column).items()}, expected)
+
+
 def tall(spark, n=3_000, seed=3):
     rng = np.random.default_rng(seed)
     a = rng.normal(size=(n, 4))
