@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.math import valid
@@ -23,27 +23,36 @@ _PIECE = 18
 _SPLIT = float((1 << 27) + 1)
 
 
-def _slots(x: Column) -> tuple[Column, list[Column]]:
-    """Exponent of the last bit, and the signed pieces of the 53-bit whole number; 4000 and 4001 stand for +-infinity."""
-    a = F.abs(x)
-    two = lambda e: F.pow(F.lit(2.0), e)
-    guess = F.floor(F.log2(a)).cast("int")
-    scaled = a / two(guess)
-    e = F.when(scaled >= 2, guess + 1).when(scaled < 1, guess - 1).otherwise(guess)
-    whole = (a / two(e) * float(1 << 52)).cast("long")
-    infinite = a == float("inf")
-    slot = F.when(infinite, F.when(x > 0, 4000).otherwise(4001)).when(x == 0, 0).otherwise(e - 52)
-    sign = F.when(x < 0, -1).otherwise(1)
-    piece = lambda i: F.when(infinite, F.lit(1 if i == 0 else 0)).when(x == 0, 0).otherwise(sign * F.shiftright(whole, _PIECE * i).bitwiseAND(F.lit((1 << _PIECE) - 1 if i < 2 else (1 << 17) - 1)))
-    return slot.cast("int"), [piece(i).cast("long") for i in range(3)]
+def _slots(rows: DataFrame, kept: list[str], x: str) -> DataFrame:
+    """``kept`` columns, the exponent of the last bit (__slot) and the signed pieces of the 53-bit whole number (__s0 to __s2); 4000 and 4001 stand for +-infinity.
 
-
-def _product(a: Column, b: Column) -> list[Column]:
-    """a * b as a double and its rounding error, which add up to the product exactly unless it is beyond 1e300 or its error below 1e-300."""
-    halves = lambda x: (x * _SPLIT - (x * _SPLIT - x), x - (x * _SPLIT - (x * _SPLIT - x)))
-    (ah, al), (bh, bl) = halves(a), halves(b)
-    p = a * b
-    return [p, al * bl - (((p - ah * bh) - al * bh) - ah * bl)]
+    Every step is a projection of its own, so nothing is worked out twice.
+    """
+    a, guess, scaled, whole = F.abs(F.col(x)), F.col("__guess"), F.col("__scaled"), F.col("__whole")
+    infinite, zero = a == float("inf"), F.col(x) == 0
+    rows = rows.withColumn("__guess", F.least(F.floor(F.log2(F.when(~zero & ~infinite, a).otherwise(1.0))).cast("int"), F.lit(1023)))
+    rows = rows.withColumn("__scaled", F.when(infinite, 0.0).otherwise(a) / F.pow(F.lit(2.0), guess))  # 1 to 2 but for a rounded logarithm
+    rows = rows.withColumn("__off", F.when(scaled >= 2, 1).when((scaled < 1) & (scaled > 0), -1).otherwise(0))
+    mantissa = F.when(F.col("__off") == 0, scaled).when(F.col("__off") == 1, scaled / 2).otherwise(scaled * 2) * float(1 << 52)
+    sign = F.when(F.col(x) < 0, -1).otherwise(1)
+    rows = rows.select(
+        *kept,
+        F.when(infinite, F.when(F.col(x) > 0, 4000).otherwise(4001)).when(zero, 0).otherwise(guess + F.col("__off") - 52).cast("int").alias("__slot"),
+        F.when(infinite, F.lit(1).cast("long")).otherwise(mantissa.cast("long")).alias("__whole"),
+        sign.alias("__sign"),
+    )
+    piece = lambda i: F.col("__sign") * F.shiftright(whole, _PIECE * i).bitwiseAND(F.lit((1 << _PIECE) - 1 if i < 2 else (1 << 17) - 1))
+    return rows.select(*kept, "__slot", *[piece(i).cast("long").alias(f"__s{i}") for i in range(3)])
+
+
+def _products(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Adds for each name the product of its columns as a double and its rounding error (name_e), which add up to the product exactly unless it is beyond 1e300 or its error below 1e-300."""
+    factors = list(dict.fromkeys(c for pair in pairs.values() for c in pair))
+    df = df.withColumns({f"{c}_t": F.col(c) * _SPLIT for c in factors})
+    df = df.withColumns({f"{c}_h": F.col(f"{c}_t") - (F.col(f"{c}_t") - F.col(c)) for c in factors})
+    df = df.withColumns({f"{c}_l": F.col(c) - F.col(f"{c}_h") for c in factors} | {n: F.col(a) * F.col(b) for n, (a, b) in pairs.items()})
+    part = lambda c, which: F.col(f"{c}_{which}")
+    return df.withColumns({f"{n}_e": part(a, "l") * part(b, "l") - (((F.col(n) - part(a, "h") * part(b, "h")) - part(a, "l") * part(b, "h")) - part(a, "h") * part(b, "l")) for n, (a, b) in pairs.items()})
 
 
 def exact_aggregates(df: DataFrame, wanted: dict[str, tuple], keys: list[str] | None = None) -> DataFrame:
@@ -55,21 +64,23 @@ def exact_aggregates(df: DataFrame, wanted: dict[str, tuple], keys: list[str] |
     null. Infinities give infinity, or NaN where they cancel.
     """
     keys = keys or []
-    terms: dict[tuple, list[Column]] = {}
+    terms: dict[tuple, list[str]] = {}
+    used = list(dict.fromkeys(c for _, *columns in wanted.values() for c in columns))
+    of, pairs = {c: f"__c{i}" for i, c in enumerate(used)}, {}
     for how, *columns in wanted.values():
-        c = [valid(F.col(x)) for x in columns]
         if how in ("sum", "mean", "var", "std", "var_pop"):
-            terms["sum", columns[0]] = [c[0]]
-        if how in ("var", "std", "var_pop", "norm"):
-            terms["dot", columns[0], columns[0]] = _product(c[0], c[0])
-        if how == "dot":
-            terms["dot", columns[0], columns[1]] = _product(c[0], c[1])
+            terms["sum", columns[0]] = [of[columns[0]]]
+        if how in ("var", "std", "var_pop", "norm", "dot"):
+            both = ("dot", columns[0], columns[-1])
+            if both not in terms:
+                name = f"__p{len(pairs)}"
+                pairs[name], terms[both] = (of[columns[0]], of[columns[-1]]), [name, f"{name}_e"]
     names = list(terms)
-    each = [F.struct(F.lit(i).alias("t"), F.lit(j == 0).alias("first"), x.alias("x")) for i, n in enumerate(names) for j, x in enumerate(terms[n])]
-    rows = df.select(*keys, F.inline(F.array(*each))).where("x is not null and not isnan(x)")
-    slot, pieces = _slots(F.col("x"))
-    sums = rows.select(*keys, "t", F.col("first").cast("long").alias("first"), slot.alias("slot"), *[p.alias(f"s{i}") for i, p in enumerate(pieces)])
-    sums = sums.groupBy(*keys, "t", "slot").agg(F.sum("first").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(3)])
+    rows = _products(df.select(*keys, *[valid(F.col(c).cast("double")).alias(of[c]) for c in used]), pairs)
+    each = [F.struct(F.lit(i).alias("__t"), F.lit(int(j == 0)).alias("__first"), F.col(x).alias("__x")) for i, n in enumerate(names) for j, x in enumerate(terms[n])]
+    rows = rows.select(*keys, F.inline(F.array(*each))).where("__x is not null and not isnan(__x)")
+    sums = _slots(rows, [*keys, "__t", "__first"], "__x")
+    sums = sums.groupBy(*keys, F.col("__t").alias("t"), F.col("__slot").alias("slot")).agg(F.sum("__first").alias("n"), *[F.sum(f"__s{i}").alias(f"s{i}") for i in range(3)])
     packed = sums.groupBy(*keys).agg(F.collect_list(F.struct("t", "slot", "n", "s0", "s1", "s2")).alias("all"))  # slots of one key
     if not keys:
         packed = packed.select(F.coalesce("all", F.array()).alias("all"))

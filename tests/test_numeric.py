@@ -137,6 +137,12 @@ def test_products_and_variances_are_rounded_once(spark):
     assert got["n"] == pytest.approx(math.sqrt(sum(b * b for b in y)), rel=1e-15)
 
 
+def test_exact_sums_work_every_exponent_out_once(spark):
+    df = spark.createDataFrame([(1, 2.0, 3.0)], "g int, x double, y double")
+    plan = exact.exact_aggregates(df, {"v": ("var", "x"), "d": ("dot", "x", "y"), "n": ("norm", "y")}, ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LOG2(") == plan.count("POWER(") == 1
+
+
 def test_exact_sums_of_nothing_and_of_infinities(spark):
     df = spark.createDataFrame([(1, float("inf")), (1, 2.0), (2, float("inf")), (2, float("-inf")), (3, float("-inf"))], "g int, x double")
     got = {r["g"]: r["s"] for r in exact.exact_aggregates(df, {"s": ("sum", "x")}, ["g"]).collect()}
