@@ -18,7 +18,7 @@ from tessera.functions.distributions import normal_quantile, normal_tail
 from tessera.functions.math import missing, valid
 from tessera.operators.describe import correlation, median_absolute_deviation, modes, quantiles, ranked
 from tessera.operators.frame import running_before
-from tessera.operators.neighbours import nearest_rows, start_centres, vector
+from tessera.operators.neighbours import nearest_rows, spread, start_centres, vector
 from tessera.sources.generate import draw_uniform
 from tessera.sources.scratch import forget, written
 
@@ -341,7 +341,8 @@ def kmeans(df: DataFrame, columns: list[str], centres: list[list[float]] | None
     """Lloyd's algorithm: each round is one map and one k-row aggregation. Returns df with ``cluster``, and the centres.
 
     Starts from given centres, or from ``k`` drawn by ``neighbours.start_centres``
-    (``start``: parallel, plusplus or random), hashed from the rows' ``key``.
+    (``start``: parallel, plusplus or random), hashed from the rows' ``key``. The
+    rows with all values are written once, and the rounds read these.
     """
     if centres is None:
         if k is None or key is None:
@@ -350,18 +351,20 @@ def kmeans(df: DataFrame, columns: list[str], centres: list[list[float]] | None
         if not centres:
             raise ValueError("no row has all values")
 
-    def assigned(c: list[list[float]]) -> DataFrame:
+    def assigned(c: list[list[float]], rows: DataFrame) -> DataFrame:
         d = F.array(*[sum((((F.col(x) - v) ** 2) for x, v in zip(columns, m, strict=True)), F.lit(0.0)) for m in c])
-        return df.withColumn("cluster", (F.array_position(d, F.array_min(d)) - 1).cast("int"))
+        return rows.withColumn("cluster", (F.array_position(d, F.array_min(d)) - 1).cast("int"))
 
+    points = written(spread(_complete(df, columns).select(*columns)), "points")
     for _ in range(rounds):
-        rows = {r["cluster"]: [r[x] for x in columns] for r in assigned(centres).groupBy("cluster").agg(*[F.avg(x).alias(x) for x in columns]).collect()}
+        rows = {r["cluster"]: [r[x] for x in columns] for r in assigned(centres, points).groupBy("cluster").agg(*[F.avg(x).alias(x) for x in columns]).collect()}
         new = [rows.get(i, m) for i, m in enumerate(centres)]
         moved = max(abs(a - b) for p, q in zip(new, centres, strict=True) for a, b in zip(p, q, strict=True))
         centres = new
         if moved <= tolerance:
             break
-    return assigned(centres), centres
+    forget(points)
+    return assigned(centres, df), centres
 
 
 def pca(df: DataFrame, columns: list[str], k: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:

@@ -7,8 +7,10 @@ run can be repeated anywhere, in SQL too.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,39 @@ def distances(x: Column, centres: list[list[float]], metric: str = "squared") ->
     return F.transform(F.sequence(F.lit(0), F.lit(len(centres) - 1)), lambda i: distance(x, F.slice(all_, i * width + 1, F.lit(width)), metric))
 
 
+def nearest_centre(rows: DataFrame, centres: list[list[float]], *kept: str) -> DataFrame:
+    """``kept`` columns, the vector's values as __x0, __x1, ..., and of the centre nearest to ``__x`` the squared distance as __d and the place as __i (the first of equal ones).
+
+    In numpy by batch; values go to Python one a column, as arrays are slow to hand over.
+    """
+    c = np.array(centres, dtype=float)
+    values = [f"__x{j}" for j in range(c.shape[1])]
+    flat = rows.select(*kept, *[F.col("__x")[j].alias(v) for j, v in enumerate(values)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [batch.column(v).to_numpy(zero_copy_only=False) for v in values]
+            best, place = np.full(batch.num_rows, np.inf), np.zeros(batch.num_rows, dtype=np.int32)
+            for low in range(0, len(c), 64):  # a block of 64 centres at a time
+                d = np.zeros((batch.num_rows, len(c[low : low + 64])))
+                for j, v in enumerate(x):
+                    off = v[:, None] - c[None, low : low + 64, j]
+                    d += off * off
+                at = d.argmin(axis=1)
+                least = d[np.arange(len(d)), at]
+                closer = least < best
+                best, place = np.where(closer, least, best), np.where(closer, at + low, place).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best), pa.array(place)], names=[*batch.schema.names, "__d", "__i"])
+
+    return flat.mapInArrow(run, type(flat.schema)(list(flat.schema.fields)).add("__d", "double").add("__i", "integer"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A part a core at least: a table of few files would keep few cores busy in every round over it."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def _complete(df: DataFrame, columns: list[str], key: str, *more: Column) -> DataFrame:
     ok = F.lit(True)
     for c in columns:
@@ -54,6 +89,11 @@ def _complete(df: DataFrame, columns: list[str], key: str, *more: Column) -> Dat
     return df.where(ok).select(F.col(key), vector(columns).alias("__x"), *more)
 
 
+def _gathered(rows: DataFrame) -> Column:
+    """The vector of rows from ``nearest_centre``."""
+    return F.array(*[F.col(f"__x{j}") for j in range(sum(c.startswith("__x") for c in rows.columns))]).alias("__x")
+
+
 def start_centres(df: DataFrame, columns: list[str], k: int, key: str, seed: int = 0, method: str = "parallel") -> list[list[float]]:
     """``k`` start centres of k-means among the rows with all values; fewer if there are fewer different rows.
 
@@ -65,7 +105,7 @@ def start_centres(df: DataFrame, columns: list[str], k: int, key: str, seed: int
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    rows = written(_complete(df, columns, key), "points")
+    rows = written(spread(_complete(df, columns, key)), "points")
     if method == "random":
         return [r["__x"] for r in rows.dropDuplicates(["__x"]).orderBy(uniform(key, seed, 0), key).limit(k).collect()]
     if method == "plusplus":
@@ -75,8 +115,7 @@ def start_centres(df: DataFrame, columns: list[str], k: int, key: str, seed: int
     candidates = d2_candidates(rows, k, key, seed)
     if not candidates:
         return []
-    nearest = F.array_position(F.col("__d"), F.array_min("__d")) - 1
-    weights = rows.withColumn("__d", distances(F.col("__x"), candidates)).groupBy(nearest.alias("i")).agg(F.count("*").alias("n"))
+    weights = nearest_centre(rows, candidates).groupBy(F.col("__i").alias("i")).agg(F.count("*").alias("n"))
     n = np.zeros(len(candidates))
     for r in weights.collect():  # a row a candidate at most
         n[r["i"]] = r["n"]
@@ -88,8 +127,8 @@ def d2_draws(rows: DataFrame, k: int, key: str, seed: int) -> list:
     first = rows.orderBy(uniform(key, seed, 0), key).limit(1).collect()
     chosen = list(first)
     while first and len(chosen) < k:
-        d = F.array_min(distances(F.col("__x"), [r["__x"] for r in chosen]))
-        race = rows.withColumn("__d", d).where("__d > 0").select(key, "__x", (-F.log(uniform(key, seed, len(chosen))) / F.col("__d")).alias("__race"))
+        away = nearest_centre(rows, [r["__x"] for r in chosen], key)
+        race = away.where("__d > 0").select(key, _gathered(away), (-F.log(uniform(key, seed, len(chosen))) / F.col("__d")).alias("__race"))
         best = race.agg(F.min(F.struct("__race", key, "__x")).alias("b")).first()["b"]
         if best is None:
             break
@@ -101,12 +140,11 @@ def d2_candidates(rows: DataFrame, k: int, key: str, seed: int, rounds: int = RO
     """The candidates of k-means||: the row of least hash, then all rows with u < 2 k d2 / sum of d2, round by round."""
     found = [r["__x"] for r in rows.orderBy(uniform(key, seed, 0), key).limit(1).collect()]
     for turn in range(1, rounds + 1 if found else 1):
-        d = F.array_min(distances(F.col("__x"), found))
-        away = rows.withColumn("__d", d)
+        away = nearest_centre(rows, found, key)
         cost = away.agg(F.sum("__d")).first()[0]
         if not cost:
             break
-        drawn = away.where(uniform(key, seed, turn) < float(OVERSAMPLE * k) * F.col("__d") / float(cost)).select("__x").distinct()
+        drawn = away.where(uniform(key, seed, turn) < float(OVERSAMPLE * k) * F.col("__d") / float(cost)).select(_gathered(away)).distinct()
         found += [r["__x"] for r in drawn.orderBy("__x").collect()]  # 2 k expected
     return found
 

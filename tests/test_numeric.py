@@ -43,6 +43,31 @@ def test_kmeans_from_drawn_starts_is_close_to_the_best_of_ten(spark):
     assert cost(first) <= best * 2
 
 
+def test_kmeans_reads_its_source_once_in_a_part_a_core_and_leaves_missing_rows_out(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    x = [(float(v),) for v in [*range(30), *range(60, 90)]] + [(float("nan"),), (None,)]
+    df = spark.createDataFrame(x, "a double").coalesce(1).mapInArrow(counted, "a double")
+    centres = inference.kmeans(df, ["a"], [[0.0], [10.0]])[1]
+    assert centres == [[14.5], [74.5]] and read.value == len(x)
+    assert neighbours.spread(df).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_nearest_centre_equals_all_distances(spark):
+    x, df = blobs(spark, 300)
+    rows = df.select("id", neighbours.vector(["a", "b", "c"]).alias("__x"))
+    centres = np.vstack([x[:150], x[:20]])  # more than a block, and equal ones
+    got = {r["id"]: r for r in neighbours.nearest_centre(rows, centres.tolist(), "id").collect()}
+    d = ((x[:, None] - centres) ** 2).sum(2)
+    assert [got[i]["__i"] for i in range(300)] == d.argmin(1).tolist()
+    assert [got[i]["__d"] for i in range(300)] == pytest.approx(d.min(1).tolist())
+
+
 def test_starts_of_few_equal_and_missing_rows(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, 2.0), (4, None), (5, float("nan"))], "id long, a double")
     for method in ("parallel", "plusplus", "random"):
